@@ -4,7 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .operators import orbits, series_sql
+from .session import table
+
+
+def series(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """The events as series (g, i, v), ordered by time, then id."""
+    order = Window.partitionBy("g").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select(F.col(key).alias("g"), "ts", "event_id", F.col("value").alias("v"))
+    return events.select("g", (F.row_number().over(order) - 1).cast("long").alias("i"), "v")
+
+
+def _query(text: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.sql(text, s=series(spark, sf_dir, key))
+
+
+def _oracle(text: str, key: str) -> str:
+    own = f"s AS MATERIALIZED (SELECT {key} AS g, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS i, value AS v FROM events)"
+    text = text.strip().replace("{s}", "s")
+    return f"WITH {own}, {text[5:]}" if text.startswith("WITH ") else f"WITH {own} {text}"
+
+
+def orbit_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct states, to six digits, of the logistic map's orbit for each of 1000 parameters below chaos."""
+    kept = orbits.logistic_diagram(spark, 2.8, 3.4)
+    return kept.groupBy("k").agg(F.countDistinct(F.round("x", 6)).alias("branches"), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"))
+
+
+ORBIT_SQL = """
+WITH RECURSIVE o(k, r, n, x) AS (
+  SELECT range, 2.8 + range * ((3.4 - 2.8) / 999), 0, 0.5::DOUBLE FROM range(1000)
+  UNION ALL SELECT k, r, n + 1, r * x * (1 - x) FROM o WHERE n < 300)
+SELECT k, count(DISTINCT round(x, 6)) AS branches, round(min(x), 6) AS low, round(max(x), 6) AS high FROM o WHERE n > 200 GROUP BY k"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(*spec) for name, spec in series_sql.ALL.items()} | {"orbit_diagram": orbit_diagram}
+ORACLE_SQL: dict[str, str] = {name: _oracle(*spec) for name, spec in series_sql.ALL.items()} | {"orbit_diagram": ORBIT_SQL}

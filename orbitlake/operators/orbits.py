@@ -1,0 +1,16 @@
+"""Orbit diagrams of maps: one row for each parameter, iterated in the JVM by higher-order functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def logistic_diagram(spark: SparkSession, low: float = 2.8, high: float = 4.0, values: int = 1000, drop: int = 200, keep: int = 100, x0: float = 0.5) -> DataFrame:
+    """Rows (k, r, j, x): the kept iterates of x -> r x (1 - x) for each parameter, in parallel over parameters."""
+    r = F.lit(low) + F.col("id") * F.lit((high - low) / (values - 1))
+    swept = spark.range(values).select(F.col("id").alias("k"), r.alias("r"))
+    step = lambda x: F.col("r") * x * (1 - x)
+    start = F.aggregate(F.sequence(F.lit(1), F.lit(drop)), F.lit(x0), lambda x, _: step(x))
+    orbit = F.aggregate(F.sequence(F.lit(1), F.lit(keep)), F.array(F.col("x")), lambda a, _: F.concat(a, F.array(step(F.element_at(a, -1)))))
+    return swept.withColumn("x", start).withColumn("orbit", orbit).select("k", "r", F.posexplode(F.slice("orbit", 2, keep)).alias("j", "x"))
