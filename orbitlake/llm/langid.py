@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 DIM = 4096
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 1200
 MOST_LANGS = 300
 # ISO 639-1 codes by family.
 FAMILIES = {
@@ -122,10 +122,10 @@ def _featured(batches):
     for batch in batches:
         for part in slices(batch, 1):
             x = features(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
-def fit(labelled: DataFrame, per_lang: int = 600, key: Column | None = None) -> Hierarchy:
+def fit(labelled: DataFrame, per_lang: int = 300, key: Column | None = None) -> Hierarchy:
     """Fits on a bounded sample of rows with text and non-null lang; `key` (default: all their columns) orders the sample."""
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(*([key] if key is not None else ["lang", "text"])).alias("h"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
@@ -139,7 +139,10 @@ def fit(labelled: DataFrame, per_lang: int = 600, key: Column | None = None) ->
     drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= most)
     got = drawn.select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
-    return Hierarchy([r[0] for r in got], np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(-1, DIM))
+    x = np.zeros((len(got), DIM), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r[1], np.float16)
+    return Hierarchy([r[0] for r in got], x)
 
 
 def _predicted(model):

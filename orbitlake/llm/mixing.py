@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import save
 
+#: Cells (under 200 bytes each) are broadcast up to this number.
+SENT_CELLS = 100_000
 KEYS = ("mix_source", "mix_lang", "mix_topic")
 
 
@@ -78,23 +80,26 @@ def tempered(cells: DataFrame, key: str, temper: float) -> DataFrame:
     return words.crossJoin(words.agg(F.sum("p").alias("all"))).select(key, (F.col("p") / F.col("all")).alias("share"))
 
 
-def mix(docs: DataFrame, keep: float = 0.6, temper: float = 0.7, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", seed: int = 11, **columns: str) -> DataFrame:
+def mix(docs: DataFrame, keep: float = 0.6, temper: float = 0.85, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", seed: int = 11, **columns: str) -> DataFrame:
     """docs with mix_source, mix_lang, mix_topic, mix_words, mix_weight (a word's), mix_p and mix_kept.
 
     Two passes over docs; only cells are shuffled (map-side sums make them at most one
-    row for each cell and task). The cells come back to the rows by a join that Spark
-    broadcasts where they are small.
+    row for each cell and task). The cells come back to the rows by a broadcast join up to
+    SENT_CELLS of them, else by a shuffle.
     """
     rows = described(docs, **columns)
     cells = save(rows.groupBy(*KEYS).agg(F.sum("mix_words").alias("mix_words")))
     raked = rake(cells, targets or {k: tempered(cells, k, temper) for k in KEYS})
-    rate = raked.withColumn("mix_weight", F.col("w") / F.col("mix_words")).select(*KEYS, "mix_words", "mix_weight")
+    rate = save(raked.withColumn("mix_weight", F.col("w") / F.col("mix_words")).select(*KEYS, "mix_words", "mix_weight"))
     bounds = rate.agg(F.max("mix_weight").alias("high"), F.sum("mix_words").alias("words"), F.sum(F.col("mix_weight") * F.col("mix_words")).alias("mass")).first()
     scale = min(1 / bounds["high"], keep * bounds["words"] / bounds["mass"]) if bounds["high"] else 0.0
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
     p = F.coalesce(F.col("mix_weight") * F.lit(scale), F.lit(scale))
+    back = rate.drop("mix_words")
+    if rate.count() <= SENT_CELLS:
+        back = F.broadcast(back)
     return (
-        rows.join(rate.drop("mix_words"), list(KEYS), "left")
+        rows.join(back, list(KEYS), "left")
         .withColumn("mix_p", F.least(F.lit(1.0), p))
         .withColumn("mix_kept", u < F.col("mix_p"))
     )
