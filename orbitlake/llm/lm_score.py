@@ -154,8 +154,8 @@ def _dealt(words, table, buckets: int, target):
                 bucket = ((mix(pair.astype(np.uint64), 3) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.lexsort((of, bucket))
                 pair, of, bucket = pair[order], of[order], bucket[order]
-                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(pair) else []
-                for a, z in zip(cut, [*cut[1:], len(pair)], strict=True):
+                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(pair) else np.zeros(0, np.int64)
+                for a, z in zip(cut, np.append(cut[1:], len(pair))[: len(cut)], strict=True):
                     o = of[a:z]
                     begin = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
                     runs = np.diff(np.append(begin, z - a))

@@ -2,8 +2,8 @@
 
 Rows fall into cells of (source, lang, topic); a cell's weight is its number of words. The
 weights are raked until the shares of sources, languages and topics meet their targets,
-each round one grouped sum and one join for each of the three. The cells that no longer
-move end the work; the loop looks at one number a round. A row's sampling probability is
+each round one window sum for each of the three. Cells that no longer move end the work;
+the loop looks at one number a round. A row's sampling probability is
 its cell's raked weight over its words, scaled so that the highest is one at most and the
 expected words are `keep` of all where that is possible. Sampling compares the
 probability with a hash of the row's id, so it repeats exactly and needs no shuffle.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -41,7 +41,8 @@ def topic(text: Column) -> Column:
 
 
 def described(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """docs with the three keys and mix_words."""
+    """docs with the three keys and mix_words; columns of docs whose names begin with mix_ are replaced or dropped."""
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.lit("(none)")
     return docs.withColumns(
@@ -58,16 +59,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tole
     """Cells (keys, mix_words) with `w`, whose shares by key meet `targets` (rows key, share).
 
     Every value of a key has to have a target; where no cell can meet them all, the last round's weights stand.
-    Each step cuts the lineage, as a plan that doubles with every step would not end.
+    Each round cuts the lineage; its windows run over cells, which map-side sums made from all rows.
     """
     wanted = reduce(lambda d, k: d.join(targets[k].select(k, F.col("share").alias(f"t_{k}")), k), KEYS, cells.where("mix_words > 0"))
-    w = save(wanted.withColumns({"w": F.col("mix_words"), "off": F.lit(0.0)}))
+    w = save(wanted.withColumn("w", F.col("mix_words")))
     for _ in range(rounds):
+        off = F.lit(0.0)
         for k in KEYS:
-            sums = w.groupBy(k).agg(F.sum("w").alias("s"))
-            ratio = F.col(f"t_{k}") / F.col("s")
-            off = F.abs(ratio - 1) if k == KEYS[0] else F.greatest("off", F.abs(ratio - 1))
-            w = save(w.join(sums, k).withColumns({"off": off, "w": F.col("w") * ratio}).drop("s"))
+            w = w.withColumn(f"r_{k}", F.col(f"t_{k}") / F.sum("w").over(Window.partitionBy(k))).withColumn("w", F.col("w") * F.col(f"r_{k}"))
+            off = F.greatest(off, F.abs(F.col(f"r_{k}") - 1))
+        w = save(w.withColumn("off", off).drop(*[f"r_{k}" for k in KEYS]))
         worst = w.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break

@@ -10,8 +10,8 @@ inside the scan's stage without a shuffle. A threshold for each kind is calibrat
 half of that table which fitting did not see: the smallest score with no false alarm
 above it. Base spans always stay.
 
-Positions are code points, ends exclusive. Null texts count as empty: no spans. Patterns
-that can run long are possessive, so their time is linear in the text.
+Positions are code points, ends exclusive. Null texts count as empty: no spans. Columns
+of the input whose names begin with pii_ are dropped by `find`. Patterns that can run long are possessive, so their time is linear in the text.
 """
 
 from __future__ import annotations
@@ -165,6 +165,7 @@ def fitted(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[str, dict[str,
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `pii_base` and `pii_added`: arrays of (kind, s, e), each by kind as listed, then start."""
     score, least = fitted(docs.sparkSession)
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("pii_")])  # names of this module's own
     t = "pii_text"
     df = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     df = df.selectExpr("*", f"{_emails(t)} AS pii_e", f"{_places(t, IP)} AS pii_i", f"{_places(t, CARD)} AS pii_c", f"{_places(t, PHONE)} AS pii_p", f"{_places(t, NUMBER)} AS pii_n", f"{_places(t, SECRET)} AS pii_s", f"{_places(t, GROUPED)} AS pii_g")
