@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, POOL, POSTED, VISITED, PREFIX, RERANK = 128, 4096, 8, 16, 64, 0.15
+PIVOTS, POOL, POSTED, VISITED, PREFIX, RERANK = 128, 4096, 8, 24, 127, 0.2
 BLOCK, QUERIES = 8192, 8192
 FEW = 256
 
