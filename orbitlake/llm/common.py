@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -32,6 +33,12 @@ def save(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks both garbage collectors to run, so that Spark removes the shuffle files and checkpoints of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES):
     """Parts of a batch whose texts hold about `most` bytes; a longer text stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
