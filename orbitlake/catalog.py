@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import orbits, series_sql
+from .operators import orbits, series_models, series_sql
 from .session import table
 
 
@@ -40,5 +40,7 @@ WITH RECURSIVE o(k, r, n, x) AS (
   UNION ALL SELECT k, r, n + 1, r * x * (1 - x) FROM o WHERE n < 300)
 SELECT k, count(DISTINCT round(x, 6)) AS branches, round(min(x), 6) AS low, round(max(x), 6) AS high FROM o WHERE n > 200 GROUP BY k"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(*spec) for name, spec in series_sql.ALL.items()} | {"orbit_diagram": orbit_diagram}
-ORACLE_SQL: dict[str, str] = {name: _oracle(*spec) for name, spec in series_sql.ALL.items()} | {"orbit_diagram": ORBIT_SQL}
+SERIES = series_sql.ALL | series_models.ALL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(*spec) for name, spec in SERIES.items()} | {"orbit_diagram": orbit_diagram}
+ORACLE_SQL: dict[str, str] = {name: _oracle(*spec) for name, spec in SERIES.items()} | {"orbit_diagram": ORBIT_SQL}
