@@ -15,6 +15,7 @@ end id at least, so each row gives one piece or more. A null id is kept as it is
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import zlib
 
@@ -29,7 +30,10 @@ from .common import save, slices
 
 LENGTH = 4096
 UNIT = 16
-CACHE_WORDS = 800_000
+#: Words whose ids a worker keeps; beyond that it forgets them all and begins anew, with the same result.
+CACHE_WORDS = 250_000
+#: Bytes of text that a worker codes at once.
+CODE_BYTES = 1 << 20
 
 
 class WordTokenizer:
@@ -114,11 +118,17 @@ class WordTokenizer:
         return [np.append(every[b - a : b], np.uint16(end)) for a, b in zip(per, stop, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker, so that many small tasks don't load it again and again."""
+    return WordTokenizer(path)
+
+
 def _cut(path: str, end: int, length: int):
     def run(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = _tokenizer(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, CODE_BYTES):
                 cols = {c: [] for c in ("row", "start", "length", "ids_crc32", "doc_tokens")}
                 for i, ids in enumerate(tokenizer(part.column(1), end)):
                     for a in range(0, len(ids), length):
