@@ -49,7 +49,7 @@ OPTIMAL_DELAY = "SELECT g, min(CASE WHEN acf <= exp(-1) THEN lag END) AS acf_del
 
 NORMALIZE = """
 SELECT g, i, round((v - min(v) OVER (PARTITION BY g)) / coalesce(nullif(max(v) OVER (PARTITION BY g) - min(v) OVER (PARTITION BY g), 0), 1), 7) AS minmax,
-  round(v - avg(v) OVER (PARTITION BY g), 6) AS demean, round(v / coalesce(nullif(sqrt(sum(v * v) OVER (PARTITION BY g)), 0), 1), 7) AS l2 FROM {s}"""
+  round(v - avg(v) OVER (PARTITION BY g), 10) AS demean, round(v / coalesce(nullif(sqrt(sum(v * v) OVER (PARTITION BY g)), 0), 1), 7) AS l2 FROM {s}"""
 
 BINARIZE = "SELECT g, i, CASE WHEN v > m THEN 1 ELSE 0 END AS above_median FROM {s} JOIN (SELECT g AS h, median(v) AS m FROM {s} GROUP BY g) k ON g = h"
 
