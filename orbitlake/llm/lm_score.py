@@ -1,16 +1,19 @@
 """Cross-entropy difference of documents under matched bigram models.
 
 Target: texts whose ids are in a given set (by default, labelled of high quality);
-background: all texts. Both models share one vocabulary - the words whose count in all
-texts reaches a cutoff that leaves at most `VOCAB` of them, the others being one unknown
-word - the same order and the same smoothing: p(b | a) = (c(a b) + MU p(b)) / (c(a) + MU),
-p(b) = (c(b) + 1) / (N + vocabulary). Background counts are scaled to the target's number
-of words, so neither model is sharper only for having seen more. Counts are of all texts.
+background: all texts. Both models share one vocabulary - every word of all texts, told
+apart by 64-bit hashes - the same order and the same smoothing:
+p(b | a) = (c(a b) + MU p(b)) / (c(a) + MU), p(b) = (c(b) + 1) / (N + vocabulary).
+Background counts are scaled to the target's number of words, so neither model is sharper
+only for having seen more. Counts are of all texts.
 
 Passes over the texts: word counts; counts of pairs of hot words (those with over 1 /
-HOT_SHARE of all words, so at most HOT_SHARE**2 pairs); and scoring, where hot pairs are
-summed in place and the others go once, as packed keys, to buckets that count them and
-send back one sum for each document. Buckets follow the number of words.
+HOT_SHARE of all words, so at most HOT_SHARE of them); and scoring. A pair's loss is
+log(c(a) + MU) - log(c(a b) + MU p(b)). Terms of hot words and pairs are summed in place.
+Every other pair goes once to a bucket: by its second word if that is cold, so that the
+bucket counts that word too and gives its terms, else by the pair. Words are never sent
+to all tasks but for the hot ones. Buckets follow the number of words; each sends its sums
+by document, packed, to groups of documents.
 
 Null or blank texts have no words: null scores. Rows with a null id have no scores; rows
 that share an id are scored as one document.
@@ -27,15 +30,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, save, slices, split_words
+from .common import mix, save, slices, split_words, word_hashes
 
-VOCAB = 65_534
-UNKNOWN = 65_535
+#: The vocabulary has no other bound than the hashes' number.
+VOCAB = 1 << 64
 HOT_SHARE = 512
 MU = 200.0
 PAIRS_PER_BUCKET = 5_000_000
+#: Rows of hot pairs that a task holds before it sends them on.
+HELD_PAIRS = 1 << 20
 #: Target ids up to this number (8 bytes each) are sent to every task; more are joined.
 SENT_IDS = 4_000_000
+#: Stands before the first word.
+START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _in_target(batch, target) -> np.ndarray:
@@ -48,145 +55,197 @@ def _in_target(batch, target) -> np.ndarray:
 
 
 def _counted(target):
-    """Rows (word, all, in target), one for each word of a part."""
+    """Rows (word, all, in target), one for each word of a part, by hash; word null counts texts with words."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1, 16 << 20):
                 words, per = split_words(part.column(1))
-                coded = words.dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                of = np.repeat(_in_target(part, target), per)
-                n = len(coded.dictionary)
-                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(np.bincount(codes, minlength=n)), pa.array(np.bincount(codes[of], minlength=n))], names=["word", "nb", "nt"])
+                codes, _, hashed = word_hashes(words)
+                inside = _in_target(part, target)
+                of = np.repeat(inside, per)
+                n = len(hashed)
+                nb, nt = np.bincount(codes, minlength=n), np.bincount(codes[of], minlength=n)
+                word = pa.array(np.append(hashed.view(np.int64), 0), mask=np.arange(n + 1) == n)
+                yield pa.RecordBatch.from_arrays([word, pa.array(np.append(nb, (per > 0).sum())), pa.array(np.append(nt, (inside & (per > 0)).sum()))], names=["word", "nb", "nt"])
 
     return run
 
 
-class Words:
-    """The vocabulary: codes from 1 by falling count, 0 before the first word, UNKNOWN for the rest; counts of both sides."""
-
-    def __init__(self, rows: list[tuple[str, int, int]], totals: tuple[int, int], distinct: int):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.code = {r[0]: i for i, r in enumerate(rows, 1)}
-        self.distinct = min(distinct, len(rows) + 1)
-        self.n = np.array(totals[::-1], float)  # target, background
-        self.counts = np.zeros((2, UNKNOWN + 1))
-        for i, r in enumerate(rows, 1):
-            self.counts[0, i], self.counts[1, i] = r[2], r[1]
-        self.counts[:, UNKNOWN] = self.n - self.counts.sum(axis=1)
-        self.hot = sum(r[1] * HOT_SHARE > totals[0] for r in rows)  # codes up to this one
-
-    def scaled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Counts with the background brought to the target's size, and smoothed word probabilities."""
-        rate = np.array([1.0, self.n[0] / self.n[1] if self.n[0] and self.n[1] else 1.0])
-        counts = self.counts * rate[:, None]
-        return counts, (counts + 1) / (counts.sum(axis=1, keepdims=True) + self.distinct)
-
-
 class Model:
-    """Losses of pairs from their counts; `starts`: (target, background) numbers of texts with words."""
+    """Totals of both sides (target, background) and the hot words: codes from 1 by hash, 0 before the first word."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], n: tuple[int, int], starts: tuple[int, int], distinct: int):
+        rows = sorted((r[0] & 0xFFFFFFFFFFFFFFFF, r[1], r[2]) for r in rows)
+        self.hashes = np.array([r[0] for r in rows], np.uint64)
+        self.counts = np.array([[starts[0], *(r[2] for r in rows)], [starts[1], *(r[1] for r in rows)]], float)
+        self.n, self.distinct = n, distinct
+        self.rate = (1.0, n[0] / n[1] if n[0] and n[1] else 1.0)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Of each hash; -1 for cold words."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 1, -1)
+
+    def before(self, side: int, count: np.ndarray) -> np.ndarray:
+        """The term of a first word of this count."""
+        return np.log(count * self.rate[side] + MU)
+
+    def after(self, side: int, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The term of a pair whose second word has this count."""
+        p = (count * self.rate[side] + 1) / (self.n[side] * self.rate[side] + self.distinct)
+        return -np.log(pair * self.rate[side] + MU * p)
+
+
+class Pairs:
+    """The pairs of a part: hashes and hot codes of both words, the row of each, whether its second word is a text's last."""
+
+    def __init__(self, part, model: Model):
+        flat, self.per = split_words(part.column(1))
+        at, _, hashed = word_hashes(flat)
+        self.second = hashed[at] if len(at) else np.zeros(0, np.uint64)
+        self.second_code = model.codes(hashed)[at] if len(at) else np.zeros(0, np.int64)
+        self.first, self.first_code = np.roll(self.second, 1), np.roll(self.second_code, 1)
+        ends = np.cumsum(self.per)[self.per > 0]
+        begin = np.append(0, ends[:-1])[: len(ends)]
+        self.first[begin], self.first_code[begin] = START, 0
+        self.row = np.repeat(np.arange(len(self.per)), self.per)
+        self.last = np.zeros(len(self.row), bool)
+        self.last[ends - 1] = True
+        #: of pairs of hot words, else -1
+        self.hot = np.where((self.first_code >= 0) & (self.second_code >= 0), self.first_code * (len(model.hashes) + 1) + self.second_code, -1)
+
+
+def _hot_counted(model, target):
+    """Rows (pair, all, in target) of pairs of hot words."""
 
-    def __init__(self, words: Words, starts: tuple[int, int]):
-        self.counts, self.p = words.scaled()
-        self.rate = words.n[0] / words.n[1] if words.n[0] and words.n[1] else 1.0
-        self.counts[:, 0] = starts[0], starts[1] * self.rate
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in held], names=["pair", "nb", "nt"])
+        for batch in batches:
+            for part in slices(batch, 1):
+                p = Pairs(part, model.value)
+                use = p.hot >= 0
+                rows = p.hot[use], np.ones(use.sum(), np.int64), _in_target(part, target)[p.row[use]].astype(np.int64)
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+                pair, at = np.unique(rows[0], return_inverse=True)
+                held = [pair, *(np.bincount(at, weights=x, minlength=len(pair)) for x in rows[1:])]
+                if len(pair) > HELD_PAIRS:
+                    yield out()
+                    held = [np.zeros(0, np.int64)] * 3
+        yield out()
 
-    def losses(self, first: np.ndarray, second: np.ndarray, nt: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pair = (nt.astype(float), nb * self.rate)
-        t, b = (-np.log((pair[i] + MU * self.p[i][second]) / (self.counts[i][first] + MU)) for i in (0, 1))
-        return t, b
+    return run
 
 
-def _pairs(part, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and second codes of all pairs of a part, the row of each, and the number of words by row."""
-    flat, per = split_words(part.column(1))
-    coded = flat.dictionary_encode()
-    of_word = np.fromiter((words.code.get(w, UNKNOWN) for w in coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary))
-    second = of_word[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint32)
-    first = np.zeros_like(second)
-    first[1:] = second[:-1]
-    begin = (np.cumsum(per) - per)[per > 0]
-    first[begin] = 0
-    return first, second, np.repeat(np.arange(len(per)), per), per
+def _spread(keys: np.ndarray, seed: int, groups: int) -> np.ndarray:
+    return ((mix(keys, seed) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
-def _hot_counted(words, target):
-    """Rows (pair, all, in target) of hot pairs, one for each pair and task; pair -1 counts texts with words."""
+def _dealt(model, table, buckets: int, target):
+    """Rows of pairs for each bucket: distinct second words, how many first words each has, those, how often each pair stands,
+    the places (2 * document + whether the word is a text's last), documents, whether these are in the target.
+    Bucket -1: the sums that need no bucket."""
 
     def run(batches):
-        hot = words.value.hot
-        n = np.zeros((2, (hot + 1) * (hot + 1)), np.int64)
-        starts = np.zeros(2, np.int64)
+        m, (keys, terms) = model.value, table.value
+        names = ("bucket", "second", "firsts", "first", "times", "places", "docs", "inside", "n", "t", "b")
         for batch in batches:
             for part in slices(batch, 1):
-                first, second, row, per = _pairs(part, words.value)
+                p = Pairs(part, m)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
                 inside = _in_target(part, target)
-                use = (first <= hot) & (second <= hot)
-                slot = first[use].astype(np.int64) * (hot + 1) + second[use]
-                n[0] += np.bincount(slot, minlength=n.shape[1])
-                n[1] += np.bincount(slot[inside[row[use]]], minlength=n.shape[1])
-                starts += [(per > 0).sum(), (inside & (per > 0)).sum()]
-        at = np.flatnonzero(n[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[0][at], starts[0])), pa.array(np.append(n[1][at], starts[1]))], names=["pair", "nb", "nt"])
+                at = np.minimum(np.searchsorted(keys, p.hot), max(0, len(keys) - 1))
+                here = (p.hot >= 0) & (keys[at] == p.hot) if len(keys) else np.zeros(len(p.hot), bool)
+                lead = p.first_code >= 0
+                sums = [np.bincount(p.row[lead], weights=m.before(s, m.counts[s])[p.first_code[lead]], minlength=len(ids)) + np.bincount(p.row[here], weights=terms[s][at[here]], minlength=len(ids)) for s in (0, 1)]
+                cols: dict[str, list] = {c: [] for c in names}
+                add = lambda **x: [cols[c].append(x.get(c)) for c in names]  # noqa: B023, E731
+                add(bucket=-1, docs=ids.tobytes(), n=p.per.astype("<i8").tobytes(), t=sums[0].tobytes(), b=sums[1].tobytes())
+                first, second, place = p.first[~here], p.second[~here], p.row[~here] << 1 | p.last[~here]
+                with np.errstate(over="ignore"):
+                    key = np.where(p.second_code[~here] < 0, second, mix(first, 7) + second)
+                bucket = _spread(key, 3, buckets)
+                order = np.lexsort((first, second, bucket))
+                first, second, place, bucket = first[order], second[order], place[order], bucket[order]
+                new_bucket = np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(bucket)]
+                new_second = new_bucket | np.concatenate(([True], second[1:] != second[:-1]))[: len(bucket)]
+                new_pair = new_second | np.concatenate(([True], first[1:] != first[:-1]))[: len(bucket)]
+                cut = np.flatnonzero(new_bucket)
+                for a, z in zip(cut, np.append(cut[1:], len(bucket))[: len(cut)], strict=True):
+                    pairs = a + np.flatnonzero(new_pair[a:z])
+                    seconds = np.flatnonzero(new_second[pairs])
+                    docs, of = np.unique(place[a:z] >> 1, return_inverse=True)
+                    add(
+                        bucket=int(bucket[a]), second=second[pairs[seconds]].astype("<u8").tobytes(), firsts=np.diff(np.append(seconds, len(pairs))).astype("<u4").tobytes(), first=first[pairs].astype("<u8").tobytes(),
+                        times=np.diff(np.append(pairs, z)).astype("<u4").tobytes(), places=(of << 1 | place[a:z] & 1).astype("<u4").tobytes(), docs=ids[docs].tobytes(), inside=np.packbits(inside[docs]).tobytes(),
+                    )
+                yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in names[1:]]))
 
     return run
 
 
-def _dealt(words, table, buckets: int, target):
-    """For each bucket: packed pair codes, their documents in runs, whether those are in the target. Bucket -1: sums over hot pairs."""
+def _joined(pdf: pd.DataFrame, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in pdf[column]])
 
-    def run(batches):
-        hot = words.value.hot
-        for batch in batches:
-            for part in slices(batch, 1):
-                first, second, row, per = _pairs(part, words.value)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                inside = _in_target(part, target)
-                cols: dict[str, list] = {c: [] for c in ("bucket", "pairs", "docs", "runs", "inside", "t", "b")}
-                use = (first <= hot) & (second <= hot)
-                slot = first[use].astype(np.int64) * (hot + 1) + second[use]
-                sums = [np.bincount(row[use], weights=x[slot], minlength=len(per)) for x in table.value]
-                for c, v in zip(cols, (-1, None, ids.astype("<i8").tobytes(), per.astype("<u4").tobytes(), None, sums[0].tobytes(), sums[1].tobytes()), strict=True):
-                    cols[c].append(v)
-                pair = (first[~use] << np.uint32(16)) | second[~use]
-                of = row[~use]
-                bucket = ((mix(pair.astype(np.uint64), 3) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((of, bucket))
-                pair, of, bucket = pair[order], of[order], bucket[order]
-                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(pair) else np.zeros(0, np.int64)
-                for a, z in zip(cut, np.append(cut[1:], len(pair))[: len(cut)], strict=True):
-                    o = of[a:z]
-                    begin = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                    runs = np.diff(np.append(begin, z - a))
-                    for c, v in zip(cols, (int(bucket[a]), pair[a:z].astype("<u4").tobytes(), ids[o[begin]].astype("<i8").tobytes(), runs.astype("<u4").tobytes(), np.packbits(inside[o[begin]]).tobytes(), None, None), strict=True):
-                        cols[c].append(v)
-                yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in list(cols)[1:]]))
 
-    return run
+def _by_doc(docs: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    ids, at = np.unique(docs, return_inverse=True)
+    return ids, *(np.bincount(at, weights=v, minlength=len(ids)) for v in values)
+
 
+def _summed(model, groups: int):
+    """Of one bucket: the counts and terms of its pairs and words, and the sums by document, packed for each group of documents."""
 
-def _summed(model):
-    """Of one bucket: the pairs' counts, their losses, and the sums by document."""
+    def packed(ids, n, t, b) -> pd.DataFrame:
+        to = _spread(ids.view(np.uint64), 9, groups)
+        order = np.argsort(to, kind="stable")
+        to, *values = (x[order] for x in (to, ids, n, t, b))
+        cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        ends = np.append(cut[1:], len(to))
+        return pd.DataFrame({"to": to[cut]} | {c: [v[a:z].tobytes() for a, z in zip(cut, ends, strict=True)] for c, v in zip(("docs", "n", "t", "b"), values, strict=True)})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if int(pdf["bucket"].iloc[0]) < 0:
-            get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
-            return pd.DataFrame({"doc_id": get("docs", "<i8"), "n": get("runs", "<u4").astype(np.int64), "t": get("t", "<f8"), "b": get("b", "<f8")})
-        pair = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["pairs"]])
+            return packed(*_by_doc(_joined(pdf, "docs", "<i8"), _joined(pdf, "n", "<i8"), _joined(pdf, "t", "<f8"), _joined(pdf, "b", "<f8")))
+        m = model.value
         docs = [np.frombuffer(x, "<i8") for x in pdf["docs"]]
-        runs = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["runs"]]).astype(np.int64)
         inside = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(d)) for x, d in zip(pdf["inside"], docs, strict=True)])
-        distinct, code = np.unique(pair, return_inverse=True)
-        nb = np.bincount(code, minlength=len(distinct))
-        nt = np.bincount(code[np.repeat(inside, runs) > 0], minlength=len(distinct))
-        t, b = model.value.losses(distinct >> np.uint32(16), distinct & np.uint32(0xFFFF), nt, nb)
-        at = np.cumsum(runs) - runs
-        return pd.DataFrame({"doc_id": np.concatenate(docs), "n": np.zeros(len(runs), np.int64), "t": np.add.reduceat(t[code], at), "b": np.add.reduceat(b[code], at)})
+        base = np.cumsum([0, *map(len, docs)])
+        place = [np.frombuffer(x, "<u4") for x in pdf["places"]]
+        doc = np.concatenate([(x >> 1).astype(np.int64) + base[i] for i, x in enumerate(place)])
+        leads = np.concatenate(place) & 1 == 0
+        times = _joined(pdf, "times", "<u4").astype(np.int64)
+        seconds = _joined(pdf, "second", "<u8")
+        firsts = _joined(pdf, "firsts", "<u4").astype(np.int64)
+        word, of_word = np.unique(seconds, return_inverse=True)
+        word_of = np.repeat(of_word, firsts)
+        with np.errstate(over="ignore"):
+            pair, pair_of = np.unique(mix(_joined(pdf, "first", "<u8"), 7) + mix(seconds, 8).repeat(firsts), return_inverse=True)
+        counts = np.add.reduceat(inside[doc].astype(np.int64), np.cumsum(times) - times), times
+        code = m.codes(word)
+        cold = code < 0
+        second_of = np.zeros(len(pair), np.int64)
+        second_of[pair_of] = word_of
+        values = []
+        for s in (0, 1):
+            # a hot word's pairs are in many buckets, so its count is not to be had from this one
+            n = np.where(cold, np.bincount(word_of, weights=counts[s], minlength=len(word)), m.counts[s][np.maximum(code, 0)])
+            after = m.after(s, np.bincount(pair_of, weights=counts[s], minlength=len(pair)), n[second_of])
+            before = np.where(cold, m.before(s, n), 0.0)
+            values.append(np.bincount(doc, weights=np.repeat(after[pair_of], times) + np.where(leads, np.repeat(before[word_of], times), 0.0), minlength=base[-1]))
+        return packed(*_by_doc(np.concatenate(docs), np.zeros(base[-1]), *values))
 
     return run
 
 
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids, n, t, b = _by_doc(_joined(pdf, "docs", "<i8"), *(_joined(pdf, c, "<f8") for c in ("n", "t", "b")))
+    return pd.DataFrame({"doc_id": ids, "n_tokens": n.astype(np.int64), "t": t, "b": b})
+
+
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, xent_target, xent_background, xent_diff), one for each row of docs; nats a word, lower differences nearer the target.
 
@@ -202,35 +261,25 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     if not few:
         source = source.join(wanted.withColumn("inside", F.lit(True)), "doc_id", "left")
 
-    counted = save(source.mapInArrow(_counted(target), "word string, nb long, nt long").groupBy("word").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")))
-    total = counted.agg(F.sum("nb"), F.sum("nt"), F.count("*")).first()
-    sizes = counted.groupBy("nb").count().orderBy(F.desc("nb")).limit(VOCAB).collect()
-    least, have = (sizes[0]["nb"] + 1 if sizes else 1), 0
-    for r in sizes:
-        if have + r["count"] > VOCAB:
-            break
-        have, least = have + r["count"], r["nb"]
-    rows = [tuple(r) for r in counted.where(F.col("nb") >= least).collect()]
-    held = Words(rows, (total[0] or 0, total[1] or 0), total[2])
-    words = sc.broadcast(held)
-
-    hot = source.mapInArrow(_hot_counted(words, target), "pair long, nb long, nt long").groupBy("pair").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")).collect()
-    starts = next(((r["nt"], r["nb"]) for r in hot if r["pair"] < 0), (0, 0))
-    model = Model(held, starts)
-    side = held.hot + 1
-    counts = np.zeros((2, side * side))
-    for r in hot:
-        if r["pair"] >= 0:
-            counts[:, r["pair"]] = r["nt"], r["nb"]
-    place = np.arange(side * side)
-    table = sc.broadcast(model.losses(place // side, place % side, counts[0], counts[1]))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total[0] or 0) / PAIRS_PER_BUCKET))
-    blocks = source.mapInArrow(_dealt(words, table, buckets, target), "bucket int, pairs binary, docs binary, runs binary, inside binary, t binary, b binary")
-    # hot sums need no meeting: they are dealt over as many groups as there are buckets
-    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("docs"), F.lit(buckets))).otherwise(F.lit(-1))
-    sums = blocks.groupBy("bucket", spread.alias("spread")).applyInPandas(_summed(sc.broadcast(model)), "doc_id long, n long, t double, b double")
-    scored = sums.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    counted = save(source.mapInArrow(_counted(target), "word long, nb long, nt long").groupBy("word").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")))
+    both = {r["starts"]: (r["nt"] or 0, r["nb"] or 0, r["n"]) for r in counted.groupBy(F.col("word").isNull().alias("starts")).agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"), F.count("*").alias("n")).collect()}
+    total, starts = both.get(False, (0, 0, 0)), both.get(True, (0, 0, 0))
+    rows = counted.where(F.col("word").isNotNull() & (F.col("nb") * HOT_SHARE > total[1])).collect()
+    held = Model([tuple(r) for r in rows], total[:2], starts[:2], total[2])
+    model = sc.broadcast(held)
+
+    hot = source.mapInArrow(_hot_counted(model, target), "pair long, nb long, nt long").groupBy("pair").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
+    pair, nb, nt = np.array(sorted(map(tuple, hot.collect())), np.int64).reshape(-1, 3).T
+    second = pair % (len(held.hashes) + 1)
+    table = sc.broadcast((pair, [held.after(s, n, held.counts[s][second]) for s, n in enumerate((nt, nb))]))
+    buckets = groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total[1] / PAIRS_PER_BUCKET))
+    binary = ", ".join(f"{c} binary" for c in ("second", "firsts", "first", "times", "places", "docs", "inside", "n", "t", "b"))
+    blocks = source.mapInArrow(_dealt(model, table, buckets, target), f"bucket int, {binary}")
+    # sums that need no bucket are dealt over as many groups
+    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("docs"), F.lit(groups))).otherwise(F.lit(-1))
+    sums = blocks.groupBy("bucket", spread.alias("spread")).applyInPandas(_summed(model, groups), "to int, docs binary, n binary, t binary, b binary")
+    scored = sums.groupBy("to").applyInPandas(_gathered, "doc_id long, n_tokens long, t double, b double")
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    out = scored.select("doc_id", "n_tokens", mean("t").alias("xent_target"), mean("b").alias("xent_background"), mean("t").alias("d"))
+    out = scored.select("doc_id", "n_tokens", mean("t").alias("xent_target"), mean("b").alias("xent_background"))
     out = out.select("doc_id", "n_tokens", "xent_target", "xent_background", (F.col("xent_target") - F.col("xent_background")).alias("xent_diff"))
     return texts.select("doc_id").join(out, "doc_id", "left").withColumnRenamed("doc_id", id_col)

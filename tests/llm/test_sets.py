@@ -128,6 +128,19 @@ def test_lm_scores_equal_brute_force(spark):
     assert lm_score.score(edges(spark), good.limit(0)).count() == edges(spark).count()
 
 
+def test_lm_vocabulary_has_no_cap(spark):
+    """70,000 words of equal count, more than 16 bits can name."""
+    rng = np.random.default_rng(8)
+    order = np.concatenate([rng.permutation(70_000) for _ in range(2)])
+    rows = [(i, " ".join(f"v{x}" for x in part) + f" v{i} the end", "en", "web", 1) for i, part in enumerate(np.array_split(order, 60))]
+    target = set(range(0, 60, 3))
+    want = brute_scores([r[:2] for r in rows], target)
+    got = lm_score.score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    assert len({f"v{x}" for x in order}) > 65_535 and len(got) == len(rows)
+    for r in got:
+        assert (r["xent_target"], r["xent_background"]) == pytest.approx(tuple(want[r["doc_id"]]), abs=1e-9)
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = all_rows(spark)
