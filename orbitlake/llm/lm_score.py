@@ -8,8 +8,10 @@ Background counts are scaled to the target's number of words, so neither model i
 only for having seen more. Counts are of all texts.
 
 Passes over the texts: word counts; counts of pairs of hot words (those with over 1 /
-HOT_SHARE of all words, so at most HOT_SHARE of them); and scoring. A pair's loss is
-log(c(a) + MU) - log(c(a b) + MU p(b)). Terms of hot words and pairs are summed in place.
+HOT_SHARE of all words, or over MOST_COLD of a bucket); and scoring. A pair's loss is
+log(c(a) + MU) - log(c(a b) + MU p(b)). Terms of hot words and pairs are summed in place;
+where hot words have more than (HOT_SHARE + 1)**2 different pairs, the rarer of these go to
+buckets too. So no word or pair brings more than MOST_COLD of a bucket to one group.
 Every other pair goes once to a bucket: by its second word if that is cold, so that the
 bucket counts that word too and gives its terms, else by the pair. Words are never sent
 to all tasks but for the hot ones. Buckets follow the number of words; each sends its sums
@@ -37,6 +39,8 @@ VOCAB = 1 << 64
 HOT_SHARE = 512
 MU = 200.0
 PAIRS_PER_BUCKET = 5_000_000
+#: Share of a bucket that one cold word or pair may fill.
+MOST_COLD = 1 / 8
 #: Rows of hot pairs that a task holds before it sends them on.
 HELD_PAIRS = 1 << 20
 #: Target ids up to this number (8 bytes each) are sent to every task; more are joined.
@@ -264,11 +268,16 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     counted = save(source.mapInArrow(_counted(target), "word long, nb long, nt long").groupBy("word").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")))
     both = {r["starts"]: (r["nt"] or 0, r["nb"] or 0, r["n"]) for r in counted.groupBy(F.col("word").isNull().alias("starts")).agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"), F.count("*").alias("n")).collect()}
     total, starts = both.get(False, (0, 0, 0)), both.get(True, (0, 0, 0))
-    rows = counted.where(F.col("word").isNotNull() & (F.col("nb") * HOT_SHARE > total[1])).collect()
+    most = PAIRS_PER_BUCKET * MOST_COLD
+    rows = counted.where(F.col("word").isNotNull() & (F.col("nb") > min(total[1] / HOT_SHARE, most))).collect()
     held = Model([tuple(r) for r in rows], total[:2], starts[:2], total[2])
     model = sc.broadcast(held)
 
     hot = source.mapInArrow(_hot_counted(model, target), "pair long, nb long, nt long").groupBy("pair").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
+    if len(rows) > HOT_SHARE:
+        hot = save(hot)
+        if hot.count() > (HOT_SHARE + 1) ** 2:
+            hot = hot.where(F.col("nb") > min(total[1] / HOT_SHARE**2, most))
     pair, nb, nt = np.array(sorted(map(tuple, hot.collect())), np.int64).reshape(-1, 3).T
     second = pair % (len(held.hashes) + 1)
     table = sc.broadcast((pair, [held.after(s, n, held.counts[s][second]) for s, n in enumerate((nt, nb))]))

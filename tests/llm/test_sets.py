@@ -141,6 +141,33 @@ def test_lm_vocabulary_has_no_cap(spark):
         assert (r["xent_target"], r["xent_background"]) == pytest.approx(tuple(want[r["doc_id"]]), abs=1e-9)
 
 
+def test_lm_groups_are_bounded(spark, monkeypatch):
+    """Words and pairs that are no large share of the corpus but more than a bucket holds."""
+    monkeypatch.setattr(lm_score, "PAIRS_PER_BUCKET", 1000)
+    monkeypatch.setattr(lm_score, "HOT_SHARE", 4)
+    summed = lm_score._summed
+
+    def watched(*given):
+        run = summed(*given)
+
+        def checked(pdf):
+            if pdf["bucket"].iloc[0] >= 0 and sum(len(x) // 4 for x in pdf["places"]) > 3000:
+                raise ValueError("a group is too large")
+            return run(pdf)
+
+        return checked
+
+    monkeypatch.setattr(lm_score, "_summed", watched)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["x y"] * 200 + [f"u{a} h{b} h{c}" for a, b, c in rng.integers(0, (4000, 9, 9), (200, 3))]), "en", "web", 1) for i in range(40)]
+    target = set(range(0, 40, 3))
+    want = brute_scores([r[:2] for r in rows], target)
+    got = lm_score.score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["xent_target"], r["xent_background"]) == pytest.approx(tuple(want[r["doc_id"]]), abs=1e-9)
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = all_rows(spark)
