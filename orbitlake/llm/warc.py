@@ -7,9 +7,12 @@ largest id is the response and the others revisit it; shorter payloads are all r
 Only pages whose digest repeats are looked up; the digests are counted with map-side sums.
 
 `read` takes such a table, or real files by Spark's binaryFile source. A record is accepted if its
-member inflates, its version line and length parse, and its digest agrees. After a failed check the
-reader searches for the next valid gzip member or, in plain archives, the next version line, goes on
-there, and logs the bytes between as a quarantined gap: rows of kind `gap`.
+version line and length parse and its digest agrees, where that is sha1; of a member that does not inflate
+to its end, so are the records in what it gives: all if the data end there, else those that a digest proves.
+After a failed check the reader searches for the nearer of the next gzip member and the next version line
+(inside a member, the next version line), goes on there, and logs the bytes between as a quarantined gap:
+rows of kind `gap`, which for a gap inside a member have the member's place. Records of other types than
+response and revisit return their block as payload.
 
 Null html counts as empty. A null id is written and read back as null and neither revisits nor is
 revisited. Ids are expected to be unique. Line ends and other controls in a URL are percent-coded.
@@ -67,6 +70,14 @@ def member(data: bytes, level: int = 3) -> bytes:
     return out.compress(data) + out.flush()
 
 
+def agrees(said: str, data: bytes) -> bool | None:
+    """Whether a labelled digest is that of the data; None for other algorithms than sha1."""
+    label, _, value = said.partition(":")
+    if label.lower() != "sha1":
+        return None
+    return value.upper() == digest_of(data) or value.lower() == hashlib.sha1(data).hexdigest()
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record that begins at `at` and where it ends; ValueError says what is wrong."""
     m = VERSION.match(data, at)
@@ -85,24 +96,23 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     block = data[end + 4 : stop]
     if len(data) < stop + 4 or data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("record is cut or its end is missing")
-    said = fields.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != digest_of(block):
+    if agrees(fields.get("warc-block-digest", ""), block) is False:
         raise ValueError("block digest differs")
     return fields | {"block": block}, stop + 4
 
 
-def _row(fields: dict, archive: str, offset: int, length: int) -> dict:
+def _row(fields: dict, archive: str, offset: int, length: int, proof: bool = False) -> dict:
     number = lambda k: int(m[1]) if (m := re.fullmatch(rf"<{URN}(-?[0-9]+)>", fields.get(k, ""))) else None
     block, kind = fields["block"], fields.get("warc-type", "")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-    if payload is not None:
-        if digest and digest != digest_of(payload):
-            raise ValueError("payload digest differs")
-        size = len(payload)
-    else:
-        size = int(fields.get("x-payload-length") or 0)
-    return {"kind": "record", "archive": archive, "offset": offset, "length": length, "reason": None, "page_id": number("warc-record-id"), "record_type": kind, "refers_to": number("warc-refers-to"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "payload": payload}
+    said = fields.get("warc-payload-digest", "")
+    payload = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2] if kind == "response" else block
+    same = agrees(said, payload) if kind == "response" else None
+    if same is False:
+        raise ValueError("payload digest differs")
+    if proof and not same and not agrees(fields.get("warc-block-digest", ""), block):
+        raise ValueError("no digest proves a record of a damaged member")
+    size = len(payload) if payload is not None else int(m[0]) if (m := re.fullmatch("[0-9]+", fields.get("x-payload-length", ""))) else 0
+    return {"kind": "record", "archive": archive, "offset": offset, "length": length, "reason": None, "page_id": number("warc-record-id"), "record_type": kind, "refers_to": number("warc-refers-to"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": said.removeprefix("sha1:"), "payload": payload}
 
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
@@ -116,37 +126,81 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
     return out, len(data) - len(d.unused_data)
 
 
+def _beginning(data: bytes, at: int) -> bytes:
+    """What a damaged or cut member gives before its fault."""
+    d, out = zlib.decompressobj(31), []
+    for a in range(at, len(data), 1 << 14):
+        before = d.copy()
+        try:
+            out.append(d.decompress(data[a : a + (1 << 14)]))
+        except zlib.error:
+            try:
+                for i in range(a, len(data)):
+                    out.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                break
+    return b"".join(out)
+
+
+def _inside(archive: str, text: bytes, offset: int, length: int, proof: bool, ends: bool):
+    """Rows of the records of an inflated member, and of the gaps in it; the end of a cut member is no gap of its own."""
+    at, gap, why = 0, None, ""
+    between = lambda: {"kind": "gap", "archive": archive, "offset": offset, "length": length, "reason": f"{why} (bytes {gap} to {at} of the inflated member)"}
+    while at < len(text):
+        try:
+            fields, stop = parse(text, at)
+            row = _row(fields, archive, offset, length, proof)
+        except ValueError as e:
+            if gap is None:
+                gap, why = at, str(e)
+            m = VERSION.search(text, at + 1)
+            at = m.start() if m else len(text)
+            continue
+        if gap is not None:
+            yield between()
+            gap = None
+        yield row
+        at = stop
+    if gap is not None and ends:
+        yield between()
+
+
 def salvage(archive: str, data: bytes):
     """Rows of the records of one archive in order, and of the gaps between them."""
     at, gap, why = 0, None, ""
-    zipped = data[:2] == b"\x1f\x8b" or not VERSION.search(data[:4096])
+
+    def following() -> int:
+        m = VERSION.search(data, at + 1)
+        plain = m.start() if m else len(data)
+        zipped = data.find(b"\x1f\x8b\x08", at + 1, plain)
+        return zipped if zipped >= 0 else plain
+
     while at < len(data):
+        fault = None
         try:
-            if zipped:
+            if data[at : at + 2] == b"\x1f\x8b":
                 # a member is inflated from a bounded window first, so that many members do not copy the archive each time
-                text, end = _window(data, at)
-                fields, stop = parse(text)
-                rows = [_row(fields, archive, at, end - at)]
-                while stop < len(text):
-                    fields, stop = parse(text, stop)
-                    rows.append(_row(fields, archive, at, end - at))
+                try:
+                    text, end = _window(data, at)
+                except ValueError as e:
+                    fault, text, end = str(e), _beginning(data, at), following()
+                rows = list(_inside(archive, text, at, end - at, fault not in (None, "member is cut"), fault is None))
+                if not any(r["kind"] == "record" for r in rows):
+                    raise ValueError(fault or (rows[0]["reason"] if rows else "member is empty"))
             else:
                 fields, end = parse(data, at)
                 rows = [_row(fields, archive, at, end - at)]
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            if zipped:
-                after = data.find(b"\x1f\x8b\x08", at + 1)
-            else:
-                m = VERSION.search(data, at + 1)
-                after = m.start() if m else -1
-            at = after if after >= 0 else len(data)
+            at = following()
             continue
         if gap is not None:
             yield {"kind": "gap", "archive": archive, "offset": gap, "length": at - gap, "reason": why}
             gap = None
         yield from rows
+        if fault:
+            gap, why = at, fault
         at = end
     if gap is not None:
         yield {"kind": "gap", "archive": archive, "offset": gap, "length": len(data) - gap, "reason": why}

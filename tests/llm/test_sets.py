@@ -283,3 +283,30 @@ def test_warc_salvage(zipped):
     assert gaps == [(first, len(bad) + 36), (first + len(bad) + 36 + len(parts[3]), len(parts[4]) - 40)]
     assert [r["page_id"] for r in warc.salvage("b", b"".join(parts)[: -len(parts[5]) // 2]) if r["kind"] == "record"] == [0, 1, 2, 3, 4]
     assert list(warc.salvage("c", b"")) == [] and BASE and documents and edges
+
+
+def test_warc_salvage_keeps_what_can_be_read():
+    ids = lambda data: [r["page_id"] for r in warc.salvage("a", data) if r["kind"] == "record"]
+    rng = np.random.default_rng(4)
+    made = [warc.record(i, "u", rng.bytes(5000).hex().encode(), None) for i in range(8)]
+    # a plain archive whose first version line is damaged, alone and before gzip members
+    assert ids(b"X" + b"".join(made)[1:]) == [1, 2, 3, 4, 5, 6, 7]
+    assert ids(b"X" + made[0][1:] + made[1] + warc.member(made[2]) + made[3]) == [1, 2, 3]
+    # one member of many records: a bad one, a cut, damage
+    bad = bytearray(b"".join(made))
+    bad[len(made[0]) * 3 + 6000] ^= 1
+    rows = list(warc.salvage("a", warc.member(bytes(bad))))
+    assert [r["page_id"] for r in rows if r["kind"] == "record"] == [0, 1, 2, 4, 5, 6, 7] and sum(r["kind"] == "gap" for r in rows) == 1
+    whole = warc.member(b"".join(made))
+    cut = list(warc.salvage("a", whole[: len(whole) // 2]))
+    assert [r["page_id"] for r in cut if r["kind"] == "record"] == [0, 1, 2] and cut[-1]["kind"] == "gap"
+    hurt = bytearray(whole)
+    hurt[len(whole) // 2 : len(whole) // 2 + 40] = bytes(40)
+    assert ids(bytes(hurt) + warc.member(made[7]))[:3] == [0, 1, 2] and ids(bytes(hurt) + warc.member(made[7]))[-1] == 7
+    # other digests and other types
+    other = re.sub(rb"sha1:\w+", b"md5:00", made[0])
+    assert ids(other + made[1]) == [0, 1]
+    hexed = made[0].replace(warc.digest_of(made[0].partition(b"\r\n\r\n")[2][:-4]).encode(), b"0" * 40)
+    assert ids(hexed + made[1]) == [1]
+    info = list(warc.salvage("a", b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"))
+    assert [(r["record_type"], r["payload"], r["payload_bytes"]) for r in info] == [("warcinfo", b"hello", 5)]
