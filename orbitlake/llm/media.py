@@ -1,7 +1,8 @@
 """Media columns: texts as 8-bit WAV, spectra and spectral-peak fingerprints.
 
 A payload's bytes are the samples of a mono 8-bit WAV written and read by the wave
-module. Short-time Fourier transforms (Hann windows of `FRAME` samples, hops of `HOP`) give
+module. Short-time Fourier transforms (periodic Hann windows of `FRAME` samples, hops of half
+a window, so that each sample counts in some frame and passages at other offsets still meet) give
 the loudest bin of each of `BANDS` bands a frame where it exceeds that band's mean; peaks of
 neighbouring frames are paired with those up to `REACH` frames later, and each pair
 (bin, later bin, distance) is a landmark with its frame as time code. Frames are
@@ -23,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, FRAME, HOP, BANDS, REACH, CHUNK = 8000, 256, 256, 3, 3, 4096
+RATE, FRAME, HOP, BANDS, REACH, CHUNK = 8000, 256, 128, 3, 6, 4096
 # The bands' bins.
 EDGES = (4, 20, 52, 128)
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def padded(text: bytes) -> bytes:
@@ -49,15 +50,15 @@ def from_wav(stored: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
-def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and bins of the spectral peaks, by frame, then band."""
-    n = max(1, -(-len(samples) // HOP))
+def peaks(samples: np.ndarray, hop: int = FRAME) -> tuple[np.ndarray, np.ndarray]:
+    """Frames (one each `hop` samples) and bins of the spectral peaks, by frame, then band."""
+    n = max(1, -(-len(samples) // hop))
     times, bins = [], []
     for a in range(0, n, CHUNK):
         m = min(CHUNK, n - a)
-        part = samples[a * HOP : (a + m - 1) * HOP + FRAME].astype(np.float32) - 128
-        part = np.pad(part, (0, (m - 1) * HOP + FRAME - len(part)))
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * _WINDOW
+        part = samples[a * hop : (a + m - 1) * hop + FRAME].astype(np.float32) - 128
+        part = np.pad(part, (0, (m - 1) * hop + FRAME - len(part)))
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::hop] * _WINDOW
         power = np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32)
         for low, high in zip(EDGES, EDGES[1:], strict=False):
             band = power[:, low:high]
@@ -73,9 +74,9 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Landmarks of peak pairs and their time codes: hash = bin << 16 | later bin << 8 | frames between."""
-    t, b = peaks(samples)
+    t, b = peaks(samples, HOP)
     codes, times = [], []
-    for step in range(1, min(BANDS * REACH, max(1, len(t))) + 1):
+    for step in range(1, min(BANDS * (REACH + 1) - 1, max(1, len(t))) + 1):
         gap = t[step:] - t[:-step]
         ok = np.flatnonzero((gap >= 1) & (gap <= REACH))
         codes.append(b[ok].astype(np.int64) << 16 | b[ok + step].astype(np.int64) << 8 | gap[ok])

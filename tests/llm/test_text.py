@@ -117,3 +117,17 @@ def test_peaks_find_a_tone():
     when, which = media.peaks(tone)
     assert set(which[(which >= 20) & (which < 52)].tolist()) == {30} and when.max() == 19
     assert SF
+
+
+def test_landmarks_are_all_pairs_and_meet_at_other_offsets():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 20_000).astype(np.uint8)
+    code, time = media.fingerprint(passage)
+    moved, _ = media.fingerprint(np.concatenate([rng.integers(97, 123, 128).astype(np.uint8), passage]))
+    assert len(np.intersect1d(code, moved)) > 0.9 * len(np.unique(code))
+    t, b = media.peaks(passage, media.HOP)
+    want = sorted((y << 16 | w << 8 | z - x, x) for i, (x, y) in enumerate(zip(t.tolist(), b.tolist(), strict=True)) for z, w in zip(t[i:].tolist(), b[i:].tolist(), strict=True) if 1 <= z - x <= media.REACH)
+    assert sorted(zip(code.tolist(), time.tolist(), strict=True)) == want
+    near, _ = media.fingerprint(np.concatenate([rng.integers(97, 123, 100).astype(np.uint8), passage]))
+    other, _ = media.fingerprint(rng.integers(97, 123, 20_000).astype(np.uint8))
+    assert len(np.intersect1d(code, near)) > 1.5 * len(np.intersect1d(code, other))
