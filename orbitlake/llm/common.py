@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one on a local master, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="orbitlake-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -33,10 +36,37 @@ def save(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Asks both garbage collectors to run, so that Spark removes the shuffle files and checkpoints of steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Scratch:
+    """Tables of one run in the shared folder, as Parquet: they cut the lineage, and go when no later step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in {*names} & {*self.names}:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.remove(name)
+
+    def keep(self, *names: str) -> None:
+        self.drop(*[x for x in self.names if x not in names])
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Spark removes the shuffle files of each query planned inside when it has ended; for steps that write their result."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES):

@@ -85,8 +85,9 @@ def test_parity_sketch_bounds_the_difference():
     for n in (10, 500, 4000):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 2**63, n // 5, dtype=np.uint64)]))
-        x, y = (np.frombuffer(parity_join.parity(s), np.uint8) for s in (a, b))
+        x, y = (parity_join.parity(s, 4096) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        assert (parity_join.folded(x, 512) == parity_join.parity(a, 512)).all()
 
 
 def brute_scores(rows, target):
