@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step inside a task works on.
-SLICE_BYTES = 4 << 20
+#: Bytes of text, and rows, that one vectorised step inside a task works on.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 16_384
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,14 +69,15 @@ def tidy_shuffles(spark: SparkSession):
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES):
-    """Parts of a batch whose texts hold about `most` bytes; a longer text stands alone."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+def slices(batch: pa.RecordBatch, text: int | pa.Array, most: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """Parts of a batch of at most `rows` rows whose texts (a column, or given) hold about `most` bytes; a longer text stands alone."""
+    texts = batch.column(text) if isinstance(text, int) else text
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + most, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -3,9 +3,11 @@
 Texts become hashed byte-trigram frequencies (whole texts, lower-cased, ASCII characters
 that are not letters as one blank). A linear support vector machine for each language
 family, one against the rest, picks the family; inside it one-versus-one machines vote.
-They learn from a bounded sample: at most `per_lang` labelled rows a language, fewer when
-there are many languages (`SAMPLE_ROWS` in all), those with the smallest hashes of their
-ids. Only this sample's features reach the driver; predictions are made in the tasks.
+They learn from a bounded sample (parameters of `fit`): at most `per_lang` labelled rows a
+language, and `sample_rows` in all, those with the smallest hashes of their ids. The sample
+has rows of the `most_langs` most frequent labels, ties by name; others, rare or misspelt,
+have none there, are not learned and never predicted. Only this sample's features reach
+the driver; predictions are made in the tasks, on ROWS texts at a time.
 
 Null texts and texts without any letter give `und` with score 0, as does a training set
 without rows. Other columns are never read for a prediction.
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 DIM = 4096
-SAMPLE_ROWS = 1200
-MOST_LANGS = 300
+#: Texts whose features (4 x DIM bytes each) are held at once.
+ROWS = 512
 # ISO 639-1 codes by family.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -120,18 +122,18 @@ class Hierarchy:
 
 def _featured(batches):
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, rows=ROWS):
             x = features(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
-def fit(labelled: DataFrame, per_lang: int = 300, key: Column | None = None) -> Hierarchy:
+def fit(labelled: DataFrame, per_lang: int = 300, sample_rows: int = 1200, most_langs: int = 300, key: Column | None = None) -> Hierarchy:
     """Fits on a bounded sample of rows with text and non-null lang; `key` (default: all their columns) orders the sample."""
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(*([key] if key is not None else ["lang", "text"])).alias("h"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return Hierarchy([], np.zeros((0, DIM), np.float32))
-    most = max(2, min(per_lang, SAMPLE_ROWS // len(counts)))
+    most = max(2, min(per_lang, sample_rows // len(counts)))
     below = F.lit(None).cast("double")
     for lang, n in counts.items():
         below = F.when(F.col("lang") == lang, F.lit(min(1.0, (1.5 * most + 20) / n))).otherwise(below)
@@ -145,12 +147,16 @@ def fit(labelled: DataFrame, per_lang: int = 300, key: Column | None = None) ->
     return Hierarchy([r[0] for r in got], x)
 
 
-def _predicted(model):
+def _predicted(model, field: int | None):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                said, sure = model.value.predict(features(part.column(1)))
-                letter = pc.fill_null(pc.match_substring_regex(part.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            text = batch.column(1) if field is None else batch.column(0).field(field)
+            at = 0
+            for part in slices(batch, text, rows=ROWS):
+                texts = text.slice(at, part.num_rows)
+                at += part.num_rows
+                said, sure = model.value.predict(features(texts))
+                letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([s if ok else "und" for s, ok in zip(said, letter, strict=True)], pa.string()), pa.array(np.where(letter & (np.array(said) != "und"), sure, 0.0), pa.float64())],
                     names=["row", "lang_pred", "score"],
@@ -161,7 +167,10 @@ def _predicted(model):
 
 def identify(docs: DataFrame, model: Hierarchy, keep: list[str], text_col: str = "text") -> DataFrame:
     """Rows of the `keep` columns with lang_pred and score appended; every row of docs, whole texts."""
-    schema = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    row = F.struct(*keep).alias("row")
+    # a text that is kept anyway is sent once
+    field = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else None
+    sent = docs.select(row) if field is not None else docs.select(row, F.col(text_col).cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    out = schema.mapInArrow(_predicted(held), f"row {schema.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = sent.mapInArrow(_predicted(held, field), f"row {sent.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select("row.*", "lang_pred", "score")

@@ -260,7 +260,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     few = wanted.limit(SENT_IDS + 1).count() <= SENT_IDS
-    target = sc.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None)
+    target = sc.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
     source = texts.where("doc_id is not null")
     if not few:
         source = source.join(wanted.withColumn("inside", F.lit(True)), "doc_id", "left")
@@ -278,7 +278,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
         hot = save(hot)
         if hot.count() > (HOT_SHARE + 1) ** 2:
             hot = hot.where(F.col("nb") > min(total[1] / HOT_SHARE**2, most))
-    pair, nb, nt = np.array(sorted(map(tuple, hot.collect())), np.int64).reshape(-1, 3).T
+    pair, nb, nt = (c.to_numpy() for c in hot.toArrow().sort_by("pair").columns)
     second = pair % (len(held.hashes) + 1)
     table = sc.broadcast((pair, [held.after(s, n, held.counts[s][second]) for s, n in enumerate((nt, nb))]))
     buckets = groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total[1] / PAIRS_PER_BUCKET))
