@@ -2,14 +2,16 @@
 
 A vector is represented by its nearest pivots in order. Pivots are a bounded sample
 (`PIVOTS` distinct vectors of the `POOL` rows with the smallest hashes of their ids). The
-index is dealt to blocks of about `BLOCK` rows; in a block every row is posted in the
-inverted files of its `POSTED` nearest pivots. A query visits the files of its `VISITED`
-nearest pivots, ranks what it finds by the footrule distance of the orders (positions
-from `PREFIX` on count as `PREFIX`), and the nearest share `RERANK` is ranked again by inner
-product. Every row is indexed; blocks of queries meet blocks of rows.
+index is dealt to blocks of about `BLOCK` rows; a block keeps an inverted file for each
+pivot, with the rows that have it among their `POSTED` nearest and its place there. A query
+reads the files of its `VISITED` nearest pivots only, and sums the footrule distance of the
+orders from what it reads (a pivot that a row has not posted counts as place POSTED). The
+nearest share `RERANK` of a block, `LEAST` times k rows at least, is ranked again by inner product;
+no other row's vector is looked at. Every row is indexed; blocks of queries meet blocks of rows.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, nor do null ids. Ties go to the smaller id.
+components take no part, nor do null ids. Ties go to the smaller id; rows that share an id
+are rows of their own, and none of them is a candidate of a query with that id.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, POOL, POSTED, VISITED, PREFIX, RERANK = 128, 4096, 8, 24, 127, 0.2
-BLOCK, QUERIES = 8192, 8192
-FEW = 256
+PIVOTS, POOL, POSTED, VISITED, RERANK, LEAST = 1024, 4096, 64, 64, 0.25, 8
+BLOCK, QUERIES = 8192, 32_768
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -47,65 +48,57 @@ def pivots(rows: DataFrame) -> np.ndarray:
     return np.array(list(found.values()), np.float32)
 
 
-def orders(v: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Nearest pivots first."""
-    return np.argsort(-(v.astype(np.float32) @ p.T), axis=1, kind="stable")
+def orders(v: np.ndarray, p: np.ndarray, most: int) -> np.ndarray:
+    """The `most` nearest pivots of each row, nearest first, ties by number."""
+    out = np.empty((len(v), min(most, len(p))), np.int32)
+    for a in range(0, len(v), 2048):
+        far = -(v[a : a + 2048].astype(np.float32) @ p.T)
+        out[a : a + 2048] = np.argsort(far, axis=1, kind="stable")[:, : out.shape[1]]
+    return out
 
 
-def positions(order: np.ndarray) -> np.ndarray:
-    """The position of each pivot, at most PREFIX."""
-    out = np.full(order.shape, PREFIX, np.int8)
-    n = min(PREFIX, order.shape[1])
-    np.put_along_axis(out, order[:, :n], np.arange(n, dtype=np.int8)[None], axis=1)
-    return out
+class Files:
+    """The inverted files of a block: of each pivot the rows that posted it, and its place in their orders."""
+
+    def __init__(self, order: np.ndarray, pivots: int):
+        flat = order.ravel()
+        by = np.argsort(flat, kind="stable")
+        self.n = len(order)
+        self.row, self.place = by // max(1, order.shape[1]), by % max(1, order.shape[1])
+        self.start = np.searchsorted(flat[by], np.arange(pivots + 1))
+
+    def gains(self, asked: np.ndarray) -> np.ndarray:
+        """How much nearer by footrule each row is than one that posted none of the asked pivots."""
+        cut = [slice(self.start[p], self.start[p + 1]) for p in asked]
+        at = np.repeat(np.arange(len(asked)), [s.stop - s.start for s in cut])
+        row, place = (np.concatenate([x[s] for s in cut]) for x in (self.row, self.place))
+        return np.bincount(row, weights=POSTED - at - np.abs(place - at), minlength=self.n)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of row pairs in double precision, summed in order, so equal vectors give equal values."""
-    total = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        total += a[:, d] * b[:, d]
+    total = np.zeros(len(b))
+    for d in range(b.shape[1]):
+        total += a[..., d] * b[:, d]
     return total
 
 
 def _searched(p, k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(rows) or not len(queries):
-            return none
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids, v = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist())
-        qids, q = queries["vec_id"].to_numpy(), np.array(queries["v"].tolist())
-        order, asked = orders(v, p.value), orders(q, p.value)
-        place, goal = positions(order), positions(asked)
-        files = np.zeros((len(v), order.shape[1]), np.float32)  # the block's inverted files, as a posting matrix
-        np.put_along_axis(files, order[:, :POSTED], 1, axis=1)
-        visits = np.zeros((len(q), order.shape[1]), np.float32)
-        np.put_along_axis(visits, asked[:, :VISITED], 1, axis=1)
-        v32, q32 = v.astype(np.float32), q.astype(np.float32)
-        want = max(FEW, math.ceil(RERANK * len(v)))
-        keep = min(k + 1, len(v))
-        out = []
-        for a in range(0, len(q), 32):
-            z = min(a + 32, len(q))
-            far = np.empty((z - a, len(v)), np.int16)
-            for i in range(a, z):
-                np.abs(place - goal[i]).sum(axis=1, dtype=np.int16, out=far[i - a])
-            if len(v) > FEW:
-                far[visits[a:z] @ files.T == 0] = np.iinfo(np.int16).max
-            bound = np.partition(far, min(want, len(v)) - 1, axis=1)[:, min(want, len(v)) - 1]
-            near = np.where(far <= bound[:, None], q32[a:z] @ v32.T, -np.inf)
-            least = np.partition(near, len(v) - keep, axis=1)[:, len(v) - keep]
-            i, j = np.nonzero(near >= (least - 1e-4 * np.abs(least) - 1e-6)[:, None])
-            ok = np.isfinite(near[i, j]) & (qids[a:z][i] != ids[j])
-            i, j = i[ok], j[ok]
-            s = exact(q[a:z][i], v[j])
-            best = np.lexsort((ids[j], -s, i))
-            i, j, s = i[best], j[best], s[best]
-            begin = np.searchsorted(i, i)
-            top = np.arange(len(i)) - begin < k
-            out.append(pd.DataFrame({"query_id": qids[a:z][i[top]], "vec_id": ids[j[top]], "score": s[top]}))
-        return pd.concat(out) if out else none
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(rows) and len(queries):
+            ids, v = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist())
+            qids, q = queries["vec_id"].to_numpy(), np.array(queries["v"].tolist())
+            files, asked = Files(orders(v, p.value, POSTED), len(p.value)), orders(q, p.value, VISITED)
+            want = min(len(v), max(LEAST * (k + 1), math.ceil(RERANK * len(v))))
+            for i in range(len(q)):
+                gain = files.gains(asked[i])
+                near = np.argpartition(-gain, want - 1)[:want]
+                near = near[ids[near] != qids[i]]
+                s = exact(q[i], v[near])
+                best = np.lexsort((ids[near], -s))[:k]
+                out.append((np.full(len(best), qids[i]), ids[near[best]], s[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 

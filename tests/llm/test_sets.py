@@ -229,6 +229,20 @@ def test_nearest_recall_and_scores(spark):
         found += len({i for _, i, _ in own} & set(best.tolist()))
     assert found / (20 * len(asked)) >= 0.9
     assert permutation_index.search(rows.limit(0)).count() == 0
+    # the same rows ten times over, moved a little: as good, on more than one block
+    rng = np.random.default_rng(2)
+    more = np.concatenate([v + rng.normal(0, 0.4 / 8, v.shape) * (i > 0) for i in range(10)])
+    many = spark.createDataFrame([(i, x) for i, x in enumerate(more.tolist())], "vec_id long, embedding array<double>")
+    some = spark.createDataFrame([(i, more[i].tolist()) for i in range(0, len(more), 400)], "vec_id long, embedding array<double>")
+    by = defaultdict(set)
+    for r in permutation_index.search(many, some).collect():
+        by[r["query_id"]].add(r["vec_id"])
+    hits = [len(by[i] & {j for j in np.argsort(-(more @ more[i]), kind="stable")[:21].tolist() if j != i}) / 20 for i in range(0, len(more), 400)]
+    assert len(many.collect()) > 2 * permutation_index.BLOCK and np.mean(hits) >= 0.9
+    # ties, equal vectors, ids that occur twice
+    tied = spark.createDataFrame([(20, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (20, [2.0, 2.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["score"], r["vec_id"]) for r in permutation_index.search(tied, k=3).collect())
+    assert got == [(2.0, 1), (2.0, 2), (2.0, 3)]
     few = permutation_index.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0])], "vec_id long, embedding array<float>")).collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(few)] == [(1, 1, 1.0), (2, 2, 0.5)]
 
