@@ -22,7 +22,7 @@ def tokenizer_path() -> str:
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: f"cast(size(filter(pii_base, x -> x.kind = '{k}')) AS bigint) AS n_{k}"
-    return found.selectExpr("doc_id", *[count(k) for k in pii.KINDS[:4]], f"sha2({pii.listed('pii_base')}, 256) AS base_sha256", f"{pii.all_spans()} AS spans")
+    return found.selectExpr("doc_id", *[count(k) for k in pii.KINDS[:4]], f"sha2({pii.listed('pii_base')}, 256) AS base_sha256", f"{pii.all_spans()} AS spans", "cast(size(pii_base) + size(pii_added) AS bigint) AS n_spans")
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
