@@ -173,8 +173,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''
 w AS (SELECT r, doc_id, lower_az, {words} AS ws FROM d),
 b AS (SELECT *, {places} AS spots FROM w),
 t(label, need_words, need, size) AS (VALUES {rows}),
-some AS (SELECT r, ws, t.* FROM b, t WHERE len(list_intersect(ws, need_words)) >= need),
-windows AS (SELECT r, label, need_words, need, unnest([list_slice(ws, i, i + size - 1) FOR i IN range(1, len(ws) + 1) IF list_contains(need_words, ws[i])]) AS block FROM some),
+able AS (SELECT r, ws, t.* FROM b, t WHERE len(list_intersect(ws, need_words)) >= need),
+windows AS (SELECT r, label, need_words, need, unnest([list_slice(ws, i, i + size - 1) FOR i IN range(1, len(ws) + 1) IF list_contains(need_words, ws[i])]) AS block FROM able),
 met AS (SELECT r, label, len(list_intersect(list_distinct(block), need_words)) / len(need_words) AS share, len(list_intersect(list_distinct(block), need_words)) >= need AS ok FROM windows),
 best AS (SELECT r, list(DISTINCT label) AS ls, max(share) AS share FROM met WHERE ok GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, len(spots)::BIGINT AS n_base,
