@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 RATE, FRAME, HOP, BANDS, REACH, CHUNK = 8000, 256, 128, 3, 6, 4096
 # The bands' bins.
 EDGES = (4, 20, 52, 128)
@@ -86,45 +88,42 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[order], time[order]
 
 
+def feature_of(code: np.ndarray, time: np.ndarray) -> str:
+    """Landmarks as a short string: their number, frames spanned and a digest."""
+    digest = hashlib.sha256(code.astype("<i4").tobytes() + time.astype("<i4").tobytes()).hexdigest()[:16]
+    return f"{len(code)}:{int(time[-1]) + 1 if len(time) else 0}:{digest}"
+
+
+_COLUMNS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "landmarks": pa.list_(pa.int32()), "times": pa.list_(pa.int32()), "media": pa.binary()}
+
+
 def _encoded(keep_media: bool):
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                cols: dict[str, list] = {c: [] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "media", "landmarks", "times")}
+            for part in slices(batch, 1, rows=256):
+                cols: dict[str, list] = {c: [] for c in _COLUMNS}
                 for text in pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist():
                     stored = to_wav(padded(text))
                     back = from_wav(stored)
                     code, time = fingerprint(np.frombuffer(back, np.uint8))
-                    for c, v in zip(cols, (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), stored if keep_media else None, code, time), strict=True):
+                    values = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(code, time), code.astype(np.int32), time.astype(np.int32), stored if keep_media else None)
+                    for c, v in zip(cols, values, strict=True):
                         cols[c].append(v)
-                kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "media": pa.binary(), "landmarks": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items())], names=["doc_id", *cols])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, _COLUMNS[c]) for c, v in cols.items())], names=["doc_id", *cols])
 
     return run
 
 
-def _digested(batches):
-    """Fingerprint arrays as a short string: their number, frames spanned and a digest."""
-    for batch in batches:
-        said = []
-        for code, time in zip(batch.column(7), batch.column(8), strict=True):
-            c, t = (np.asarray(x.values.to_numpy(zero_copy_only=False), "<i8") for x in (code, time))
-            said.append(f"{len(c)}:{int(t[-1]) + 1 if len(t) else 0}:{hashlib.sha256(c.tobytes() + t.tobytes()).hexdigest()[:16]}")
-        yield pa.RecordBatch.from_arrays([*batch.columns[:6 + 1], pa.array(said, pa.string())], names=[*batch.schema.names[:7], "feature"])
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """One row for each row of docs: sizes and digests of what was stored and read back, the WAV (`media`), and its time-coded landmarks. A map over the scan: nothing is shuffled."""
+    """One row for each row of docs: sizes and digests of what was stored and read back, `feature` (a digest of the landmarks), the landmarks with their frames (`times`), and the WAV (`media`). A map over the scan: nothing is shuffled."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(
-        _encoded(keep_media), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary, landmarks array<long>, times array<long>"
+        _encoded(keep_media),
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, landmarks array<int>, times array<int>, media binary",
     )
 
 
 def digest(docs: DataFrame, **columns: str) -> DataFrame:
-    """The same with the landmarks as one `feature` string and without the media."""
-    rows = encode(docs, keep_media=False, **columns).drop("media")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_digested, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """The same without the media."""
+    return encode(docs, keep_media=False, **columns).drop("media")

@@ -9,7 +9,9 @@ expected words are `keep` of all where that is possible. Sampling compares the
 probability with a hash of the row's id, so it repeats exactly and needs no shuffle.
 
 Nulls in a key form a cell value of their own (`(none)`); empty texts have no words and
-the smallest weight of their cell's probability; rows are never dropped: they are marked.
+their cell's probability, or, in a cell without any words, that of weight one; rows are never dropped: they are marked.
+`mix_miss` says how far, at most, a value's share was from its target in the last round: where no
+weights meet all targets it stays above `tolerance` after `rounds` rounds.
 Targets are relative; by default a key's value gets its words to the power `temper`, which
 lifts small sources. Values whose target has no words in the data are ignored.
 """
@@ -55,7 +57,7 @@ def described(docs: DataFrame, text_col: str = "text", source_col: str = "source
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """Cells (keys, mix_words) with `w`, whose shares by key meet `targets` (rows key, share).
 
     Every value of a key has to have a target; where no cell can meet them all, the last round's weights stand.
@@ -72,7 +74,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tole
         worst = w.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    return w.select(*KEYS, "mix_words", "w")
+    return w.select(*KEYS, "mix_words", "w", F.lit(worst).cast("double").alias("mix_miss"))
 
 
 def tempered(cells: DataFrame, key: str, temper: float) -> DataFrame:
@@ -82,7 +84,7 @@ def tempered(cells: DataFrame, key: str, temper: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, keep: float = 0.6, temper: float = 0.85, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", seed: int = 11, **columns: str) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic, mix_words, mix_weight (a word's), mix_p and mix_kept.
+    """docs with mix_source, mix_lang, mix_topic, mix_words, mix_weight (a word's), mix_miss, mix_p and mix_kept.
 
     Two passes over docs; only cells are shuffled (map-side sums make them at most one
     row for each cell and task). The cells come back to the rows by a broadcast join up to
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, keep: float = 0.6, temper: float = 0.85, targets: dict[
     rows = described(docs, **columns)
     cells = save(rows.groupBy(*KEYS).agg(F.sum("mix_words").alias("mix_words")))
     raked = rake(cells, targets or {k: tempered(cells, k, temper) for k in KEYS})
-    rate = save(raked.withColumn("mix_weight", F.col("w") / F.col("mix_words")).select(*KEYS, "mix_words", "mix_weight"))
+    rate = save(raked.withColumn("mix_weight", F.col("w") / F.col("mix_words")).select(*KEYS, "mix_words", "mix_weight", "mix_miss"))
     bounds = rate.agg(F.max("mix_weight").alias("high"), F.sum("mix_words").alias("words"), F.sum(F.col("mix_weight") * F.col("mix_words")).alias("mass")).first()
     scale = min(1 / bounds["high"], keep * bounds["words"] / bounds["mass"]) if bounds["high"] else 0.0
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)

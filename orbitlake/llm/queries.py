@@ -37,7 +37,7 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.selectExpr("doc_id", "mix_source AS source", "mix_lang AS lang", "mix_topic AS topic", "cast(mix_words AS bigint) AS n_words", "mix_weight AS weight", "mix_p AS p", "mix_kept AS kept")
+    return mixed.selectExpr("doc_id", "mix_source AS source", "mix_lang AS lang", "mix_topic AS topic", "cast(mix_words AS bigint) AS n_words", "mix_weight AS weight", "mix_p AS p", "mix_kept AS kept", "mix_miss AS miss")
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:

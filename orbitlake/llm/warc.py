@@ -15,7 +15,7 @@ rows of kind `gap`, which for a gap inside a member have the member's place. Rec
 response and revisit return their block as payload.
 
 Null html counts as empty. A null id is written and read back as null and neither revisits nor is
-revisited. Ids are expected to be unique. Line ends and other controls in a URL are percent-coded.
+revisited. Ids are expected to be unique; of equal payloads, all rows of the largest id are responses. Line ends and other controls in a URL are percent-coded.
 """
 
 from __future__ import annotations
@@ -221,14 +221,17 @@ def _window(data: bytes, at: int) -> tuple[bytes, int]:
 def _archived(batches):
     """Archives of about ARCHIVE_BYTES from the rows of a task."""
     held: list[bytes] = []
+    size = 0
+    full = lambda: pa.RecordBatch.from_pydict({"archive": [f"{uuid.uuid4().hex}.warc.gz"], "content": [b"".join(held)]})
     for batch in batches:
         for page_id, url, html, keeper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.append(member(record(page_id, url, html, keeper)))
-            if sum(map(len, held[-1:])) and len(held) % 64 == 0 and sum(map(len, held)) >= ARCHIVE_BYTES:
-                yield pa.RecordBatch.from_pydict({"archive": [f"{uuid.uuid4().hex}.warc.gz"], "content": [b"".join(held)]})
-                held = []
+            size += len(held[-1])
+            if size >= ARCHIVE_BYTES:
+                yield full()
+                held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_pydict({"archive": [f"{uuid.uuid4().hex}.warc.gz"], "content": [b"".join(held)]})
+        yield full()
 
 
 def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -260,7 +263,7 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same of .warc or .warc.gz files at any path that Spark reads; a file is one task's work."""
+    """The same of .warc or .warc.gz files at any path that Spark reads; a file (under 2 GiB, the source's limit) is one task's work."""
     return read(spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content"))
 
 

@@ -37,8 +37,7 @@ def brute_components(rows):
     for i, s in sets.items():
         for x in s:
             post[x].append(i)
-    near = {(a, b) for ids in post.values() if len(ids) < 400 for n, a in enumerate(ids) for b in ids[n + 1 :]}
-    near |= {(a, b) for ids in post.values() if len(ids) >= 400 for a, b in zip(ids, ids[1:], strict=False)}
+    near = {(a, b) for ids in post.values() for n, a in enumerate(ids) for b in ids[n + 1 :]}
     for a, b in near:
         both = len(sets[a] & sets[b])
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
@@ -269,6 +268,76 @@ def test_mixing_meets_the_marginals(spark):
     assert again == {r["doc_id"]: r["mix_kept"] for r in rows if r["doc_id"] is not None}
 
 
+def test_mixing_equals_plain_raking(spark, monkeypatch):
+    """Weights, probabilities and the miss against raking in plain Python; by a broadcast of the cells and by a join."""
+    rng = np.random.default_rng(3)
+    texts = ["a b c", "x | y | z", "1. one two", "%%% so", "", None]
+    rows = [(i, texts[rng.integers(0, 6)], ["en", "de", None][rng.integers(0, 3)], ["web", "books", "code"][min(2, rng.geometric(0.6) - 1)], 1) for i in range(400)]
+    for sent in (mixing.SENT_CELLS, 3):
+        monkeypatch.setattr(mixing, "SENT_CELLS", sent)
+        got = mixing.mix(clashing(spark.createDataFrame(rows, SCHEMA))).collect()
+        cells = Counter()
+        for r in got:
+            cells[tuple(r[k] for k in mixing.KEYS)] += r["mix_words"]
+        w = {c: float(n) for c, n in cells.items() if n}
+        goal = []
+        for i in range(3):
+            have = Counter()
+            for c, n in w.items():
+                have[c[i]] += n
+            goal.append({v: n**0.85 / sum(x**0.85 for x in have.values()) for v, n in have.items()})
+        for _ in range(500):
+            for i in range(3):
+                have = Counter()
+                for c, n in w.items():
+                    have[c[i]] += n
+                w = {c: n * goal[i][c[i]] / have[c[i]] for c, n in w.items()}
+        weight = {c: w[c] / cells[c] for c in w}
+        scale = min(1 / max(weight.values()), 0.6 * sum(cells.values()) / sum(w.values()))
+        for r in got:
+            c = tuple(r[k] for k in mixing.KEYS)
+            if c in weight:
+                assert r["mix_weight"] == pytest.approx(weight[c], rel=1e-4) and r["mix_p"] == pytest.approx(min(1, weight[c] * scale), rel=1e-4) and r["mix_miss"] <= 1e-6
+            else:
+                assert r["mix_weight"] is None and r["mix_p"] == pytest.approx(min(1, scale), rel=1e-4)
+    # targets that no weights meet: two cells only, whose shares are tied
+    tied = spark.createDataFrame([(1, "a b", "en", "web", 1), (2, "a b", "de", "books", 1)], SCHEMA)
+    share = lambda k, **x: spark.createDataFrame(list(x.items()), f"{k} string, share double")
+    odd = {"mix_source": share("mix_source", web=0.5, books=0.5), "mix_lang": share("mix_lang", en=0.9, de=0.1), "mix_topic": share("mix_topic", prose=1.0)}
+    assert all(r["mix_miss"] > 0.1 for r in mixing.mix(tied, targets=odd).collect())
+
+
+def test_warc_files_and_repeated_ids(spark, tmp_path):
+    made = [warc.record(i, f"http://x/{i}", f"<p>{i}</p>".encode() * 50, None) for i in range(4)]
+    (tmp_path / "a.warc").write_bytes(made[0] + b"broken" + made[1])
+    (tmp_path / "b.warc.gz").write_bytes(warc.member(made[2]) + warc.member(made[3]))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = warc.read_files(spark, str(tmp_path)).collect()
+    assert sorted(r["page_id"] for r in got if r["kind"] == "record") == [0, 1, 2, 3] and sum(r["kind"] == "gap" for r in got) == 1
+    long = "x" * 3_000_000
+    pages = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (2, "u", "same"), (9, "u", long), (8, "u", long)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.round_trip(pages).where("kind = 'record'").collect())
+    assert got == [(2, "revisit", 5, 4), (5, "response", 0, 4), (5, "response", 0, 4), (8, "revisit", 9, 3_000_000), (9, "response", 0, 3_000_000)]
+
+
+def test_large_branches_of_the_join_and_the_scores(spark, monkeypatch):
+    """Joins instead of broadcasts, frequent keys apart from buckets, several blocks a hub, wider keys: the same results."""
+    rows = varied(spark).select("doc_id", "text")
+    rows = rows.unionByName(rows.limit(50))  # rows that share id and text
+    want = brute_components([(r["doc_id"], r["text"]) for r in rows.collect()])
+    monkeypatch.setattr(parity_join, "SENT_IDS", 1)
+    monkeypatch.setattr(parity_join, "KEYS_PER_BUCKET", 200)
+    monkeypatch.setattr(parity_join, "BLOCK", 4)
+    got = parity_join.parity_join(rows).collect()
+    assert len(got) == rows.count() and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    monkeypatch.setattr(lm_score, "SENT_IDS", 1)
+    target = set(range(1_000_000, 1_000_400, 3))
+    few = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    want = brute_scores([(r["doc_id"], r["text"]) for r in varied(spark).collect()], target)
+    for r in lm_score.score(varied(spark), few).collect():
+        assert (r["xent_target"], r["xent_background"]) == pytest.approx(tuple(want[r["doc_id"]]), abs=1e-9)
+
+
 def test_warc_round_trip(spark):
     extra = [(None, None, None), (-1, "u\r\nWARC/1.1\r\n", None), (-2, None, ""), (-3, "x", "WARC/1.1\r\n\r\n é"), (-4, "x", "WARC/1.1\r\n\r\n é")]
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(extra, "page_id long, url string, html string")).withColumn("key", F.lit(1)).withColumn("keeper", F.lit(2))
