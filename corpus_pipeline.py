@@ -6,13 +6,11 @@ written as Parquet in the shared folder and read again.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake.llm import langid, mixing, packing, parity_join, pii
-from orbitlake.llm.common import shared_dir
+from orbitlake.llm.common import Scratch
 from orbitlake.llm.queries import HELD_OUT, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Rows of the last stage; tables of earlier stages are removed when the next one is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = held.put(name, stage(spark, docs, sf_dir))
+        held.keep(name)
     return docs
