@@ -1,21 +1,139 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library, and SQL for DuckDB.
+
+Most queries call the operators of `functions`; their SQL is written apart, from the
+definition. The rest (`PLAIN`) are SQL texts that both engines run, held against NumPy in the tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import orbits, series_models, series_sql
+from . import functions as fn
+from .operators import oracles, series_models, series_sql
 from .session import table
 
 
 def series(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """The events as series (g, i, v), ordered by time, then id."""
-    order = Window.partitionBy("g").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events").select(F.col(key).alias("g"), "ts", "event_id", F.col("value").alias("v"))
-    return events.select("g", (F.row_number().over(order) - 1).cast("long").alias("i"), "v")
+    return fn.as_series(table(spark, sf_dir, "events"), key, ["ts", "event_id"], "value")
+
+
+def _r(column: str, digits: int, name: str | None = None):
+    return F.round(column, digits).alias(name or column)
+
+
+def _permutation(s: DataFrame, order: int, delay: int) -> DataFrame:
+    hist = fn.histogram(s, fn.Ordinal(order, delay))
+    n = hist.groupBy("g").agg(F.sum("n").cast("long").alias("n_windows"))
+    return fn.entropy(hist, normalize=True).join(n, "g").select("g", _r("entropy", 8, "permutation_entropy"), "n_windows")
+
+
+def _amplitude(s: DataFrame) -> DataFrame:
+    hist = fn.histogram(s, fn.Amplitude(16))
+    ways = [fn.entropy(hist, m).select("g", _r("entropy", 8, name)) for m, name in (("shannon", "shannon"), ("renyi", "renyi2"), ("tsallis", "tsallis2"))]
+    return ways[0].join(ways[1], "g").join(ways[2], "g").join(hist.groupBy("g").agg(F.count("*").alias("bins_used")), "g")
+
+
+def _smoothed(s: DataFrame) -> DataFrame:
+    hist = fn.histogram(s, fn.Ordinal(3, 1))
+    return fn.entropy(hist, normalize=True, smoothing=1.0).select("g", _r("entropy", 8, "smoothed_entropy")).join(hist.groupBy("g").agg(F.count("*").alias("patterns")), "g")
+
+
+def _unique(s: DataFrame) -> DataFrame:
+    hist = fn.histogram(s, fn.Unique())
+    return fn.entropy(hist).select("g", _r("entropy", 8, "shannon")).join(hist.groupBy("g").agg(F.count("*").alias("outcomes")), "g")
+
+
+def _delays(s: DataFrame) -> DataFrame:
+    ways = [fn.optimal_delay(s, m, 50).select("g", F.col("delay").cast("int").alias(m)) for m in ("mi", "acf", "acf_zero")]
+    return ways[0].join(ways[1], "g").join(ways[2], "g")
+
+
+def _normalized(s: DataFrame) -> DataFrame:
+    ways = [fn.normalize(s, m).select("g", "i", _r("v", d, m)) for m, d in (("minmax", 7), ("demean", 10), ("l2", 7))]
+    return ways[0].join(ways[1], ["g", "i"]).join(ways[2], ["g", "i"])
+
+
+def _grained(s: DataFrame) -> DataFrame:
+    rows = None
+    for k in range(1, 6):
+        one = fn.coarse_grain(s, k).groupBy("g").agg(F.count("*").alias("n"), F.round(F.stddev_pop("v"), 6).alias("std")).withColumn("scale", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _label_grid(s: DataFrame) -> DataFrame:
+    """Events of a series on cells of 8 by 8 steps of its time and value: the kind of cell by its count, 0 to 3."""
+    z = s.join(s.groupBy("g").agg(F.max("i").alias("last"), F.min("v").alias("low"), F.max("v").alias("high")), "g").where("high > low")
+    cell = z.select(F.col("g").alias("b"), F.floor(F.col("i") * 32 / (F.col("last") + 1)).cast("int").alias("x"), F.least(F.floor((F.col("v") - F.col("low")) * 32 / (F.col("high") - F.col("low"))), F.lit(31)).cast("int").alias("y"))
+    counts = cell.groupBy("b", "x", "y").agg(F.count("*").alias("n"))
+    steps = F.sequence(F.lit(0), F.lit(31))
+    every = z.select(F.col("g").alias("b")).distinct().select("b", F.explode(steps).alias("x")).select("b", "x", F.explode(steps).alias("y"))
+    return every.join(counts, ["b", "x", "y"], "left").select("b", "x", "y", F.least(F.coalesce("n", F.lit(0)), F.lit(3)).cast("int").alias("label"))
+
+
+def _basins(s: DataFrame) -> DataFrame:
+    grid = _label_grid(s)
+    h = fn.basin_entropy(grid, 4, escaped=True).select("b", _r("sb", 7), _r("sbb", 7), "boxes", "boundary_boxes")
+    share = fn.basin_fractions(grid).where("label = 0").select("b", _r("fraction", 8, "empty"), _r("stderr", 8))
+    return h.join(share, "b").join(fn.uncertainty_exponent(grid, (1, 2, 3), escaped=True).select("b", _r("alpha", 6)), "b").withColumnRenamed("b", "g")
+
+
+def _rosenstein(s: DataFrame) -> DataFrame:
+    return fn.divergence(s, 2, 1, 1, 5, "rosenstein").select("g", "k", _r("divergence", 6))
+
+
+def _rate(s: DataFrame) -> DataFrame:
+    return fn.line_fit(fn.divergence(s, 2, 1, 1, 5, "rosenstein").select("g", F.col("k").alias("x"), F.col("divergence").alias("y"))).select("g", _r("slope", 5, "rate"))
+
+
+#: Name: (the operator with its parameters, the series it runs on: by user or by event type, SQL for DuckDB over s(g, i, v)).
+CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
+    "permutation_entropy": (lambda s: _permutation(s, 3, 1), "user_id", series_sql.PERMUTATION_ENTROPY),
+    "permutation_entropy_4_2": (lambda s: _permutation(s, 4, 2), "user_id", oracles.PERMUTATION_4_2),
+    "weighted_permutation_entropy": (lambda s: fn.permutation_entropy(s, weighted=True).select("g", _r("entropy", 8, "weighted_permutation_entropy")), "user_id", series_sql.WEIGHTED_PERMUTATION_ENTROPY),
+    "amplitude_entropy": (_amplitude, "user_id", series_sql.AMPLITUDE_ENTROPY),
+    "smoothed_ordinal_entropy": (_smoothed, "user_id", series_models.SMOOTHED_ORDINAL_ENTROPY),
+    "unique_value_entropy": (_unique, "event_type", oracles.UNIQUE),
+    "dispersion_entropy": (lambda s: fn.entropy(fn.histogram(s, fn.Dispersion(3, 2)), normalize=True).select("g", _r("entropy", 8, "dispersion_entropy")), "user_id", oracles.DISPERSION),
+    "lz76_complexity": (lambda s: fn.lz76_complexity(s).select("g", "factors", "n"), "user_id", oracles.LZ76),
+    "sample_entropy": (lambda s: fn.sample_entropy(s).select("g", "b_pairs", "a_pairs", _r("sample_entropy", 7)), "user_id", oracles.SAMPLE),
+    "multiscale_entropy": (lambda s: fn.multiscale_entropy(s, 5).select("g", "scale", "b_pairs", "a_pairs", _r("sample_entropy", 7)), "user_id", oracles.MULTISCALE),
+    "coarse_grain": (_grained, "user_id", series_sql.COARSE_GRAIN),
+    "series_features": (lambda s: fn.extract_features(s).join(s.groupBy("g").agg(F.count("*").alias("n")), "g").select("g", "n", _r("mean", 6), _r("std", 6), _r("var", 5), _r("rms", 6), _r("ptp", 6), _r("skewness", 6), _r("kurtosis", 6)), "user_id", series_sql.FEATURES),
+    "zero_crossing_rate": (lambda s: fn.zero_crossing_rate(s).where("zero_crossing_rate is not null").select("g", _r("zero_crossing_rate", 8)), "user_id", series_sql.ZERO_CROSSING_RATE),
+    "hjorth_parameters": (lambda s: fn.extract_features(s, ["activity", "mobility", "complexity"]).select("g", _r("activity", 5), _r("mobility", 6), _r("complexity", 6)), "user_id", series_sql.HJORTH),
+    "autocorrelation": (lambda s: fn.autocorrelation(s, 50).select("g", "lag", _r("acf", 7)), "event_type", oracles.AUTOCORRELATION),
+    "mutual_information": (lambda s: fn.mutual_information(s, 50).select("g", "lag", _r("mutual_information", 7)), "event_type", oracles.MUTUAL_INFORMATION),
+    "optimal_delay": (_delays, "event_type", oracles.OPTIMAL_DELAY),
+    "zero_one_test": (lambda s: fn.zero_one_test(s, [0.7, 1.1, 1.5, 1.9, 2.3], 10).select("g", _r("k", 5, "k_median")), "event_type", series_models.ZERO_ONE_TEST),
+    "correlation_sum": (lambda s: fn.correlation_sum(fn.embed(fn.scaler(s), 2), [0.1, 0.2, 0.4, 0.8, 1.6]).select("g", F.col("radius").alias("radius_std"), _r("correlation_sum", 8)), "user_id", series_sql.CORRELATION_SUM),
+    "false_nearest_neighbours": (lambda s: fn.false_nearest_neighbours(s, 1, 4).select("g", "d", _r("fraction", 7), "dimension"), "user_id", oracles.FALSE_NEIGHBOURS),
+    "cao_dimension": (lambda s: fn.cao_dimension(s, 1, 4).select("g", "d", _r("e1", 6), _r("e2", 6)), "user_id", oracles.CAO),
+    "nonlinear_prediction_error": (lambda s: fn.prediction_error(s, 2).select("g", "n", _r("error", 6)), "user_id", series_models.PREDICTION_ERROR),
+    "lyapunov_rosenstein": (_rosenstein, "user_id", series_sql.ROSENSTEIN),
+    "lyapunov_rate": (_rate, "user_id", oracles.RATE),
+    "lyapunov_kantz": (lambda s: fn.divergence(s, 2, 1, 1, 4, eps=5.0).select("g", "k", _r("divergence", 6)), "user_id", oracles.KANTZ),
+    "detrend": (lambda s: fn.detrend(s).select("g", "i", _r("v", 6, "residual")), "user_id", series_sql.DETREND),
+    "zscore": (lambda s: fn.scaler(s).select("g", "i", _r("v", 7, "z")), "user_id", series_sql.ZSCORE),
+    "normalize": (_normalized, "user_id", series_models.NORMALIZE),
+    "binarize": (lambda s: fn.binarize(s).select("g", "i", F.col("v").alias("above_median")), "user_id", series_models.BINARIZE),
+    "rank_transform": (lambda s: fn.ranks(s).select("g", "i", F.col("r").cast("long").alias("position")), "user_id", series_models.RANKS),
+    "delay_embedding": (lambda s: fn.embed(s, 3, 2).select("g", "i", *[F.col("x")[k].alias(f"x{k}") for k in range(3)]), "user_id", series_sql.DELAY_EMBEDDING),
+    "time_reversal_asymmetry": (lambda s: fn.time_reversal(s).where("value is not null").select("g", _r("value", 7, "asymmetry")), "user_id", series_sql.TIME_REVERSAL),
+    "transient_and_box": (lambda s: fn.in_box(fn.embed(fn.after(s, 10), 2, 1), [10.0, 10.0], [80.0, 90.0]).groupBy("g").agg(F.count("*").alias("inside")), "user_id", oracles.BOX),
+    "label_grid_measures": (_basins, "event_type", oracles.GRID),
+}
+
+#: SQL texts that both engines run.
+PLAIN = {name: spec for name, spec in (series_sql.ALL | series_models.ALL).items() if name not in CALLED}
+
+
+def _called(operator: Callable[[DataFrame], DataFrame], key: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(series(spark, sf_dir, key))
 
 
 def _query(text: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,24 +141,12 @@ def _query(text: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _oracle(text: str, key: str) -> str:
-    own = f"s AS MATERIALIZED (SELECT {key} AS g, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS i, value AS v FROM events)"
+    own = f"s AS MATERIALIZED (SELECT {key} AS g, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) - 1 AS i, value AS v FROM events WHERE value IS NOT NULL AND isfinite(value))"
     text = text.strip().replace("{s}", "s")
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {own}, {text[15:]}"
     return f"WITH {own}, {text[5:]}" if text.startswith("WITH ") else f"WITH {own} {text}"
 
 
-def orbit_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct states, to six digits, of the logistic map's orbit for each of 1000 parameters below chaos."""
-    kept = orbits.logistic_diagram(spark, 2.8, 3.4)
-    return kept.groupBy("k").agg(F.countDistinct(F.round("x", 6)).alias("branches"), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"))
-
-
-ORBIT_SQL = """
-WITH RECURSIVE o(k, r, n, x) AS (
-  SELECT range, 2.8 + range * ((3.4 - 2.8) / 999), 0, 0.5::DOUBLE FROM range(1000)
-  UNION ALL SELECT k, r, n + 1, r * x * (1 - x) FROM o WHERE n < 300)
-SELECT k, count(DISTINCT round(x, 6)) AS branches, round(min(x), 6) AS low, round(max(x), 6) AS high FROM o WHERE n > 200 GROUP BY k"""
-
-SERIES = series_sql.ALL | series_models.ALL
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(*spec) for name, spec in SERIES.items()} | {"orbit_diagram": orbit_diagram}
-ORACLE_SQL: dict[str, str] = {name: _oracle(*spec) for name, spec in SERIES.items()} | {"orbit_diagram": ORBIT_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _called(op, key) for name, (op, key, _) in CALLED.items()} | {name: _query(*spec) for name, spec in PLAIN.items()}
+ORACLE_SQL: dict[str, str] = {name: _oracle(text, key) for name, (_, key, text) in CALLED.items()} | {name: _oracle(*spec) for name, spec in PLAIN.items()}

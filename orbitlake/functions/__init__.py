@@ -1,17 +1,17 @@
 """Operators of ordered series as functions of DataFrames, with the usual parameters and defaults."""
 
 from .basins import basin_entropy, basin_fractions, kaplan_yorke, set_distance, uncertainty_exponent, wada
-from .blocks import cao_dimension, correlation_dimension, correlation_sum, embedding_dimension, false_nearest_neighbours, nearest, prediction_error
-from .delay import autocorrelation, first_local_minimum, mutual_information, optimal_delay
+from .blocks import cao_dimension, correlation_dimension, correlation_sum, divergence, embedding_dimension, false_nearest_neighbours, nearest, prediction_error
+from .delay import autocorrelation, first_local_minimum, mutual_information, optimal_delay, zero_one_test
 from .entropy import Amplitude, Dispersion, Ordinal, Unique, entropy, histogram, lz76_complexity, multiscale_entropy, permutation_entropy, probabilities, sample_entropy
 from .fits import divergence_rate, line_fit, local_slopes, scaling_region
 from .series import after, ahead, as_series, binarize, coarse_grain, crossings, detrend, embed, extract_features, in_ball, in_box, minmax, normalize, ranks, scaler, zero_crossing_rate
-from .surrogates import butter_filter, surrogate_test, surrogates
+from .surrogates import butter_filter, surrogate_test, surrogates, time_reversal
 
 __all__ = [
     "Amplitude", "Dispersion", "Ordinal", "Unique", "after", "ahead", "as_series", "autocorrelation", "basin_entropy", "basin_fractions", "binarize", "butter_filter", "cao_dimension",
-    "coarse_grain", "correlation_dimension", "correlation_sum", "crossings", "detrend", "divergence_rate", "embed", "embedding_dimension", "entropy", "extract_features", "false_nearest_neighbours",
+    "coarse_grain", "correlation_dimension", "correlation_sum", "crossings", "detrend", "divergence", "divergence_rate", "embed", "embedding_dimension", "entropy", "extract_features", "false_nearest_neighbours",
     "first_local_minimum", "histogram", "in_ball", "in_box", "kaplan_yorke", "line_fit", "local_slopes", "lz76_complexity", "minmax", "multiscale_entropy", "mutual_information", "nearest", "normalize",
-    "optimal_delay", "permutation_entropy", "prediction_error", "probabilities", "ranks", "sample_entropy", "scaler", "scaling_region", "set_distance", "surrogate_test", "surrogates",
-    "uncertainty_exponent", "wada", "zero_crossing_rate",
+    "optimal_delay", "permutation_entropy", "prediction_error", "probabilities", "ranks", "sample_entropy", "scaler", "scaling_region", "set_distance", "surrogate_test", "surrogates", "time_reversal",
+    "uncertainty_exponent", "wada", "zero_crossing_rate", "zero_one_test",
 ]

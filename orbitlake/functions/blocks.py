@@ -171,3 +171,29 @@ def correlation_dimension(points: DataFrame, min_window: int = 5, tol: float = 1
     """(g, slope, ...): the scaling region of log correlation sums over log radii."""
     sums = correlation_sum(points, **options).where("correlation_sum > 0")
     return scaling_region(sums.select("g", F.ln("radius").alias("x"), F.ln("correlation_sum").alias("y")), min_window, tol)
+
+
+def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int | None = None, k_max: int = 20, method: str = "kantz", eps: float | None = None, neighbours: int = 1) -> DataFrame:
+    """(g, k, divergence): mean log distance k steps after two points were near. `rosenstein`: of each point and its nearest; `kantz`: the log of the mean
+    distance to the points within eps (by default 0.1 standard deviations), of points with `neighbours` of these at least. divergence_rate() gives the exponent."""
+    if method not in ("kantz", "rosenstein"):
+        raise ValueError(f"unknown method {method!r}")
+    window = (dimension - 1) * delay if theiler is None else theiler
+    points = embed(s, dimension, delay)
+    last = points.groupBy("g").agg(F.max("i").alias("last"))
+    early = points.join(last, "g").where(F.col("i") <= F.col("last") - k_max).drop("last")
+    if method == "rosenstein":
+        pairs = nearest(early, 1, window).select("g", "i", "j")
+    else:
+        radius = stats(s).where("std > 0").select("g", (F.lit(float(eps)) if eps else 0.1 * F.col("std")).alias("eps"))
+
+        def compare(qi, q, ti, t, row):
+            a, b = np.nonzero((_distances(q, t, 2.0) <= row["eps"]) & (np.abs(qi[:, None] - ti[None]) > window))
+            return {"i": qi[a], "j": ti[b]}
+
+        pairs = _by_blocks(early.join(radius, "g"), "i long, j long", compare, ["eps"])
+    steps = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k_max)))).select("g", "i", "k", (F.col("i") + F.col("k")).alias("p"), (F.col("j") + F.col("k")).alias("q"))
+    both = steps.join(points.select("g", F.col("i").alias("p"), F.col("x").alias("xp")), ["g", "p"]).join(points.select("g", F.col("i").alias("q"), F.col("x").alias("xq")), ["g", "q"])
+    far = F.sqrt(F.aggregate(F.zip_with("xp", "xq", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    mean = both.groupBy("g", "k", "i").agg(F.avg(far).alias("d"), F.count("*").alias("n")).where(F.col("n") >= neighbours)
+    return mean.groupBy("g", "k").agg(F.avg(F.ln(F.greatest("d", F.lit(1e-12)))).alias("divergence"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,3 +61,17 @@ def optimal_delay(s: DataFrame, method: str = "mi", max_delay: int = 50, bins: i
     else:
         raise ValueError(f"unknown method {method!r}")
     return s.select("g").distinct().join(found, "g", "left")
+
+
+def zero_one_test(s: DataFrame, frequencies: Sequence[float], max_lag: int = 10) -> DataFrame:
+    """(g, k): the median over frequencies of the correlation of lags with the mean square displacement of the turned sums, less its oscillation."""
+    cs = F.array(*[F.lit(float(c)) for c in frequencies])
+    rows = s.select("g", "i", "v", F.explode(cs).alias("c"))
+    w = Window.partitionBy("g", "c").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    path = rows.select(F.struct("g", "c").alias("g"), "i", F.sum(F.col("v") * F.cos(F.col("c") * F.col("i"))).over(w).alias("p"), F.sum(F.col("v") * F.sin(F.col("c") * F.col("i"))).over(w).alias("q"))
+    lags = range(1, max_lag + 1)
+    moved = ahead(path.withColumn("z", F.struct("p", "q")), lags, "z")
+    msd = moved.groupBy("g").agg(*[F.avg(F.pow(F.col(f"a{k}.p") - F.col("p"), 2) + F.pow(F.col(f"a{k}.q") - F.col("q"), 2)).alias(f"m{k}") for k in lags])
+    curve = _unpivoted(msd, {k: f"m{k}" for k in lags}, "m").select(F.col("g.g").alias("g"), F.col("g.c").alias("c"), "lag", "m")
+    curve = curve.join(stats(s).select("g", "mean"), "g").withColumn("d", F.col("m") - F.col("mean") ** 2 * (1 - F.cos(F.col("lag") * F.col("c"))) / (1 - F.cos("c")))
+    return curve.groupBy("g", "c").agg(F.corr("lag", "d").alias("k")).groupBy("g").agg(F.median("k").alias("k"))

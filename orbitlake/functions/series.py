@@ -147,7 +147,7 @@ def extract_features(s: DataFrame, features: Sequence[str] = FEATURES) -> DataFr
     d1, d2 = F.col("a1") - F.col("v"), F.col("a2") - 2 * F.col("a1") + F.col("v")
     m = {k: F.avg(F.pow("v", F.lit(k))) for k in (2, 3, 4)}
     agg = rows.groupBy("g").agg(
-        F.avg("v0").alias("mean"), m[2].alias("var"), F.sqrt(F.avg(F.col("v0") * F.col("v0"))).alias("rms"), (F.max("v0") - F.min("v0")).alias("ptp"), m[3].alias("m3"), m[4].alias("m4"),
+        F.max("mean").alias("mean"), m[2].alias("var"), F.sqrt(F.avg(F.col("v0") * F.col("v0"))).alias("rms"), (F.max("v0") - F.min("v0")).alias("ptp"), m[3].alias("m3"), m[4].alias("m4"),
         (F.sum(((F.col("v") < 0) != (F.col("a1") < 0)).cast("int")) / F.count("a1")).alias("zero_crossing_rate"), F.var_pop(d1).alias("vd1"), F.var_pop(d2).alias("vd2"),
     )
     ratio = lambda a, b: F.when(b > 0, a / b).when(b == 0, 0.0)

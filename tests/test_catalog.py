@@ -17,8 +17,8 @@ def test_query_equals_sql(spark, name):
     want = con.execute(catalog.ORACLE_SQL[name]).fetchdf()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    left = sorted(tuple(None if x is None or x != x else round(float(x), 5) if isinstance(x, (int, float)) else str(x) for x in r) for r in got.select(*columns).toPandas().astype(object).values.tolist())
-    right = sorted(tuple(None if x is None or x != x else round(float(x), 5) if isinstance(x, (int, float)) else str(x) for x in r) for r in want[columns].astype(object).values.tolist())
+    left = sorted(tuple(None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) else str(x) for x in r) for r in got.select(*columns).toPandas().astype(object).values.tolist())
+    right = sorted(tuple(None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) else str(x) for x in r) for r in want[columns].astype(object).values.tolist())
     assert len(left) == len(right)
     for a, b in zip(left, right, strict=True):
-        assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-5 * max(1, abs(y))) for x, y in zip(a, b, strict=True)), (a, b)
+        assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-6 * max(1, abs(y))) for x, y in zip(a, b, strict=True)), (a, b)
