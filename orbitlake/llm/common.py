@@ -91,6 +91,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def cut_keys(keys: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of 64-bit keys."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def whole_keys(packed: bytes | memoryview, width: int) -> np.ndarray:
+    wide = np.zeros((len(packed) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
 def word_hashes(words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of the words of a flat array, the distinct words, and a stable 64-bit hash of each of those."""
     coded = words.dictionary_encode()

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, save, slices, split_words, word_hashes
+from .common import cut_keys, mix, save, slices, split_words, whole_keys, word_hashes
 
 #: The vocabulary has no other bound than the hashes' number.
 VOCAB = 1 << 64
@@ -41,6 +41,8 @@ MU = 200.0
 PAIRS_PER_BUCKET = 5_000_000
 #: Share of a bucket that one cold word or pair may fill.
 MOST_COLD = 1 / 8
+#: Bytes of a first word's hash that tell apart the words before one second word.
+FIRST_BYTES = 6
 #: Rows of hot pairs that a task holds before it sends them on.
 HELD_PAIRS = 1 << 20
 #: Target ids up to this number (8 bytes each) are sent to every task; more are joined.
@@ -63,7 +65,7 @@ def _counted(target):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 16 << 20):
+            for part in slices(batch, 1):
                 words, per = split_words(part.column(1))
                 codes, _, hashed = word_hashes(words)
                 inside = _in_target(part, target)
@@ -183,8 +185,8 @@ def _dealt(model, table, buckets: int, target):
                     seconds = np.flatnonzero(new_second[pairs])
                     docs, of = np.unique(place[a:z] >> 1, return_inverse=True)
                     add(
-                        bucket=int(bucket[a]), second=second[pairs[seconds]].astype("<u8").tobytes(), firsts=np.diff(np.append(seconds, len(pairs))).astype("<u4").tobytes(), first=first[pairs].astype("<u8").tobytes(),
-                        times=np.diff(np.append(pairs, z)).astype("<u4").tobytes(), places=(of << 1 | place[a:z] & 1).astype("<u4").tobytes(), docs=ids[docs].tobytes(), inside=np.packbits(inside[docs]).tobytes(),
+                        bucket=int(bucket[a]), second=second[pairs[seconds]].astype("<u8").tobytes(), firsts=np.diff(np.append(seconds, len(pairs))).astype("<u4").tobytes(), first=cut_keys(first[pairs], FIRST_BYTES),
+                        times=np.diff(np.append(pairs, z)).astype("<u4").tobytes(), places=(of << 1 | place[a:z] & 1).astype("<u2").tobytes(), docs=ids[docs].tobytes(), inside=np.packbits(inside[docs]).tobytes(),
                     )
                 yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in names[1:]]))
 
@@ -218,7 +220,7 @@ def _summed(model, groups: int):
         docs = [np.frombuffer(x, "<i8") for x in pdf["docs"]]
         inside = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(d)) for x, d in zip(pdf["inside"], docs, strict=True)])
         base = np.cumsum([0, *map(len, docs)])
-        place = [np.frombuffer(x, "<u4") for x in pdf["places"]]
+        place = [np.frombuffer(x, "<u2") for x in pdf["places"]]
         doc = np.concatenate([(x >> 1).astype(np.int64) + base[i] for i, x in enumerate(place)])
         leads = np.concatenate(place) & 1 == 0
         times = _joined(pdf, "times", "<u4").astype(np.int64)
@@ -227,7 +229,7 @@ def _summed(model, groups: int):
         word, of_word = np.unique(seconds, return_inverse=True)
         word_of = np.repeat(of_word, firsts)
         with np.errstate(over="ignore"):
-            pair, pair_of = np.unique(mix(_joined(pdf, "first", "<u8"), 7) + mix(seconds, 8).repeat(firsts), return_inverse=True)
+            pair, pair_of = np.unique(mix(whole_keys(b"".join(pdf["first"]), FIRST_BYTES), 7) + mix(seconds, 8).repeat(firsts), return_inverse=True)
         counts = np.add.reduceat(inside[doc].astype(np.int64), np.cumsum(times) - times), times
         code = m.codes(word)
         cold = code < 0

@@ -151,7 +151,7 @@ def test_lm_groups_are_bounded(spark, monkeypatch):
         run = summed(*given)
 
         def checked(pdf):
-            if pdf["bucket"].iloc[0] >= 0 and sum(len(x) // 4 for x in pdf["places"]) > 3000:
+            if pdf["bucket"].iloc[0] >= 0 and sum(len(x) // 2 for x in pdf["places"]) > 3000:
                 raise ValueError("a group is too large")
             return run(pdf)
 
