@@ -125,17 +125,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     gathered on the driver: only a count and a checksum come back per round.
     """
     undirected = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    for _ in range(most_rounds):
+
+    def starred(e: DataFrame) -> DataFrame:
         # large star: every larger neighbour points at the smallest neighbour
         u = undirected(e)
         least = u.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = u.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every smaller-or-equal neighbour points at the smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = save(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        return small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+
+    e, mark = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    for _ in range(most_rounds):
+        e = save(starred(e))
         now = tuple(e.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0)")).first())
         if now == mark:
             break

@@ -3,7 +3,7 @@
 Rows fall into cells of (source, lang, topic); a cell's weight is its number of words. The
 weights are raked until the shares of sources, languages and topics meet their targets,
 each round one window sum for each of the three. Cells that no longer move end the work;
-the loop looks at one number a round. A row's sampling probability is
+the loop looks at one number each STEP rounds. A row's sampling probability is
 its cell's raked weight over its words, scaled so that the highest is one at most and the
 expected words are `keep` of all where that is possible. Sampling compares the
 probability with a hash of the row's id, so it repeats exactly and needs no shuffle.
@@ -27,6 +27,8 @@ from .common import save
 
 #: Cells (under 200 bytes each) are broadcast up to this number.
 SENT_CELLS = 100_000
+#: Rounds of raking between two looks at how far the shares are off.
+STEP = 3
 KEYS = ("mix_source", "mix_lang", "mix_topic")
 
 
@@ -57,20 +59,22 @@ def described(docs: DataFrame, text_col: str = "text", source_col: str = "source
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 90, tolerance: float = 1e-6) -> DataFrame:
     """Cells (keys, mix_words) with `w`, whose shares by key meet `targets` (rows key, share).
 
     Every value of a key has to have a target; where no cell can meet them all, the last round's weights stand.
-    Each round cuts the lineage; its windows run over cells, which map-side sums made from all rows.
+    Each STEP rounds cut the lineage; their windows run over cells, which map-side sums made from all rows.
     """
     wanted = reduce(lambda d, k: d.join(targets[k].select(k, F.col("share").alias(f"t_{k}")), k), KEYS, cells.where("mix_words > 0"))
-    w = save(wanted.withColumn("w", F.col("mix_words")))
-    for _ in range(rounds):
-        off = F.lit(0.0)
-        for k in KEYS:
-            w = w.withColumn(f"r_{k}", F.col(f"t_{k}") / F.sum("w").over(Window.partitionBy(k))).withColumn("w", F.col("w") * F.col(f"r_{k}"))
-            off = F.greatest(off, F.abs(F.col(f"r_{k}") - 1))
-        w = save(w.withColumn("off", off).drop(*[f"r_{k}" for k in KEYS]))
+    w, worst = save(wanted.withColumn("w", F.col("mix_words"))), None
+    for _ in range(-(-rounds // STEP)):
+        for _ in range(STEP):
+            off = F.lit(0.0)
+            for k in KEYS:
+                w = w.withColumn(f"r_{k}", F.col(f"t_{k}") / F.sum("w").over(Window.partitionBy(k))).withColumn("w", F.col("w") * F.col(f"r_{k}"))
+                off = F.greatest(off, F.abs(F.col(f"r_{k}") - 1))
+            w = w.withColumn("off", off).drop(*[f"r_{k}" for k in KEYS])
+        w = save(w)
         worst = w.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
