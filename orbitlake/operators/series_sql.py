@@ -29,7 +29,7 @@ SELECT g, round(-sum(p * ln(p)) / ln(2), 8) AS shannon, round(-ln(sum(p * p)) /
   GROUP BY g, bin) c GROUP BY g"""
 
 FEATURES = """
-SELECT g, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(var_pop(v), 5) AS var, round(sqrt(avg(v * v)), 6) AS rms, round(max(v) - min(v), 6) AS ptp,
+SELECT g, count(*) AS n, round(avg(v), 10) AS mean, round(stddev_pop(v), 6) AS std, round(var_pop(v), 5) AS var, round(sqrt(avg(v * v)), 6) AS rms, round(max(v) - min(v), 6) AS ptp,
   round(CASE WHEN var_pop(v) > 0 THEN avg((v - m) * (v - m) * (v - m)) / pow(var_pop(v), 1.5) ELSE 0 END, 6) AS skewness,
   round(CASE WHEN var_pop(v) > 0 THEN avg((v - m) * (v - m) * (v - m) * (v - m)) / (var_pop(v) * var_pop(v)) - 3 ELSE 0 END, 6) AS kurtosis
 FROM (SELECT g, v, avg(v) OVER (PARTITION BY g) AS m FROM {s}) a GROUP BY g"""
