@@ -1,7 +1,8 @@
 """Registered queries of the library, and SQL for DuckDB.
 
 Most queries call the operators of `functions`; their SQL is written apart, from the
-definition. The rest (`PLAIN`) are SQL texts that both engines run, held against NumPy in the tests.
+definition. The rest (`PLAIN`) are SQL texts that both engines run; recurrence, box occupancy, extrema, power
+spectra and approximate entropy are held against NumPy in the tests, the others are not.
 """
 
 from __future__ import annotations

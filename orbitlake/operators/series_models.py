@@ -57,7 +57,7 @@ RANKS = "SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY v, i) - 1 AS po
 
 _SEGMENTS = f"""
 WITH f AS (SELECT g, seg, i - 32 * seg AS j, v FROM (
-  SELECT g, i, v, count(*) OVER (PARTITION BY g) AS n, CAST(floor(i / 32) AS BIGINT) - d AS seg FROM {{s}} CROSS JOIN (VALUES (0), (1)) k(d)) a WHERE seg >= 0 AND 32 * seg + 64 <= n),
+  SELECT g, i, v, count(*) OVER (PARTITION BY g, d) AS n, CAST(floor(i / 32) AS BIGINT) - d AS seg FROM {{s}} CROSS JOIN (VALUES (0), (1)) k(d)) a WHERE seg >= 0 AND 32 * seg + 64 <= n),
 h AS (SELECT g, seg, j, (v - avg(v) OVER (PARTITION BY g, seg)) * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS w FROM f),
 p AS (SELECT g, seg, k, (CASE WHEN k = 0 OR k = 32 THEN 1 ELSE 2 END) * (pow(sum(w * cos(2 * pi() * k * j / 64)), 2) + pow(sum(w * sin(2 * pi() * k * j / 64)), 2)) / 24 AS power
   FROM h CROSS JOIN {_values(range(33))} z(k) GROUP BY g, seg, k)"""
