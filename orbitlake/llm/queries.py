@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import langid, license_scan, lm_score, media, mixing, packing, parity_join, permutation_index, pii, warc
+from . import langid, license_scan, lm_score, media, mixing, packing, parity_join, permutation_index, pii, warc, winnowing
 
 HELD_OUT = "coalesce(crc32(cast(doc_id AS string)) % 4 = 2, false)"
 
@@ -66,6 +66,10 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm_query,
     "op2_license": license_query,
@@ -77,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": media_query,
     "op9_warc": warc_query,
     "op10_jaccard": jaccard_query,
+    "op11_winnowing": decontamination_query,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license": license_scan.sql()}
+ORACLE_SQL: dict[str, str] = {"op2_license": license_scan.sql(), "op11_winnowing": winnowing.sql()}
