@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import langid, license_scan, lm_score, media, mixing, packing, parity_join, permutation_index, pii, warc, winnowing
+from . import fim, langid, license_scan, lm_score, media, mixing, packing, parity_join, periodic, permutation_index, pii, warc, winnowing
 
 HELD_OUT = "coalesce(crc32(cast(doc_id AS string)) % 4 = 2, false)"
 
@@ -70,6 +70,14 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def fim_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def periodic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm_query,
     "op2_license": license_query,
@@ -82,5 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc_query,
     "op10_jaccard": jaccard_query,
     "op11_winnowing": decontamination_query,
+    "op12_fim": fim_query,
+    "op13_periodic": periodic_query,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license": license_scan.sql(), "op11_winnowing": winnowing.sql()}
+ORACLE_SQL: dict[str, str] = {"op2_license": license_scan.sql(), "op11_winnowing": winnowing.sql(), "op12_fim": fim.sql()}

@@ -60,10 +60,14 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _doubled(values: Column, width: int, join: Callable[[Column, Column], Column]) -> Column:
     """join() over each `width` values, by runs of 1, 2, 4, ... values; what starts in the last width - 1 places is of no use."""
+
+    def paired(step: int) -> Callable[[Column], Column]:
+        return lambda v: F.zip_with(v, F.slice(v, step + 1, 1 << 30), join)
+
     have = 1
     while have < width:
         step = min(have, width - have)
-        values = _let(values, lambda v, step=step: F.zip_with(v, F.slice(v, step + 1, 1 << 30), join))
+        values = _let(values, paired(step))
         have += step
     return values
 
@@ -76,14 +80,15 @@ def fingerprints(hashes: Column, length: int) -> Column:
     return F.slice(least, 1, F.greatest(F.size(hashes) - (length - 1), F.lit(0)))
 
 
-def windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct (item, length, words, h) of a benchmark."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("ws")).where("size(ws) > 0")
-    sized = items.withColumn("length", F.least(F.size("ws"), F.lit(window)))
+def windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
+    """Distinct (item, length, words, h) of a benchmark, and the lengths there are (`window` values at most)."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("ws"))
+    sized = items.withColumn("length", F.least(F.size("ws"), F.lit(window))).where("length > 0")
+    lengths = sorted(r["length"] for r in sized.select("length").distinct().collect())
     cut = sized.select("item", "length", F.explode(F.expr("transform(sequence(1, size(ws) - length + 1), s -> slice(ws, s, length))")).alias("ws"))
     hashed = cut.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
-    h = F.coalesce(*[F.when(F.col("length") == n, fingerprints(F.col("hs"), n)[0]) for n in range(1, window + 1)])
-    return hashed.select("item", "length", F.array_join("ws", " ").alias("words"), h.alias("h")).distinct()
+    h = F.coalesce(*[F.when(F.col("length") == n, fingerprints(F.col("hs"), n)[0]) for n in lengths], F.lit(0).cast("long"))
+    return hashed.select("item", "length", F.array_join("ws", " ").alias("words"), h.alias("h")).distinct(), lengths
 
 
 def _bitmap(known: DataFrame) -> Column:
@@ -123,9 +128,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """One row for each row of docs: doc_id, n_words, n_hit, spans (array of (start, end) in words, end exclusive), items (array of ids as strings, sorted), contaminated."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.sha2("text", 256)
-    held = save(windows(benchmark, window, item_col, item_text_col))
+    held, lengths = windows(benchmark, window, item_col, item_text_col)
+    held = save(held)
     known = save(held.groupBy("length", "words", "h").agg(F.bit_xor(F.xxhash64("item")).alias("c1"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("c2")))
-    lengths = sorted(r["length"] for r in known.select("length").distinct().collect())  # `window` values at most
     own = source.select("doc_id", key.alias("key"), F.size(cased_words(F.col("text"))).cast("long").alias("n_words"))
     if not lengths:
         return own.selectExpr("doc_id", "n_words", "0L AS n_hit", "cast(array() AS array<struct<start:bigint,end:bigint>>) AS spans", "cast(array() AS array<string>) AS items", "false AS contaminated")
@@ -158,13 +163,15 @@ def sql(window: int = WINDOW) -> str:
     """digest() of the whole tables, for DuckDB, from the definition."""
     ws = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     cut = "[array_to_string(list_slice(ws, i, i + size - 1), ' ') FOR i IN range(1, len(ws) - size + 2)]"
+    leads = "w" + "".join(f" || CASE WHEN size > {k} THEN ' ' || lead(w, {k}) OVER here ELSE '' END" for k in range(1, window))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ws} AS ws FROM documents),
 b AS (SELECT *, least(len(ws), {window}) AS size FROM (SELECT item_id::VARCHAR AS item, {ws} AS ws FROM benchmark) WHERE len(ws) > 0),
 bw AS (SELECT DISTINCT item, size, unnest({cut}) AS win FROM b),
 sizes AS (SELECT DISTINCT size FROM bw),
-dw AS (SELECT r, size, unnest(range(1, len(ws) - size + 2)) AS i, unnest({cut}) AS win FROM d, sizes WHERE len(ws) >= size),
-hit AS (SELECT r, i, size, item FROM dw JOIN bw USING (size, win)),
+dw AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+dn AS (SELECT r, size, i, {leads} AS win FROM dw, sizes WINDOW here AS (PARTITION BY r, size ORDER BY i)),
+hit AS (SELECT r, i, size, item FROM dn JOIN bw USING (size, win)),
 places AS (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM hit),
 n AS (SELECT r, count(*) AS n_hit FROM places GROUP BY r),
 items AS (SELECT r, list(DISTINCT item) AS ids FROM hit WHERE item IS NOT NULL GROUP BY r)
