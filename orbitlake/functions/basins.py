@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import _distances
+from .blocks import distances
 from .fits import line_fit
 
 
@@ -104,7 +104,7 @@ def set_distance(points: DataFrame, method: str = "centroid") -> DataFrame:
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame({"g": [], "h": [], "i": [], "d": []})
-        return q[["g", "h", "i"]].assign(d=_distances(np.array(q["x"].tolist()), np.array(t["x"].tolist()), 2.0).min(axis=1))
+        return q[["g", "h", "i"]].assign(d=distances(np.array(q["x"].tolist()), np.array(t["x"].tolist()), 2.0).min(axis=1))
 
     kind = points.schema["g"].dataType.simpleString()
     keys = ["g", "h", "q", "t"]

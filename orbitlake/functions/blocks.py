@@ -1,82 +1,122 @@
-"""Operators on pairs of points of one series: nearest neighbours, correlation sums, embedding dimensions.
+"""Operators on pairs of points of one series: nearest neighbours, correlation sums, embedding dimensions, divergence.
 
-Points have rows (g, i, x). A series is cut into blocks of BLOCK points and every pair of
-blocks is a group of its own, compared in NumPy and reduced by Spark; short series
-share groups. So work is spread over tasks however long a series is, and no task holds more
-than two blocks of a long one.
+Points have rows (g, i, x), x an array; operators on series take rows (g, i, v) and cut their windows themselves. A
+series is packed into rows of BLOCK points, one shuffle; every unordered pair of blocks is one row of a table, compared in
+NumPy and reduced at once. Short series are one block and need no second shuffle. So work is spread over
+tasks however long a series is, and a task holds two blocks of a long one at a time. All pairs are compared:
+the work is quadratic in the length of one series. `near.py` has the way for long series whose neighbours only are wanted.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fits import scaling_region
-from .series import embed, stats
+from .series import stats
 
 BLOCK = 2048
-#: Points of short series that share a group.
-SHARED = 100_000
 #: Rows of one series that stand for its pairs where percentiles of distances are wanted.
 SAMPLE = 90
 
+#: (indices, points) of a block, those of another one or the same ones, and the series' own parameters.
+Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[str, float]], dict[str, np.ndarray]]
 
-def _kind(df: DataFrame, column: str) -> str:
+
+def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _by_blocks(points: DataFrame, schema: str, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.Series], dict[str, np.ndarray]], extra: Sequence[str] = ()) -> DataFrame:
-    """Rows g and what `compare` makes of each pair of blocks: (i of queries, their points, i of targets, their points, the first row)."""
-    sizes = points.groupBy("g").agg((F.max("i") + 1).alias("size"))
-    groups = max(1, math.ceil((points.count() or 1) / SHARED))
-    rows = points.join(sizes, "g").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.floor(F.col("i") / BLOCK).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keep = ["g", "i", "x", "parts", *extra]
-    queries = rows.select(*keep, F.col("own").alias("q"), F.col("other").alias("t"), F.lit(True).alias("asks"))
-    targets = rows.select(*keep, F.col("other").alias("q"), F.col("own").alias("t"), F.lit(False).alias("asks"))
-    shared = F.when(F.col("parts") > 1, F.xxhash64("g", "q", "t")).otherwise(F.pmod(F.xxhash64("g"), F.lit(groups)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (g, _, _), part in pdf.groupby(["g", "q", "t"], sort=True):
-            part = part.sort_values("i")  # noqa: PLW2901
-            q, t = part[part["asks"]], part[~part["asks"]]
-            if len(q) and len(t):
-                found = compare(q["i"].to_numpy(), np.array(q["x"].tolist()), t["i"].to_numpy(), np.array(t["x"].tolist()), q.iloc[0])
-                if found and len(next(iter(found.values()))):
-                    out.append(pd.DataFrame(found).assign(g=g))
-        names = ["g", *[x.split()[0] for x in schema.split(", ")]]
-        return pd.concat(out)[names] if out else pd.DataFrame({n: [] for n in names})
-
-    pairs = queries.unionByName(targets).withColumn("group", shared)
-    return pairs.groupBy(F.col("parts") > 1, "group").applyInPandas(run, f"g {_kind(points, 'g')}, {schema}")
-
-
-def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+def packed(rows: DataFrame, value: str, reach: int = 0, extra: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """(g, block, rows, parts, extra columns): each block's (i, value), with the `reach` samples after its end; parts is the number of blocks."""
+    size = block or BLOCK
+    own = F.floor(F.col("i") / size)
+    at = F.explode(F.sequence(F.greatest(F.floor((F.col("i") - reach) / size), F.lit(0).cast("long")), own)) if reach else own
+    cut = rows.select("g", "i", value, at.alias("block"))
+    sizes = rows.groupBy("g").agg((F.floor(F.max("i") / size) + 1).alias("parts"))
+    out = cut.groupBy("g", "block").agg(F.collect_list(F.struct("i", F.col(value).alias("x"))).alias("rows")).join(sizes, "g")
+    return out if extra is None else out.join(extra, "g")
+
+
+def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0, block: int | None = None) -> DataFrame:
+    """Rows g and what `compare` makes of each pair of blocks. window: points are windows of that many samples of a series, else what stands in x."""
+    size = block or BLOCK
+    extra = [c for c in table.columns if c not in ("g", "block", "rows", "parts")]
+    one = table.where("parts = 1").select("g", *extra, F.array(F.struct("block", "rows")).alias("both"))
+    spread = table.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    two = spread.groupBy("g", *pair).agg(*[F.first(c).alias(c) for c in extra], F.collect_list(F.struct("block", "rows")).alias("both")).drop("lo", "hi")
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def points(held: pa.StructArray, at: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(block, indices, points) of one element."""
+        rows = held.field("rows")
+        a, b = rows.offsets[at].as_py(), rows.offsets[at + 1].as_py()
+        index = rows.values.field("i").slice(a, b - a).to_numpy(zero_copy_only=False)
+        x = rows.values.field("x").slice(a, b - a)
+        if window:
+            x = x.to_numpy(zero_copy_only=False)
+        else:
+            x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(index), -1)
+        order = np.argsort(index, kind="stable")
+        index, x, number = index[order], x[order], held.field("block")[at].as_py()
+        if window:
+            n = max(0, min(len(x) - window + 1, int(np.searchsorted(index, (number + 1) * size))))
+            index, x = index[:n], np.lib.stride_tricks.sliding_window_view(x, window)[:n] if n else np.zeros((0, window))
+        return number, index, x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both, taken, out = batch.column(batch.schema.get_field_index("both")), [], []
+            params = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in extra]
+            for r in range(len(batch)):
+                a, b = both.offsets[r].as_py(), both.offsets[r + 1].as_py()
+                parts = sorted((points(both.values, k) for k in range(a, b)), key=lambda p: p[0])
+                (_, i, x), (_, j, y) = parts[0], parts[-1]
+                if len(i) and len(j):
+                    found = compare(i, x, j, y, dict(zip(extra, (p[r] for p in params), strict=True)))
+                    taken.append(np.full(len(found[names[0]]), r))
+                    out.append(found)
+            if out:
+                g = batch.column(0).take(pa.array(np.concatenate(taken)))
+                yield pa.RecordBatch.from_arrays([g, *(pa.array(np.concatenate([o[n] for o in out])) for n in names)], names=["g", *names])
+
+    return one.unionByName(two).mapInArrow(run, f"g {kind_of(table, 'g')}, {schema}")
+
+
+def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     d = np.zeros((len(a), len(b)))
     for k in range(a.shape[1]):
         e = np.abs(a[:, k, None] - b[None, :, k])
-        d = np.maximum(d, e) if p == math.inf else d + e**p
-    return d if p in (1, math.inf) else d ** (1 / p)
+        d = np.maximum(d, e) if p == math.inf else d + (e if p == 1 else e * e if p == 2 else e**p)
+    return d if p in (1, math.inf) else np.sqrt(d) if p == 2 else d ** (1 / p)
+
+
+def _both_ways(i: np.ndarray, j: np.ndarray, same: bool, d: np.ndarray, find: Callable[[np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """find(own indices, other indices, distances, turned) for the points of a block, and for those of the other one."""
+    own = find(i, j, d, False)
+    return own if same else tuple(np.concatenate(z) for z in zip(own, find(j, i, d.T, True), strict=True))
 
 
 def nearest(points: DataFrame, k: int = 1, theiler: int = 0, p: float = 2.0) -> DataFrame:
     """(g, i, rank, j, distance): the k nearest points more than `theiler` steps away, ties to the smaller j."""
 
-    def compare(qi, q, ti, t, _):
-        d = _distances(q, t, p)
-        d[np.abs(qi[:, None] - ti[None]) <= theiler] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        i, far = np.repeat(qi, order.shape[1]), np.take_along_axis(d, order, axis=1).ravel()
-        use = np.isfinite(far)
-        return {"i": i[use], "j": ti[order.ravel()][use], "distance": far[use]}
+    def compare(i, x, j, y, _):
+        def find(own, other, d, _):
+            d = np.where(np.abs(own[:, None] - other[None]) <= theiler, np.inf, d)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            far = np.take_along_axis(d, order, axis=1).ravel()
+            use = np.isfinite(far)
+            return np.repeat(own, order.shape[1])[use], other[order.ravel()][use], far[use]
 
-    found = _by_blocks(points, "i long, j long, distance double", compare)
+        return dict(zip(("i", "j", "distance"), _both_ways(i, j, y is x, distances(x, y, p), find), strict=True))
+
+    found = by_blocks(packed(points, "x"), "i long, j long, distance double", compare)
     rank = F.row_number().over(Window.partitionBy("g", "i").orderBy("distance", "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("g", "i", "rank", "j", "distance")
 
@@ -84,32 +124,51 @@ def nearest(points: DataFrame, k: int = 1, theiler: int = 0, p: float = 2.0) ->
 def prediction_error(s: DataFrame, dimension: int = 3, delay: int = 1, horizon: int = 1, k: int = 4, theiler: int = 1) -> DataFrame:
     """(g, error, n): each point's value `horizon` steps on is told by the mean of its k nearest points'; root mean square over the standard deviation (constant series: 0)."""
     span = (dimension - 1) * delay + horizon
-    points = embed(s, dimension, delay)
-    values = s.select("g", (F.col("i") - span).alias("i"), F.col("v").alias("y")).where("i >= 0")
-    points = points.join(values.select("g", "i"), ["g", "i"], "left_semi")
-    told = nearest(points, k, theiler).join(values.select("g", F.col("i").alias("j"), F.col("y").alias("yj")), ["g", "j"])
-    said = told.groupBy("g", "i").agg(F.avg("yj").alias("said"), F.count("*").alias("m")).where(F.col("m") == k).join(values, ["g", "i"])
-    error = said.groupBy("g").agg(F.sqrt(F.avg(F.pow(F.col("said") - F.col("y"), 2))).alias("e"), F.count("*").alias("n"))
+    at = [m * delay for m in range(dimension)]
+
+    def compare(i, x, j, y, _):
+        def find(own, other, d, turned):
+            d = np.where(np.abs(own[:, None] - other[None]) <= theiler, np.inf, d)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            far = np.take_along_axis(d, order, axis=1).ravel()
+            use = np.isfinite(far)
+            of, there = (x, y) if not turned else (y, x)
+            rows = np.repeat(np.arange(len(own)), order.shape[1])[use]
+            return own[rows], far[use], other[order.ravel()][use], there[order.ravel()[use], span], of[rows, span]
+
+        return dict(zip(("i", "distance", "j", "told", "y"), _both_ways(i, j, y is x, distances(x[:, at], y[:, at], 2.0), find), strict=True))
+
+    found = by_blocks(packed(s, "v", span), "i long, distance double, j long, told double, y double", compare, span + 1)
+    rank = F.row_number().over(Window.partitionBy("g", "i").orderBy("distance", "j"))
+    told = found.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("g", "i").agg(F.avg("told").alias("said"), F.first("y").alias("y"), F.count("*").alias("m")).where(F.col("m") == k)
+    error = told.groupBy("g").agg(F.sqrt(F.avg(F.pow(F.col("said") - F.col("y"), F.lit(2)))).alias("e"), F.count("*").alias("n"))
     return error.join(stats(s).select("g", "std"), "g").select("g", F.when(F.col("std") > 0, F.col("e") / F.col("std")).otherwise(0.0).alias("error"), "n")
 
 
 def _all_dimensions(s: DataFrame, columns: int, delay: int, theiler: int, p: float, positive: bool) -> DataFrame:
     """(g, d, i, distance, extra) for d from 1 to columns - 1: the nearest point in the first d coordinates, and how far the next one is off."""
-    points = embed(s, columns, delay)
+    span = (columns - 1) * delay
 
-    def compare(qi, q, ti, t, _):
-        out, d = [], np.zeros((len(q), len(t)))
-        near = np.abs(qi[:, None] - ti[None]) <= theiler
+    def compare(i, x, j, y, _):
+        near = np.abs(i[:, None] - j[None]) <= theiler
+        d, out = np.zeros((len(i), len(j))), []
         for k in range(columns - 1):
-            e = np.abs(q[:, k, None] - t[None, :, k])
+            e = np.abs(x[:, k * delay, None] - y[None, :, k * delay])
             d = np.maximum(d, e) if p == math.inf else d + e * e
-            j = np.where(near, np.inf, d).argmin(axis=1)
-            far = np.where(near[np.arange(len(q)), j], np.inf, d[np.arange(len(q)), j])
-            use = np.isfinite(far)
-            out.append((np.full(use.sum(), k + 1), qi[use], ti[j][use], (far if p == math.inf else np.sqrt(far))[use], np.abs(q[:, k + 1] - t[j, k + 1])[use]))
+            masked = np.where(near, np.inf, d)
+
+            def find(own, other, m, turned, k=k):
+                of, there = (x, y) if not turned else (y, x)
+                best = m.argmin(axis=1)
+                far = m[np.arange(len(own)), best]
+                use = np.isfinite(far)
+                extra = np.abs(of[:, (k + 1) * delay] - there[best, (k + 1) * delay])
+                return np.full(use.sum(), k + 1), own[use], other[best][use], (far if p == math.inf else np.sqrt(far))[use], extra[use]
+
+            out.append(_both_ways(i, j, y is x, masked, find))
         return dict(zip(("d", "i", "j", "distance", "extra"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
-    found = _by_blocks(points, "d long, i long, j long, distance double, extra double", compare)
+    found = by_blocks(packed(s, "v", span), "d long, i long, j long, distance double, extra double", compare, span + 1)
     best = found.groupBy("g", "d", "i").agg(F.min(F.struct("distance", "j", "extra")).alias("b")).select("g", "d", "i", "b.distance", "b.extra")
     return best.where("distance > 0") if positive else best
 
@@ -145,24 +204,28 @@ def correlation_sum(points: DataFrame, radii: Sequence[float] | None = None, the
     """(g, radius, pairs, valid, correlation_sum): of pairs more than `theiler` steps apart, the share within each radius.
 
     By default `n_radii` radii in equal ratios from the 1st to the 50th percentile of the distances between SAMPLE points, those
-    with the smallest hashes: only the choice of radii is sampled, all pairs are counted.
+    with the smallest hashes (where both agree: from half of that to that, where all are 0: one radius of 1): only the choice of radii is sampled, all pairs are counted.
     """
+    extra = None
     if radii is None:
-        drawn = points.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= SAMPLE)
+        drawn = points.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("g", "i"), "i"))).where(F.col("r") <= SAMPLE)
         both = drawn.alias("a").join(drawn.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i")))
         off = F.zip_with("a.x", "b.x", lambda x, y: F.abs(x - y))
         far = F.array_max(off) if p == math.inf else F.pow(F.aggregate(off, F.lit(0.0), lambda t, x: t + F.pow(x, F.lit(p))), F.lit(1 / p))
-        bounds = both.select(F.col("a.g").alias("g"), far.alias("d")).where("d > 0").groupBy("g").agg(F.percentile("d", F.array(F.lit(0.01), F.lit(0.5))).alias("q")).select("g", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-        points, steps = points.join(bounds, "g"), np.linspace(0, 1, n_radii)
+        q = both.select(F.col("a.g").alias("g"), far.alias("d")).groupBy("g").agg(F.percentile(F.when(F.col("d") > 0, F.col("d")), F.array(F.lit(0.01), F.lit(0.5))).alias("q"))
+        low, high = F.coalesce(F.col("q")[0], F.lit(1.0)), F.coalesce(F.col("q")[1], F.lit(1.0))
+        extra = q.select("g", F.when(low < high, low).otherwise(F.when(F.col("q").isNull(), high).otherwise(high / 2)).alias("low"), high.alias("high"))
+        steps = np.linspace(0, 1, n_radii)
     else:
-        points, fixed = points.withColumn("low", F.lit(0.0)).withColumn("high", F.lit(0.0)), np.sort(np.asarray(radii, float))
+        fixed = np.sort(np.asarray(radii, float))
 
-    def compare(qi, q, ti, t, row):
-        own = fixed if radii is not None else row["low"] * (row["high"] / row["low"]) ** steps
-        d = _distances(q, t, p)[ti[None] - qi[:, None] > theiler]
-        return {"radius": own, "pairs": np.searchsorted(np.sort(d), own, side="right"), "valid": np.full(len(own), len(d))}
+    def compare(i, x, j, y, own):
+        r = fixed if radii is not None else np.unique(own["low"] * (own["high"] / own["low"]) ** steps)
+        d = distances(x, y, p)[j[None] - i[:, None] > theiler]
+        within = np.cumsum(np.bincount(np.searchsorted(r, d, side="left"), minlength=len(r) + 1))[: len(r)]
+        return {"radius": r, "pairs": within, "valid": np.full(len(r), len(d))}
 
-    found = _by_blocks(points, "radius double, pairs long, valid long", compare, ["low", "high"])
+    found = by_blocks(packed(points, "x", extra=extra), "radius double, pairs long, valid long", compare)
     total = found.groupBy("g", "radius").agg(F.sum("pairs").alias("pairs"), F.sum("valid").alias("valid"))
     return total.select("g", "radius", "pairs", "valid", F.when(F.col("valid") > 0, F.col("pairs") / F.col("valid")).alias("correlation_sum"))
 
@@ -174,26 +237,54 @@ def correlation_dimension(points: DataFrame, min_window: int = 5, tol: float = 1
 
 
 def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int | None = None, k_max: int = 20, method: str = "kantz", eps: float | None = None, neighbours: int = 1) -> DataFrame:
-    """(g, k, divergence): mean log distance k steps after two points were near. `rosenstein`: of each point and its nearest; `kantz`: the log of the mean
+    """(g, k, divergence, points): mean log distance k steps after two points were near, and the number of points it is of. `rosenstein`: of each point and its nearest; `kantz`: the log of the mean
     distance to the points within eps (by default 0.1 standard deviations), of points with `neighbours` of these at least. divergence_rate() gives the exponent."""
     if method not in ("kantz", "rosenstein"):
         raise ValueError(f"unknown method {method!r}")
-    window = (dimension - 1) * delay if theiler is None else theiler
-    points = embed(s, dimension, delay)
-    last = points.groupBy("g").agg(F.max("i").alias("last"))
-    early = points.join(last, "g").where(F.col("i") <= F.col("last") - k_max).drop("last")
-    if method == "rosenstein":
-        pairs = nearest(early, 1, window).select("g", "i", "j")
+    apart = (dimension - 1) * delay if theiler is None else theiler
+    span = (dimension - 1) * delay + k_max
+    at = np.arange(dimension) * delay
+    steps = np.arange(k_max + 1)
+    follow = at[None] + steps[:, None]  # columns of the point k steps on
+    rosenstein = method == "rosenstein"
+    extra = None if rosenstein else stats(s).where("std > 0").select("g", (F.lit(float(eps)) if eps else 0.1 * F.col("std")).alias("eps"))
+    log = lambda d: np.log(np.maximum(d, 1e-12))
+
+    def later(of: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Distances of pairs of windows at each step."""
+        off = (of - there) ** 2
+        return np.sqrt(sum(off[:, follow[:, m]] for m in range(dimension)))
+
+    def compare(i, x, j, y, own):
+        d = distances(x[:, at], y[:, at], 2.0)
+
+        def find(mine, other, d, turned):
+            of, there = (x, y) if not turned else (y, x)
+            valid = np.abs(mine[:, None] - other[None]) > apart
+            if rosenstein:
+                m = np.where(valid, d, np.inf)
+                best = m.argmin(axis=1)
+                use = np.flatnonzero(np.isfinite(m[np.arange(len(mine)), best]))
+                best = best[use]
+                curve = log(later(of[use], there[best]))
+                return mine[use], m[use, best], other[best], np.ones(len(use), np.int64), curve
+            a, b = np.nonzero(valid & (d <= own["eps"]))
+            sums = np.zeros((len(mine), k_max + 1))
+            for start in range(0, len(a), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                np.add.at(sums, a[part], later(of[a[part]], there[b[part]]))
+            n = np.bincount(a, minlength=len(mine))
+            use = np.flatnonzero(n)
+            return mine[use], np.zeros(len(use)), np.zeros(len(use), np.int64), n[use], sums[use]
+
+        index, far, partner, n, curve = _both_ways(i, j, y is x, d, find)
+        k = np.tile(steps, len(index))
+        return {"i": np.repeat(index, k_max + 1), "k": k, "distance": np.repeat(far, k_max + 1), "j": np.repeat(partner, k_max + 1), "n": np.repeat(n, k_max + 1), "value": curve.ravel()}
+
+    found = by_blocks(packed(s, "v", span, extra), "i long, k long, distance double, j long, n long, value double", compare, span + 1)
+    if rosenstein:
+        each = found.groupBy("g", "k", "i").agg(F.min(F.struct("distance", "j", "value")).alias("b")).select("g", "k", F.col("b.value").alias("value"))
     else:
-        radius = stats(s).where("std > 0").select("g", (F.lit(float(eps)) if eps else 0.1 * F.col("std")).alias("eps"))
-
-        def compare(qi, q, ti, t, row):
-            a, b = np.nonzero((_distances(q, t, 2.0) <= row["eps"]) & (np.abs(qi[:, None] - ti[None]) > window))
-            return {"i": qi[a], "j": ti[b]}
-
-        pairs = _by_blocks(early.join(radius, "g"), "i long, j long", compare, ["eps"])
-    steps = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k_max)))).select("g", "i", "k", (F.col("i") + F.col("k")).alias("p"), (F.col("j") + F.col("k")).alias("q"))
-    both = steps.join(points.select("g", F.col("i").alias("p"), F.col("x").alias("xp")), ["g", "p"]).join(points.select("g", F.col("i").alias("q"), F.col("x").alias("xq")), ["g", "q"])
-    far = F.sqrt(F.aggregate(F.zip_with("xp", "xq", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    mean = both.groupBy("g", "k", "i").agg(F.avg(far).alias("d"), F.count("*").alias("n")).where(F.col("n") >= neighbours)
-    return mean.groupBy("g", "k").agg(F.avg(F.ln(F.greatest("d", F.lit(1e-12)))).alias("divergence"))
+        each = found.groupBy("g", "k", "i").agg(F.sum("value").alias("sum"), F.sum("n").alias("n")).where(F.col("n") >= neighbours)
+        each = each.select("g", "k", F.ln(F.greatest(F.col("sum") / F.col("n"), F.lit(1e-12))).alias("value"))
+    return each.groupBy("g", F.col("k").cast("int").alias("k")).agg(F.avg("value").alias("divergence"), F.count("*").alias("points"))
