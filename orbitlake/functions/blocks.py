@@ -43,8 +43,14 @@ def packed(rows: DataFrame, value: str, reach: int = 0, extra: DataFrame | None
     return out if extra is None else out.join(extra, "g")
 
 
-def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0, block: int | None = None) -> DataFrame:
-    """Rows g and what `compare` makes of each pair of blocks. window: points are windows of that many samples of a series, else what stands in x."""
+def each_block(table: DataFrame, schema: str, see: Callable[[np.ndarray, np.ndarray, dict[str, float]], dict[str, np.ndarray]], block: int | None = None) -> DataFrame:
+    """Rows g and what see(indices, values, parameters) makes of each block by itself; `parts` and `block` are among the parameters."""
+    own = table.withColumns({"parts_": F.col("parts"), "block_": F.col("block"), "parts": F.lit(1)})
+    return by_blocks(own, schema, lambda i, x, j, y, p: see(i, x, p | {"parts": p["parts_"], "block": p["block_"]}), block=block, pairs=False)
+
+
+def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0, block: int | None = None, pairs: bool = True) -> DataFrame:
+    """Rows g and what `compare` makes of each pair of blocks (each block with itself alone, unless `pairs`). window: points are windows of that many samples of a series, else what stands in x."""
     size = block or BLOCK
     extra = [c for c in table.columns if c not in ("g", "block", "rows", "parts")]
     one = table.where("parts = 1").select("g", *extra, F.array(F.struct("block", "rows")).alias("both"))
@@ -59,7 +65,7 @@ def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0,
         a, b = rows.offsets[at].as_py(), rows.offsets[at + 1].as_py()
         index = rows.values.field("i").slice(a, b - a).to_numpy(zero_copy_only=False)
         x = rows.values.field("x").slice(a, b - a)
-        if window:
+        if pa.types.is_floating(x.type):
             x = x.to_numpy(zero_copy_only=False)
         else:
             x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(index), -1)
@@ -86,7 +92,7 @@ def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0,
                 g = batch.column(0).take(pa.array(np.concatenate(taken)))
                 yield pa.RecordBatch.from_arrays([g, *(pa.array(np.concatenate([o[n] for o in out])) for n in names)], names=["g", *names])
 
-    return one.unionByName(two).mapInArrow(run, f"g {kind_of(table, 'g')}, {schema}")
+    return (one.unionByName(two) if pairs else one).mapInArrow(run, f"g {kind_of(table, 'g')}, {schema}")
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:

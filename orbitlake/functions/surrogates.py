@@ -73,11 +73,14 @@ def time_reversal(s: DataFrame, delay: int = 1) -> DataFrame:
     return sums.select("g", F.when(F.col("q") > 0, F.col("c") / F.pow("q", F.lit(1.5))).alias("value"))
 
 
-def surrogate_test(s: DataFrame, statistic: Callable[[DataFrame], DataFrame] = time_reversal, method: str = "iaaft", n: int = 39, tail: str = "two", alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def surrogate_test(s: DataFrame, statistic: Callable[[DataFrame], DataFrame] = time_reversal, method: str = "iaaft", n: int = 39, tail: str = "auto", alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(g, statistic, z_score, p_value, rejected, n): a statistic of the series against its surrogates'.
 
-    statistic: any function from series (g, i, v) to rows (g, value), run once over all series and surrogates together. tail: two, greater or less.
+    statistic: any function from series (g, i, v) to rows (g, value), run once over all series and surrogates together. tail: two, greater or less, or auto: what the
+    statistic names as its `tail` (a prediction error: less), else two.
     """
+    if tail == "auto":
+        tail = getattr(statistic, "tail", "two")
     if tail not in ("two", "greater", "less"):
         raise ValueError(f"unknown tail {tail!r}")
     both = s.select("g", F.lit(0).alias("k"), "i", "v").unionByName(surrogates(s, method, n, seed))
@@ -90,56 +93,3 @@ def surrogate_test(s: DataFrame, statistic: Callable[[DataFrame], DataFrame] = t
     p = {"greater": share("above"), "less": share("below"), "two": F.least(F.lit(1.0), 2 * F.least(share("above"), share("below")))}[tail]
     z = F.when((F.col("n") > 1) & (F.col("std") > 0), (F.col("statistic") - F.col("mean")) / F.col("std")).otherwise(0.0)
     return t.select("g", "statistic", z.alias("z_score"), p.alias("p_value"), (p <= alpha).alias("rejected"), "n")
-
-
-def _butter(order: int, cutoff: list[float], kind: str, fs: float) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients of a digital Butterworth filter by the bilinear transform of the analog one."""
-    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
-    w = 2 * fs * np.tan(np.pi * np.asarray(cutoff) / fs)
-    if kind in ("low", "high"):
-        p, z, gain = (poles * w[0], np.zeros(0), w[0] ** order) if kind == "low" else (w[0] / poles, np.zeros(order), 1.0)
-    else:
-        middle, width = np.sqrt(w[0] * w[1]), w[1] - w[0]
-        half = poles * width / 2 if kind == "band" else width / 2 / poles
-        p = np.concatenate([half + np.sqrt(half**2 - middle**2 + 0j), half - np.sqrt(half**2 - middle**2 + 0j)])
-        z, gain = (np.zeros(order), width**order) if kind == "band" else (np.repeat([1j * middle, -1j * middle], order), 1.0)
-    move = lambda x: (2 * fs + x) / (2 * fs - x)
-    gain = gain * np.prod(2 * fs - z) / np.prod(2 * fs - p)
-    b = gain * np.poly(np.concatenate([move(z), -np.ones(len(p) - len(z))]))
-    return np.real(b), np.real(np.poly(move(p)))
-
-
-def _run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out, state = np.empty_like(x), state.copy()
-    for i, v in enumerate(x):
-        y = state[0] + b[0] * v
-        state[:-1] = state[1:] + b[1:-1] * v - a[1:-1] * y
-        state[-1] = b[-1] * v - a[-1] * y
-        out[i] = y
-    return out
-
-
-def _both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward over a series whose ends are mirrored about their points."""
-    pad = min(3 * len(b), len(x) - 1)
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    step = np.eye(len(b) - 1) - np.column_stack([-a[1:], np.eye(len(b) - 1)[:, :-1]])
-    steady = np.linalg.solve(step, b[1:] - a[1:] * b[0])
-    for _ in range(2):
-        y = _run_filter(b, a, y, steady * y[0])[::-1]
-    return y[pad : pad + len(x)]
-
-
-def butter_filter(s: DataFrame, cutoff: float | tuple[float, float], kind: str, fs: float = 1.0, order: int = 4) -> DataFrame:
-    """(g, i, v) through a Butterworth filter run both ways, so without shift: kind `low`, `high`, `band` (pass) or `stop`; cutoffs between 0 and fs / 2. A recursion over one series is one group."""
-    edges = [float(c) for c in (cutoff if isinstance(cutoff, tuple) else (cutoff,))]
-    if kind not in ("low", "high", "band", "stop") or len(edges) != (1 if kind in ("low", "high") else 2) or sorted(edges) != edges or not all(0 < c < fs / 2 for c in edges):
-        raise ValueError("cutoffs must rise between 0 and fs / 2: one for low and high, two for band and stop")
-    b, a = _butter(order, edges, kind, fs)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x = pdf["v"].to_numpy(float)
-        return pdf.assign(v=_both_ways(b, a, x) if len(x) > 1 else x)[["g", "i", "v"]]
-
-    return s.select("g", "i", "v").groupBy("g").applyInPandas(run, f"g {s.schema['g'].dataType.simpleString()}, i long, v double")
