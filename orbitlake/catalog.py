@@ -19,7 +19,8 @@ from .session import table
 
 def series(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """The events as series (g, i, v), ordered by time, then id."""
-    return fn.as_series(table(spark, sf_dir, "events"), key, ["ts", "event_id"], "value")
+    # a type holds a large share of all events, so it is numbered by days
+    return fn.as_series(table(spark, sf_dir, "events"), key, ["ts", "event_id"], "value", F.to_date("ts") if key == "event_type" else None)
 
 
 def _r(column: str, digits: int, name: str | None = None):
@@ -91,6 +92,28 @@ def _rate(s: DataFrame) -> DataFrame:
     return fn.line_fit(fn.divergence(s, 2, 1, 1, 5, "rosenstein").select("g", F.col("k").alias("x"), F.col("divergence").alias("y"))).select("g", _r("slope", 5, "rate"))
 
 
+def _lines(found: DataFrame, g: str = "g") -> DataFrame:
+    return found.selectExpr(f"{g} AS g", *[f"round({c}, {d}) AS {c}" for c, d in (("recurrence_rate", 8), ("determinism", 8), ("laminarity", 8))], "l_max", "v_max", *[f"round({c}, 7) AS {c}" for c in ("mean_diagonal", "trapping_time", "diagonal_entropy")])
+
+
+def _windowed(s: DataFrame) -> DataFrame:
+    """Recurrence of windows of 50 samples, each scaled by itself."""
+    return _lines(fn.rqa(fn.embed(fn.scaler(fn.windows(s, 50, column="v")), 1), 0.5), "concat(g.g, '/', g.w)")
+
+
+def _features_of_spectra(s: DataFrame) -> DataFrame:
+    f = fn.spectral_features(s, nperseg=64)
+    return f.select("g", _r("spectral_centroid", 7, "centroid"), F.round(F.col("dominant_frequency") * 64).cast("int").alias("dominant_bin"), _r("spectral_entropy", 7))
+
+
+def _boxes(s: DataFrame) -> DataFrame:
+    return fn.box_curve(fn.embed(s, 2), (0, 1, 2)).select("g", "scale", "boxes", "q", _r("value", 8))
+
+
+def _spectrum(s: DataFrame) -> DataFrame:
+    return fn.dimension_spectrum(fn.embed(s, 2), (0, 1, 2)).select("g", "q", _r("dimension", 6), "low", "high")
+
+
 #: Name: (the operator with its parameters, the series it runs on: by user or by event type, SQL for DuckDB over s(g, i, v)).
 CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "permutation_entropy": (lambda s: _permutation(s, 3, 1), "user_id", series_sql.PERMUTATION_ENTROPY),
@@ -126,6 +149,15 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "delay_embedding": (lambda s: fn.embed(s, 3, 2).select("g", "i", *[F.col("x")[k].alias(f"x{k}") for k in range(3)]), "user_id", series_sql.DELAY_EMBEDDING),
     "time_reversal_asymmetry": (lambda s: fn.time_reversal(s).where("value is not null").select("g", _r("value", 7, "asymmetry")), "user_id", series_sql.TIME_REVERSAL),
     "transient_and_box": (lambda s: fn.in_box(fn.embed(fn.after(s, 10), 2, 1), [10.0, 10.0], [80.0, 90.0]).groupBy("g").agg(F.count("*").alias("inside")), "user_id", oracles.BOX),
+    "embedding_dimension": (lambda s: fn.embedding_dimension(s, "fnn", delay=1, max_dim=4), "user_id", f"SELECT DISTINCT g, dimension FROM ({oracles.FALSE_NEIGHBOURS}) z"),
+    "rqa": (lambda s: _lines(fn.rqa(fn.embed(fn.scaler(s), 1), 0.5)), "user_id", series_sql.RQA),
+    "rqa_rate": (lambda s: _lines(fn.rqa(fn.embed(s, 2), recurrence_rate=0.05, theiler=2)), "user_id", series_sql.RQA_RATE),
+    "windowed_rqa": (_windowed, "event_type", series_models.WINDOWED_RQA),
+    "spectrogram": (lambda s: fn.spectrogram(s, nperseg=64, noverlap=32).select("g", F.col("segment").alias("seg"), "k", _r("power", 4)), "event_type", series_models.SPECTROGRAM),
+    "power_spectral_density": (lambda s: fn.power_spectral_density(s, nperseg=64).select("g", "k", "frequency", _r("psd", 5), "segments"), "event_type", series_models.WELCH),
+    "spectral_features": (_features_of_spectra, "event_type", series_models.SPECTRAL_FEATURES),
+    "box_curve": (_boxes, "event_type", oracles.boxes(fn.scale_shares()) + "SELECT g, scale, boxes, q, round(y, 8) AS value FROM l"),
+    "dimension_spectrum": (_spectrum, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + ", curve AS (SELECT g, q, x, y FROM l WHERE boxes >= 2 AND boxes <= 85e-2 * n)," + oracles.SCALING + "SELECT g, q, round(slope, 6) AS dimension, low, high FROM w WHERE best = 1"),
     "label_grid_measures": (_basins, "event_type", oracles.GRID),
 }
 

@@ -3,6 +3,7 @@
 from .basins import basin_entropy, basin_fractions, kaplan_yorke, set_distance, uncertainty_exponent, wada
 from .blocks import cao_dimension, correlation_dimension, correlation_sum, divergence, embedding_dimension, false_nearest_neighbours, nearest, prediction_error
 from .delay import autocorrelation, first_local_minimum, mutual_information, optimal_delay, zero_one_test
+from .dimensions import box_counting_dimension, box_curve, dimension_spectrum, generalized_dimension, information_dimension, scale_shares
 from .entropy import Amplitude, Dispersion, Ordinal, Unique, entropy, histogram, lz76_complexity, multiscale_entropy, permutation_entropy, probabilities, sample_entropy
 from .filters import band_pass, band_stop, butter_filter, high_pass, low_pass
 from .fits import divergence_rate, line_fit, local_slopes, scaling_region
@@ -12,9 +13,9 @@ from .spectral import power_spectral_density, sampling_rate, spectral_features,
 from .surrogates import surrogate_test, surrogates, time_reversal
 
 __all__ = [
-    "Amplitude", "Dispersion", "Ordinal", "Unique", "after", "ahead", "as_series", "autocorrelation", "band_pass", "band_stop", "basin_entropy", "basin_fractions", "binarize", "butter_filter", "cao_dimension",
-    "coarse_grain", "correlation_dimension", "correlation_sum", "crossings", "detrend", "divergence", "divergence_rate", "embed", "embedding_dimension", "entropy", "extract_features", "false_nearest_neighbours",
-    "first_local_minimum", "high_pass", "histogram", "in_ball", "in_box", "kaplan_yorke", "line_fit", "line_lengths", "local_slopes", "low_pass", "lz76_complexity", "minmax", "multiscale_entropy", "mutual_information",
-    "nearest", "normalize", "optimal_delay", "permutation_entropy", "power_spectral_density", "prediction_error", "probabilities", "ranks", "rate_threshold", "rqa", "sample_entropy", "sampling_rate", "scaler",
+    "Amplitude", "Dispersion", "Ordinal", "Unique", "after", "ahead", "as_series", "autocorrelation", "band_pass", "band_stop", "basin_entropy", "basin_fractions", "binarize", "box_counting_dimension", "box_curve", "butter_filter", "cao_dimension",
+    "coarse_grain", "correlation_dimension", "correlation_sum", "crossings", "detrend", "dimension_spectrum", "divergence", "divergence_rate", "embed", "embedding_dimension", "entropy", "extract_features", "false_nearest_neighbours",
+    "first_local_minimum", "generalized_dimension", "high_pass", "histogram", "in_ball", "in_box", "information_dimension", "kaplan_yorke", "line_fit", "line_lengths", "local_slopes", "low_pass", "lz76_complexity", "minmax", "multiscale_entropy", "mutual_information",
+    "nearest", "normalize", "optimal_delay", "permutation_entropy", "power_spectral_density", "prediction_error", "probabilities", "ranks", "rate_threshold", "rqa", "sample_entropy", "sampling_rate", "scale_shares", "scaler",
     "scaling_region", "set_distance", "spectral_features", "spectrogram", "surrogate_test", "surrogates", "time_reversal", "uncertainty_exponent", "wada", "windowed_rqa", "windows", "zero_crossing_rate", "zero_one_test",
 ]

@@ -112,3 +112,28 @@ f AS (SELECT g, avg(CASE WHEN label = 0 THEN 1.0 ELSE 0 END) AS p FROM l GROUP B
 m AS (SELECT g, m, avg(CASE WHEN odd THEN 1.0 ELSE 0 END) AS share FROM (
   SELECT o.g, o.x, o.y, m, bool_or(o.label <> q.label) AS odd FROM l o, range(1, 4) r(m) JOIN l q ON q.g = o.g AND ((q.x = o.x AND abs(q.y - o.y) = m) OR (q.y = o.y AND abs(q.x - o.x) = m)) GROUP BY ALL) GROUP BY ALL)
 SELECT b.*, round(p, 8) AS empty, round(sqrt(p * (1 - p) / 1024), 8) AS stderr, alpha FROM b JOIN f USING (g) JOIN (SELECT g, round(regr_slope(ln(share), ln(m)), 6) AS alpha FROM m WHERE share > 0 GROUP BY g) USING (g)"""
+
+
+def boxes(shares: list[float]) -> str:
+    """Covers of fewest boxes of 2-d delay points, for scales that are shares of the diameter: c (g, scale, x, n, boxes, q0, q1, q2)."""
+    rows = ", ".join(f"({k}, {r!r}e0)" for k, r in enumerate(shares))
+    return f"""
+WITH p AS (SELECT g, a, b FROM (SELECT g, v AS a, lead(v) OVER (PARTITION BY g ORDER BY i) AS b FROM {{s}}) t WHERE b IS NOT NULL),
+m AS (SELECT g, count(*) AS n, min(a) AS la, min(b) AS lb, sqrt(power(max(a) - min(a), 2) + power(max(b) - min(b), 2)) AS diameter FROM p GROUP BY g),
+f AS (SELECT p.g, scale, shift, n, diameter * share AS eps, count(*) / n::DOUBLE AS p FROM p JOIN m USING (g), (VALUES {rows}) k(scale, share), (VALUES (0e0), (2e-1), (4e-1), (6e-1), (8e-1)) o(shift)
+  WHERE diameter > 0 GROUP BY p.g, scale, shift, n, eps, floor((a - la) / (diameter * share) + shift), floor((b - lb) / (diameter * share) + shift)),
+v AS (SELECT g, scale, shift, n, eps, count(*) AS boxes, -ln(count(*)) AS q0, sum(p * ln(p)) AS q1, ln(sum(p * p)) AS q2 FROM f GROUP BY g, scale, shift, n, eps),
+c AS (SELECT g, scale, ln(eps) AS x, n, boxes, q0, q1, q2 FROM (SELECT *, row_number() OVER (PARTITION BY g, scale ORDER BY boxes, shift) AS r FROM v) WHERE r = 1),
+l AS (SELECT g, scale, x, n, boxes, unnest([0e0, 1e0, 2e0]) AS q, unnest([q0, q1, q2]) AS y FROM c)
+"""
+
+
+#: Rows (g, q, x, y) to the widest run of points whose residuals are at most 1.5 times the smallest of any run, for curve c.
+SCALING = """
+n AS (SELECT g, q, x, y, row_number() OVER (PARTITION BY g, q ORDER BY x) - 1 AS at FROM curve),
+r AS (SELECT a.g, a.q, a.at AS low, b.at AS high, b.at - a.at + 1 AS n, regr_slope(c.y, c.x) AS slope, regr_syy(c.y, c.x) AS syy, regr_sxy(c.y, c.x) AS sxy
+  FROM n a JOIN n b ON a.g = b.g AND a.q = b.q AND b.at - a.at >= 4 JOIN n c ON c.g = a.g AND c.q = a.q AND c.at BETWEEN a.at AND b.at GROUP BY a.g, a.q, a.at, b.at),
+s2 AS (SELECT *, sqrt(CASE WHEN syy - slope * sxy <= 1e-14 * syy THEN 0 ELSE syy - slope * sxy END / (n - 2)) AS sigma FROM r),
+b AS (SELECT *, min(sigma) OVER (PARTITION BY g, q) AS least FROM s2),
+w AS (SELECT *, row_number() OVER (PARTITION BY g, q ORDER BY n DESC, sigma, low) AS best FROM b WHERE sigma <= 1.5e0 * least)
+"""

@@ -84,17 +84,33 @@ SELECT p.g, CAST(k.f AS DOUBLE) AS radius_std, round(2 * sum(CASE WHEN p.d <= CA
 FROM (SELECT x.g, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) / x.s AS d FROM t x JOIN t y ON x.g = y.g AND x.i < y.i) p
 CROSS JOIN (VALUES (0.1), (0.2), (0.4), (0.8), (1.6)) k(f) JOIN n ON n.g = p.g GROUP BY p.g, k.f"""
 
-RQA = """
-WITH t AS (SELECT g, i, v, n, 0.5 * s AS r, CAST(floor(v / (0.5 * s)) AS BIGINT) AS cell FROM (
-  SELECT g, i, v, count(*) OVER (PARTITION BY g) AS n, stddev_pop(v) OVER (PARTITION BY g) AS s FROM {s}) q WHERE s > 0),
-e AS (SELECT x.g, x.n, x.i, y.i AS j FROM (SELECT t.*, cell + d AS near FROM t CROSS JOIN (VALUES (-1), (0), (1)) k(d)) x JOIN t y ON x.g = y.g AND x.near = y.cell WHERE x.i <> y.i AND abs(x.v - y.v) <= x.r),
+#: From e (g, i, j: who recurs with whom, both ways) and z (g, n) to measures.
+_LINES = """,
 dl AS (SELECT g, count(*) AS len FROM (SELECT g, j - i AS k, i - row_number() OVER (PARTITION BY g, j - i ORDER BY i) AS isl FROM e WHERE j > i) a GROUP BY g, k, isl),
 vl AS (SELECT g, count(*) AS len FROM (SELECT g, j, i - row_number() OVER (PARTITION BY g, j ORDER BY i) AS isl FROM e) a GROUP BY g, j, isl),
 d AS (SELECT g, sum(CASE WHEN len >= 2 THEN len ELSE 0 END) / CAST(sum(len) AS DOUBLE) AS det, max(len) AS l_max, avg(CASE WHEN len >= 2 THEN len END) AS l_mean FROM dl GROUP BY g),
 w AS (SELECT g, sum(CASE WHEN len >= 2 THEN len ELSE 0 END) / CAST(sum(len) AS DOUBLE) AS lam, max(len) AS v_max, avg(CASE WHEN len >= 2 THEN len END) AS tt FROM vl GROUP BY g),
-rr AS (SELECT g, count(*) / (max(n) * CAST(max(n) AS DOUBLE)) AS rate FROM e GROUP BY g)
-SELECT rr.g, round(rate, 8) AS recurrence_rate, round(det, 8) AS determinism, round(lam, 8) AS laminarity, l_max, v_max, round(coalesce(l_mean, 0), 7) AS mean_diagonal, round(coalesce(tt, 0), 7) AS trapping_time
-FROM rr JOIN d ON rr.g = d.g JOIN w ON rr.g = w.g"""
+hn AS (SELECT g, -sum(p * ln(p)) AS entropy FROM (SELECT g, count(*) / CAST(sum(count(*)) OVER (PARTITION BY g) AS DOUBLE) AS p FROM dl WHERE len >= 2 GROUP BY g, len) a GROUP BY g),
+rr AS (SELECT g, count(*) AS ones FROM e GROUP BY g)
+SELECT z.g, round(coalesce(ones / (z.n * CAST(z.n AS DOUBLE)), 0), 8) AS recurrence_rate, round(coalesce(det, 0), 8) AS determinism, round(coalesce(lam, 0), 8) AS laminarity, coalesce(l_max, 0) AS l_max, coalesce(v_max, 0) AS v_max,
+  round(coalesce(l_mean, 0), 7) AS mean_diagonal, round(coalesce(tt, 0), 7) AS trapping_time, round(abs(coalesce(entropy, 0)), 7) AS diagonal_entropy
+FROM z LEFT JOIN rr ON rr.g = z.g LEFT JOIN d ON d.g = z.g LEFT JOIN w ON w.g = z.g LEFT JOIN hn ON hn.g = z.g"""
+
+RQA = """
+WITH t AS (SELECT g, i, v, n, 0.5 * s AS r, CAST(floor(v / (0.5 * s)) AS BIGINT) AS cell FROM (
+  SELECT g, i, v, count(*) OVER (PARTITION BY g) AS n, CASE WHEN stddev_pop(v) OVER (PARTITION BY g) > 0 THEN stddev_pop(v) OVER (PARTITION BY g) ELSE 1 END AS s FROM {s}) q),
+z AS (SELECT g, max(n) AS n FROM t GROUP BY g),
+e AS (SELECT x.g, x.i, y.i AS j FROM (SELECT t.*, cell + d AS near FROM t CROSS JOIN (VALUES (-1), (0), (1)) k(d)) x JOIN t y ON x.g = y.g AND x.near = y.cell WHERE x.i <> y.i AND abs(x.v - y.v) <= x.r)""" + _LINES
+
+RQA_RATE = """
+WITH p AS (SELECT g, i, a, b FROM (SELECT g, i, v AS a, lead(v) OVER (PARTITION BY g ORDER BY i) AS b FROM {s}) q WHERE b IS NOT NULL),
+z AS (SELECT g, count(*) AS n FROM p GROUP BY g),
+o AS (SELECT x.g, x.i, y.i AS j, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d FROM p x JOIN p y ON x.g = y.g AND y.i - x.i > 2),
+r AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY g) AS m FROM o),
+h AS (SELECT z.g, least(1e0, 5e-2 * n * n / (2e0 * m)) * (m - 1) AS h FROM z JOIN (SELECT DISTINCT g, m FROM r) u ON u.g = z.g),
+q AS (SELECT h.g, max(CASE WHEN k = floor(h) THEN d END) AS low, max(CASE WHEN k = least(floor(h) + 1, m - 1) THEN d END) AS high, max(h - floor(h)) AS part FROM h JOIN r ON r.g = h.g GROUP BY h.g),
+u AS (SELECT o.g, i, j FROM o JOIN q ON q.g = o.g WHERE d <= low + part * (high - low)),
+e AS (SELECT g, i, j FROM u UNION ALL SELECT g, j AS i, i AS j FROM u)""" + _LINES
 
 BOX_OCCUPANCY = """
 SELECT g, parts, count(*) AS boxes, round(sum(p * ln(p)), 7) AS information, round(ln(sum(p * p)), 7) AS correlation FROM (
