@@ -137,3 +137,11 @@ s2 AS (SELECT *, sqrt(CASE WHEN syy - slope * sxy <= 1e-14 * syy THEN 0 ELSE syy
 b AS (SELECT *, min(sigma) OVER (PARTITION BY g, q) AS least FROM s2),
 w AS (SELECT *, row_number() OVER (PARTITION BY g, q ORDER BY n DESC, sigma, low) AS best FROM b WHERE sigma <= 1.5e0 * least)
 """
+
+_RANKED = """
+WITH p AS (SELECT g, i, a, b FROM (SELECT g, i, v AS a, lead(v) OVER (PARTITION BY g ORDER BY i) AS b FROM {s}) t WHERE b IS NOT NULL),
+d AS (SELECT x.g, x.i, y.i AS j, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d FROM p x JOIN p y ON x.g = y.g AND abs(x.i - y.i) > 1),
+r AS (SELECT g, i, j, d, row_number() OVER (PARTITION BY g, i ORDER BY d, j) AS k FROM d)
+"""
+NEIGHBOURS = _RANKED + "SELECT g, i, k, j, round(d, 8) AS distance FROM r WHERE k IN (1, 3)"
+FIXED_MASS = _RANKED + "SELECT g, k, round(avg(ln(d)), 7) AS x, count(*) AS points FROM r WHERE k IN (1, 2, 4, 8, 16) AND d > 0 GROUP BY g, k"
