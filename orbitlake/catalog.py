@@ -158,6 +158,9 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "spectral_features": (_features_of_spectra, "event_type", series_models.SPECTRAL_FEATURES),
     "nearest_neighbours": (lambda s: fn.neighbours(fn.embed(s, 2), (1, 3), theiler=1).select("g", "i", "k", "j", _r("distance", 8)), "user_id", oracles.NEIGHBOURS),
     "fixed_mass": (lambda s: fn.fixed_mass_curve(fn.embed(s, 2), (1, 2, 4, 8, 16), theiler=1, n_ref=None).select("g", "k", _r("x", 7), "points"), "user_id", oracles.FIXED_MASS),
+    "lz76_factors": (lambda s: fn.lz76_factors(s), "user_id", oracles.LZ76_FACTORS),
+    "period_curve": (lambda s: fn.period_curve(s, max_delay=30).select("g", "k", _r("value", 9)), "user_id", oracles.PERIOD_CURVE),
+    "estimate_period": (lambda s: fn.estimate_period(s, max_delay=30).select("g", _r("period", 6)), "user_id", oracles.PERIOD),
     "box_curve": (_boxes, "event_type", oracles.boxes(fn.scale_shares()) + "SELECT g, scale, boxes, q, round(y, 8) AS value FROM l"),
     "dimension_spectrum": (_spectrum, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + ", curve AS (SELECT g, q, x, y FROM l WHERE boxes >= 2 AND boxes <= 85e-2 * n)," + oracles.SCALING + "SELECT g, q, round(slope, 6) AS dimension, low, high FROM w WHERE best = 1"),
     "label_grid_measures": (_basins, "event_type", oracles.GRID),

@@ -55,8 +55,8 @@ def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0,
     extra = [c for c in table.columns if c not in ("g", "block", "rows", "parts")]
     one = table.where("parts = 1").select("g", *extra, F.array(F.struct("block", "rows")).alias("both"))
     spread = table.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pair = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
-    two = spread.groupBy("g", *pair).agg(*[F.first(c).alias(c) for c in extra], F.collect_list(F.struct("block", "rows")).alias("both")).drop("lo", "hi")
+    pair = [F.least("block", "other").alias("first_"), F.greatest("block", "other").alias("last_")]
+    two = spread.groupBy("g", *pair).agg(*[F.first(c).alias(c) for c in extra], F.collect_list(F.struct("block", "rows")).alias("both")).drop("first_", "last_")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def points(held: pa.StructArray, at: int) -> tuple[int, np.ndarray, np.ndarray]:

@@ -10,10 +10,11 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
+from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .series import ahead, binarize, coarse_grain, stats
@@ -49,7 +50,17 @@ class Unique:
     """The values as they are."""
 
 
-def histogram(s: DataFrame, outcomes: Ordinal | Dispersion | Amplitude | Unique) -> DataFrame:
+@runtime_checkable
+class Outcomes(Protocol):
+    """Any other outcome space: from series (g, i, v) to rows (g, symbol, w), and the number of possible symbols (a column over g, a number, or None: those that occur)."""
+
+    def symbols(self, s: DataFrame) -> DataFrame: ...
+
+    def cardinality(self) -> Column | float | None: ...
+
+
+def histogram(s: DataFrame, outcomes: Ordinal | Dispersion | Amplitude | Unique | Outcomes) -> DataFrame:
+    """(g, symbol, n, cardinality): how often each outcome of a space occurs (or its weights, summed), and how many there can be."""
     if isinstance(outcomes, Ordinal):
         if not 2 <= outcomes.order <= 11:
             raise ValueError("order must be from 2 to 11")
@@ -75,9 +86,17 @@ def histogram(s: DataFrame, outcomes: Ordinal | Dispersion | Amplitude | Unique)
         at = F.floor((F.col("v") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0) * outcomes.bins)
         rows = s.join(stats(s), "g").select("g", F.least(at, F.lit(outcomes.bins - 1)).cast("long").alias("symbol"), F.lit(1.0).alias("w"))
         cardinality = F.lit(float(outcomes.bins))
-    else:
+    elif isinstance(outcomes, Unique):
         counts = s.groupBy("g", F.col("v").alias("symbol")).agg(F.count("*").cast("double").alias("n"))
         return counts.join(counts.groupBy("g").agg(F.count("*").cast("double").alias("cardinality")), "g").select("g", "symbol", "n", "cardinality")
+    elif isinstance(outcomes, Outcomes):
+        rows, most = outcomes.symbols(s), outcomes.cardinality()
+        if most is None:
+            counts = rows.groupBy("g", "symbol").agg(F.sum("w").cast("double").alias("n"))
+            return counts.join(counts.groupBy("g").agg(F.count("*").cast("double").alias("cardinality")), "g").select("g", "symbol", "n", "cardinality")
+        cardinality = most if isinstance(most, Column) else F.lit(float(most))
+    else:
+        raise TypeError(f"not an outcome space: {outcomes!r}")
     return rows.groupBy("g", "symbol").agg(F.sum("w").alias("n")).select("g", "symbol", "n", cardinality.alias("cardinality"))
 
 
@@ -89,8 +108,13 @@ def probabilities(hist: DataFrame, smoothing: float = 0.0) -> DataFrame:
     return hist.drop("cardinality").join(total, "g").select("g", "symbol", p.alias("p"), (F.lit(smoothing) / mass).alias("rest"), (F.col("k") - F.col("seen")).alias("unseen"), "k")
 
 
-def entropy(hist: DataFrame, measure: str = "shannon", q: float = 2.0, base: float = 2.0, normalize: bool = False, smoothing: float = 0.0) -> DataFrame:
-    """(g, entropy): Shannon, Renyi or Tsallis of order q. Normalised: over the largest value that the number of outcomes allows (0 with one outcome). Without any mass: 0."""
+def entropy(hist: DataFrame, measure: str | Measure = "shannon", q: float = 2.0, base: float = 2.0, normalize: bool = False, smoothing: float | Estimator = 0.0) -> DataFrame:
+    """(g, entropy): Shannon, Renyi or Tsallis of order q, or a measure of one's own. Normalised: over the largest value that the number of outcomes allows (0 with one outcome). Without any mass: 0.
+
+    measure: or a pair of functions of Columns, (p -> term, (sum of terms, number of outcomes) -> (value, largest value)). smoothing: what is added to every outcome, or an estimator:
+    a function from (n, sum of n, outcomes that occur, possible outcomes) to (p of one that occurs, p of one that doesn't)."""
+    if callable(smoothing) or not isinstance(measure, str):
+        return _own_entropy(hist, measure, q, base, normalize, smoothing)
     if measure not in ("shannon", "renyi", "tsallis"):
         raise ValueError(f"unknown measure {measure!r}")
     shannon = measure == "shannon" or q == 1
@@ -107,6 +131,37 @@ def entropy(hist: DataFrame, measure: str = "shannon", q: float = 2.0, base: flo
     return total.select("g", (F.when(F.col("k") > 1, value / most).otherwise(0.0) if normalize else value).alias("entropy"))
 
 
+#: A measure and an estimator of one's own, as columns.
+Measure = tuple[Callable[[Column], Column], Callable[[Column, Column], tuple[Column, Column]]]
+Estimator = Callable[[Column, Column, Column, Column], tuple[Column, Column]]
+
+
+def _named(measure: str, q: float, base: float) -> Measure:
+    """The known measures in the form of one's own."""
+    if measure not in ("shannon", "renyi", "tsallis"):
+        raise ValueError(f"unknown measure {measure!r}")
+    log = math.log(base)
+    if measure == "shannon" or q == 1:
+        unit = 1.0 if measure == "tsallis" else log
+        return lambda p: F.when(p > 0, -p * F.ln(p)).otherwise(0.0), lambda t, k: (t / unit, F.ln(k) / unit)
+    power = lambda p: F.when(p > 0, F.pow(p, F.lit(float(q)))).otherwise(0.0)
+    if measure == "renyi":
+        return power, lambda t, k: (F.when(t > 0, F.ln(t) / ((1 - q) * log)).otherwise(0.0), F.ln(k) / log)
+    return power, lambda t, k: (F.when(t > 0, (1 - t) / (q - 1)).otherwise(0.0), (1 - F.pow(k, F.lit(1.0 - q))) / (q - 1))
+
+
+def _own_entropy(hist: DataFrame, measure: str | Measure, q: float, base: float, normalize: bool, smoothing: float | Estimator) -> DataFrame:
+    term, value = _named(measure, q, base) if isinstance(measure, str) else measure
+    add = 0.0 if callable(smoothing) else float(smoothing)
+    estimate = smoothing if callable(smoothing) else lambda n, total, seen, k: ((n + add) / (total + add * k), F.lit(add) / (total + add * k))
+    sums = hist.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("seen"), F.max("cardinality").alias("k"))
+    held, rest = estimate(F.col("n"), F.col("total"), F.col("seen"), F.col("k"))
+    told = hist.drop("cardinality").join(sums.where("total > 0"), "g").groupBy("g").agg(F.sum(term(held)).alias("t"), F.max((F.col("k") - F.col("seen")) * term(rest)).alias("u"), F.max("k").alias("k"))
+    got, most = value(F.col("t") + F.coalesce(F.col("u"), F.lit(0.0)), F.col("k"))
+    out = told.select("g", (F.when(F.col("k") > 1, got / most).otherwise(0.0) if normalize else got).alias("entropy"))
+    return sums.select("g").join(out, "g", "left").select("g", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+
+
 def permutation_entropy(s: DataFrame, order: int = 3, delay: int = 1, base: float = 2.0, normalize: bool = True, weighted: bool = False) -> DataFrame:
     return entropy(histogram(s, Ordinal(order, delay, weighted)), base=base, normalize=normalize)
 
@@ -152,26 +207,73 @@ def multiscale_entropy(s: DataFrame, scales: int | Sequence[int] = 20, factor: f
     return out
 
 
-def _phrases(codes: np.ndarray) -> list[int]:
-    """Ends of the factors of the exhaustive history: each the shortest run not found before its own last symbol."""
-    text, ends, start = "".join(map(chr, codes)), [], 0
-    while start < len(text):
-        size = 1
-        while start + size <= len(text) and text.find(text[start : start + size], 0, start + size - 1) >= 0:
-            size += 1
-        start = min(len(text), start + size)
-        ends.append(start)
-    return ends
+class _Automaton:
+    """All substrings of a text that grows at its end (a suffix automaton): linear in the text."""
+
+    def __init__(self):
+        self.next, self.link, self.size, self.last = [{}], [-1], [0], 0
+
+    def extend(self, symbol) -> None:
+        new = len(self.next)
+        self.next.append({})
+        self.size.append(self.size[self.last] + 1)
+        self.link.append(0)
+        p = self.last
+        while p >= 0 and symbol not in self.next[p]:
+            self.next[p][symbol] = new
+            p = self.link[p]
+        if p >= 0:
+            q = self.next[p][symbol]
+            if self.size[p] + 1 < self.size[q]:
+                copy = len(self.next)
+                self.next.append(dict(self.next[q]))
+                self.link.append(self.link[q])
+                self.size.append(self.size[p] + 1)
+                while p >= 0 and self.next[p].get(symbol) == q:
+                    self.next[p][symbol] = copy
+                    p = self.link[p]
+                self.link[q] = q = copy
+            self.link[new] = q
+        self.last = new
+
+
+def _factors(symbols: list) -> list[int]:
+    """Starts of the factors of the exhaustive history: each the shortest run not found before its own last symbol."""
+    seen, starts, state, length = _Automaton(), [], 0, 0
+    for at, symbol in enumerate(symbols):
+        if not length:
+            starts.append(at)
+        state = seen.next[state].get(symbol)
+        seen.extend(symbol)
+        if state is None:
+            state = length = 0
+        else:
+            length += 1
+            while seen.size[seen.link[state]] >= length:  # a longer text was split off
+                state = seen.link[state]
+    return starts
+
+
+def _symbols(s: DataFrame, threshold: str | float | None) -> DataFrame:
+    return s.select("g", "i", "v") if threshold is None else binarize(s, threshold)
+
+
+def lz76_factors(s: DataFrame, threshold: str | float | None = "median") -> DataFrame:
+    """(g, factor, start): where each factor of the exhaustive history begins. threshold: median, mean or a number to make bits of values; None: v holds symbols
+    (numbers or strings) already. A factor depends on all symbols before, so one series is one task."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = _factors(pdf.sort_values("i")["v"].tolist())
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(starts), "factor": range(len(starts)), "start": starts})
 
-def lz76_complexity(s: DataFrame, threshold: str | float = "median") -> DataFrame:
-    """(g, factors, density, n) of the series as bits about a threshold: the number of factors, and that times log2(n) / n. A series is one small Python call."""
+    symbols = _symbols(s, threshold)
+    return symbols.groupBy("g").applyInPandas(run, f"g {symbols.schema['g'].dataType.simpleString()}, factor long, start long")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = pdf.sort_values("i")["v"].to_numpy()
-        n, c = len(codes), len(_phrases(codes))
-        density = c * math.log(n) / math.log(2) / n if n > 1 and len(set(codes.tolist())) > 1 else 0.0
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "factors": [c], "density": [density], "n": [n]})
 
-    bits = binarize(s, threshold)
-    return bits.groupBy("g").applyInPandas(run, f"g {bits.schema['g'].dataType.simpleString()}, factors long, density double, n long")
+def lz76_complexity(s: DataFrame, threshold: str | float | None = "median") -> DataFrame:
+    """(g, factors, density, n): the number of factors of lz76_factors(), and the entropy rate: that times log_k(n) / n for k different symbols (0 for one)."""
+    symbols = _symbols(s, threshold)
+    size = symbols.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("v").alias("k"))
+    count = lz76_factors(symbols, None).groupBy("g").agg(F.count("*").alias("factors"))
+    density = F.when((F.col("n") > 1) & (F.col("k") > 1), F.col("factors") * F.ln("n") / F.ln("k") / F.col("n")).otherwise(0.0)
+    return size.join(count, "g").select("g", "factors", density.alias("density"), "n")

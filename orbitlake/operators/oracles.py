@@ -145,3 +145,15 @@ r AS (SELECT g, i, j, d, row_number() OVER (PARTITION BY g, i ORDER BY d, j) AS
 """
 NEIGHBOURS = _RANKED + "SELECT g, i, k, j, round(d, 8) AS distance FROM r WHERE k IN (1, 3)"
 FIXED_MASS = _RANKED + "SELECT g, k, round(avg(ln(d)), 7) AS x, count(*) AS points FROM r WHERE k IN (1, 2, 4, 8, 16) AND d > 0 GROUP BY g, k"
+
+LZ76_FACTORS = LZ76.replace("SELECT g, max(factors) AS factors, max(n) AS n FROM f GROUP BY g", "SELECT DISTINCT g, factors AS factor, start FROM f WHERE start < n")
+_PERIOD = """
+WITH y AS (SELECT g, i, v - avg(v) OVER (PARTITION BY g) AS v, count(*) OVER (PARTITION BY g) AS n FROM {s}),
+c AS (SELECT x.g, y.i - x.i AS k, sum(x.v * y.v) AS s FROM y x JOIN y ON x.g = y.g AND y.i >= x.i AND y.i - x.i < least(30, x.n - 2) WHERE x.n >= 8 GROUP BY x.g, y.i - x.i),
+a AS (SELECT g, k, s / sum(CASE WHEN k = 0 THEN s END) OVER (PARTITION BY g) AS value FROM c)
+"""
+PERIOD_CURVE = _PERIOD + "SELECT g, k, round(value, 9) AS value FROM a"
+PERIOD = _PERIOD.rstrip() + """,
+z AS (SELECT *, min(CASE WHEN k >= 1 AND value < 0 THEN k END) OVER (PARTITION BY g) AS start, lag(value) OVER w AS l, lead(value) OVER w AS r FROM a WINDOW w AS (PARTITION BY g ORDER BY k)),
+b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY value DESC, k) AS best FROM z WHERE k >= start)
+SELECT h.g, round(k + coalesce(5e-1 * (l - r) / nullif(l - 2 * value + r, 0), 0), 6) AS period FROM (SELECT DISTINCT g FROM {s}) h LEFT JOIN b ON b.g = h.g AND best = 1"""
