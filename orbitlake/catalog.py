@@ -114,6 +114,18 @@ def _spectrum(s: DataFrame) -> DataFrame:
     return fn.dimension_spectrum(fn.embed(s, 2), (0, 1, 2)).select("g", "q", _r("dimension", 6), "low", "high")
 
 
+def _sweep(s: DataFrame) -> DataFrame:
+    """Every 20 events of a type as one value of a parameter: a cycle of four, a fixed point, or the values by quarters."""
+    p = F.floor(F.col("i") / 20)
+    v = F.when(p % 3 == 0, F.col("i") % 4).when(p % 3 == 1, 7).otherwise(F.floor(F.col("v") / 25)).cast("double")
+    return s.select("g", p.cast("double").alias("parameter"), "i", v.alias("v"))
+
+
+def _edges(s: DataFrame) -> DataFrame:
+    d = fn.edge_distance(_label_grid(s))
+    return d.groupBy(F.col("b").alias("g"), "label").agg(F.count("*").alias("cells"), F.round(F.max("distance"), 8).alias("deepest"), F.round(F.sum("distance"), 6).alias("total"))
+
+
 #: Name: (the operator with its parameters, the series it runs on: by user or by event type, SQL for DuckDB over s(g, i, v)).
 CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "permutation_entropy": (lambda s: _permutation(s, 3, 1), "user_id", series_sql.PERMUTATION_ENTROPY),
@@ -161,6 +173,9 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "lz76_factors": (lambda s: fn.lz76_factors(s), "user_id", oracles.LZ76_FACTORS),
     "period_curve": (lambda s: fn.period_curve(s, max_delay=30).select("g", "k", _r("value", 9)), "user_id", oracles.PERIOD_CURVE),
     "estimate_period": (lambda s: fn.estimate_period(s, max_delay=30).select("g", _r("period", 6)), "user_id", oracles.PERIOD),
+    "sweep_periods": (lambda s: fn.periods(_sweep(s)).join(fn.branches(_sweep(s)), ["g", "parameter"]), "event_type", oracles.SWEEP),
+    "bifurcation_points": (lambda s: fn.bifurcation_points(fn.periods(_sweep(s))), "event_type", oracles.BIFURCATIONS),
+    "edge_distance": (_edges, "event_type", oracles.EDGES),
     "box_curve": (_boxes, "event_type", oracles.boxes(fn.scale_shares()) + "SELECT g, scale, boxes, q, round(y, 8) AS value FROM l"),
     "dimension_spectrum": (_spectrum, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + ", curve AS (SELECT g, q, x, y FROM l WHERE boxes >= 2 AND boxes <= 85e-2 * n)," + oracles.SCALING + "SELECT g, q, round(slope, 6) AS dimension, low, high FROM w WHERE best = 1"),
     "label_grid_measures": (_basins, "event_type", oracles.GRID),

@@ -157,3 +157,21 @@ PERIOD = _PERIOD.rstrip() + """,
 z AS (SELECT *, min(CASE WHEN k >= 1 AND value < 0 THEN k END) OVER (PARTITION BY g) AS start, lag(value) OVER w AS l, lead(value) OVER w AS r FROM a WINDOW w AS (PARTITION BY g ORDER BY k)),
 b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY value DESC, k) AS best FROM z WHERE k >= start)
 SELECT h.g, round(k + coalesce(5e-1 * (l - r) / nullif(l - 2 * value + r, 0), 0), 6) AS period FROM (SELECT DISTINCT g FROM {s}) h LEFT JOIN b ON b.g = h.g AND best = 1"""
+
+#: Every 20 events of a type are one value of a parameter; what happens is the value by quarters.
+_SWEEP = """
+WITH w AS (SELECT g, CAST(i // 20 AS DOUBLE) AS p, i, CASE WHEN (i // 20) % 3 = 0 THEN i % 4 WHEN (i // 20) % 3 = 1 THEN 7 ELSE floor(v / 25) END AS v FROM {s}),
+r AS (SELECT *, v - lag(v) OVER (PARTITION BY g, p ORDER BY v) AS gap, min(v) OVER (PARTITION BY g, p) AS low, max(v) OVER (PARTITION BY g, p) AS high, avg(v) OVER (PARTITION BY g, p) AS mean, row_number() OVER (PARTITION BY g, p ORDER BY i) AS at FROM w),
+b AS (SELECT g, p, count(*) AS n, max(high - low) AS span, CASE WHEN count(*) = 1 OR max(high - low) <= 1e-2 * greatest(max(high - mean), max(mean - low), 1) THEN 1 ELSE 1 + count(*) FILTER (gap > 1e-2 * (high - low)) END AS branches FROM r GROUP BY g, p),
+c AS (SELECT b.g, b.p, count(*) FILTER (abs(x.v - y.v) > 1e-2 * greatest(span, 1)) AS off FROM b JOIN r x ON x.g = b.g AND x.p = b.p JOIN r y ON y.g = b.g AND y.p = b.p AND y.at = x.at + branches GROUP BY b.g, b.p),
+q AS (SELECT b.g, b.p AS parameter, branches, CASE WHEN branches = 1 THEN 1 WHEN branches <= 16 AND n > branches AND coalesce(off, 0) = 0 THEN branches ELSE 0 END AS period FROM b LEFT JOIN c ON c.g = b.g AND c.p = b.p)
+"""
+SWEEP = _SWEEP + "SELECT g, parameter, branches, period FROM q"
+BIFURCATIONS = _SWEEP + "SELECT g, \"at\", before, after FROM (SELECT g, (lag(parameter) OVER w + parameter) / 2 AS \"at\", lag(period) OVER w AS before, period AS after FROM q WINDOW w AS (PARTITION BY g ORDER BY parameter)) z WHERE before <> after"
+EDGES = (
+    GRID[: GRID.index(",\nh AS")]
+    + """,
+o AS (SELECT o.g, o.x, o.y, o.label, min(sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y))) AS m FROM l o LEFT JOIN l q ON q.g = o.g AND q.label <> o.label GROUP BY ALL),
+p AS (SELECT g, label, least(coalesce(m, 99), x + 1, 32 - x, y + 1, 32 - y) AS d FROM o)
+SELECT g, label, count(*) AS cells, round(max(d), 8) AS deepest, round(sum(d), 6) AS total FROM p GROUP BY g, label"""
+)
