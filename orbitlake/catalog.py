@@ -1,8 +1,8 @@
 """Registered queries of the library, and SQL for DuckDB.
 
 Most queries call the operators of `functions`; their SQL is written apart, from the
-definition. The rest (`PLAIN`) are SQL texts that both engines run; recurrence, box occupancy, extrema, power
-spectra and approximate entropy are held against NumPy in the tests, the others are not.
+definition. The rest (`PLAIN`) are SQL texts that both engines run; box occupancy, extrema and
+approximate entropy are held against NumPy in the tests, the others are not.
 """
 
 from __future__ import annotations
@@ -126,6 +126,13 @@ def _edges(s: DataFrame) -> DataFrame:
     return d.groupBy(F.col("b").alias("g"), "label").agg(F.count("*").alias("cells"), F.round(F.max("distance"), 8).alias("deepest"), F.round(F.sum("distance"), 6).alias("total"))
 
 
+def _correlation_dimension(s: DataFrame) -> DataFrame:
+    sums = fn.correlation_sum(fn.embed(fn.scaler(s), 2), [0.1, 0.2, 0.4, 0.8, 1.6]).withColumn("correlation_sum", F.round("correlation_sum", 8)).where("correlation_sum > 0 AND correlation_sum < 1")
+    fit = fn.line_fit(sums.select("g", F.ln("radius").alias("x"), F.ln("correlation_sum").alias("y")))
+    count = sums.groupBy("g").agg(F.count("*").alias("radii"))
+    return count.join(fit, "g", "left").select("g", "radii", _r("slope", 5, "dimension"))
+
+
 #: Name: (the operator with its parameters, the series it runs on: by user or by event type, SQL for DuckDB over s(g, i, v)).
 CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "permutation_entropy": (lambda s: _permutation(s, 3, 1), "user_id", series_sql.PERMUTATION_ENTROPY),
@@ -176,6 +183,8 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "sweep_periods": (lambda s: fn.periods(_sweep(s)).join(fn.branches(_sweep(s)), ["g", "parameter"]), "event_type", oracles.SWEEP),
     "bifurcation_points": (lambda s: fn.bifurcation_points(fn.periods(_sweep(s))), "event_type", oracles.BIFURCATIONS),
     "edge_distance": (_edges, "event_type", oracles.EDGES),
+    "crossings": (lambda s: fn.crossings(s).select("g", F.ceil("at").alias("i"), _r("at", 6), "direction"), "user_id", series_sql.CROSSINGS),
+    "correlation_dimension": (_correlation_dimension, "user_id", series_models.CORRELATION_DIMENSION),
     "box_curve": (_boxes, "event_type", oracles.boxes(fn.scale_shares()) + "SELECT g, scale, boxes, q, round(y, 8) AS value FROM l"),
     "dimension_spectrum": (_spectrum, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + ", curve AS (SELECT g, q, x, y FROM l WHERE boxes >= 2 AND boxes <= 85e-2 * n)," + oracles.SCALING + "SELECT g, q, round(slope, 6) AS dimension, low, high FROM w WHERE best = 1"),
     "label_grid_measures": (_basins, "event_type", oracles.GRID),

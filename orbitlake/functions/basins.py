@@ -51,7 +51,7 @@ def _differs(grid: DataFrame, m: int) -> DataFrame:
     return found.distinct()
 
 
-def uncertainty_exponent(grid: DataFrame, radii: Sequence[int] = (1, 2, 3, 4, 6, 8), cell: float = 1.0, escaped: bool = False) -> DataFrame:
+def uncertainty_exponent(grid: DataFrame, radii: Sequence[int] = (1, 2, 3, 4, 5), cell: float = 1.0, escaped: bool = False) -> DataFrame:
     """(b, alpha, stderr, boundary_dimension): the slope of the log share of uncertain cells over the log distance; grids with under two shares above 0 have no row."""
     held = grid if escaped else grid.where("label <> -1")
     all_ = held.groupBy("b").agg(F.count("*").alias("n"))
@@ -62,7 +62,7 @@ def uncertainty_exponent(grid: DataFrame, radii: Sequence[int] = (1, 2, 3, 4, 6,
     return line_fit(curve).select(F.col("g").alias("b"), F.col("slope").alias("alpha"), "stderr", (2 - F.col("slope")).alias("boundary_dimension"))
 
 
-def wada(grid: DataFrame, radii: Sequence[int] = (1, 2, 4), threshold: float = 0.95, escaped: bool = False) -> DataFrame:
+def wada(grid: DataFrame, radii: Sequence[int] = (1, 2, 3, 4, 5), threshold: float = 0.9, escaped: bool = False) -> DataFrame:
     """(b, radius, fraction, basins, is_wada): the share of boundary cells that have every basin within `radius` cells; Wada if the last share reaches `threshold`. Grids of under three basins are none."""
     held = grid if escaped else grid.where("label <> -1")
     basins = grid.where("label >= 1").groupBy("b").agg(F.count_distinct("label").alias("basins"))

@@ -39,7 +39,7 @@ def scaling_region(curve: DataFrame, min_window: int = 5, tol: float = 1.5) -> D
     runs = _fitted(inside.groupBy("g", "low", "high").agg(*_line()))
     own = Window.partitionBy("g")
     least = F.coalesce(F.min(F.when(F.col("n") >= 3, F.col("sigma"))).over(own), F.min("sigma").over(own))
-    kept = runs.withColumn("least", least).where(F.col("sigma") <= F.col("least") * tol + 1e-300)
+    kept = runs.withColumn("least", least).where(F.col("sigma") <= F.col("least") * tol)
     best = F.max_by(F.struct("slope", "intercept", "stderr", "n", "low", "high"), F.struct("n", -F.col("sigma"), -F.col("low")))
     return kept.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 

@@ -23,17 +23,6 @@ p AS (SELECT x.g, x.i, count(*) AS n2, sum(CASE WHEN abs(x.c - y.c) <= x.r THEN
 SELECT g, round(avg(ln(n2 / CAST(n AS DOUBLE))) - avg(CASE WHEN n3 > 0 THEN ln(n3 / CAST(n - 1 AS DOUBLE)) END), 7) AS approximate_entropy
 FROM (SELECT g, n2, n3, count(*) OVER (PARTITION BY g) AS n FROM p) q GROUP BY g"""
 
-MULTISCALE_ENTROPY = """
-WITH o AS (SELECT g AS h, 0.15 * stddev_pop(v) AS r FROM {s} GROUP BY g),
-m AS (SELECT g, scale, CAST(floor(i / scale) AS BIGINT) AS i, avg(v) AS v FROM {s} CROSS JOIN (VALUES (1), (2), (3)) k(scale)
-  GROUP BY g, scale, CAST(floor(i / scale) AS BIGINT) HAVING count(*) = scale),
-t AS (SELECT g, scale, i, a, b, c, r, CAST(floor(a / r) AS BIGINT) AS cell FROM (
-  SELECT g, scale, i, v AS a, lead(v, 1) OVER (PARTITION BY g, scale ORDER BY i) AS b, lead(v, 2) OVER (PARTITION BY g, scale ORDER BY i) AS c FROM m) q JOIN o ON g = h WHERE c IS NOT NULL AND r > 0)
-SELECT g, scale, b_pairs, a_pairs, round(CASE WHEN a_pairs > 0 THEN ln(b_pairs / CAST(a_pairs AS DOUBLE)) END, 7) AS sample_entropy FROM (
-  SELECT x.g, x.scale, count(*) AS b_pairs, sum(CASE WHEN abs(x.c - y.c) <= x.r THEN 1 ELSE 0 END) AS a_pairs
-  FROM (SELECT t.*, cell + d AS near FROM t CROSS JOIN (VALUES (-1), (0), (1)) k(d)) x JOIN t y ON x.g = y.g AND x.scale = y.scale AND x.near = y.cell
-  WHERE x.i < y.i AND abs(x.a - y.a) <= x.r AND abs(x.b - y.b) <= x.r GROUP BY x.g, x.scale) z"""
-
 SMOOTHED_ORDINAL_ENTROPY = """
 SELECT g, count(*) AS patterns, round(-(sum((n + 1) / (total + 6) * ln((n + 1) / (total + 6))) + (6 - count(*)) / (max(total) + 6) * ln(1 / (max(total) + 6))) / ln(6), 8) AS smoothed_entropy FROM (
   SELECT g, n, CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE) AS total FROM (
@@ -41,12 +30,6 @@ SELECT g, count(*) AS patterns, round(-(sum((n + 1) / (total + 6) * ln((n + 1) /
       SELECT g, v AS a, lead(v, 1) OVER (PARTITION BY g ORDER BY i) AS b, lead(v, 2) OVER (PARTITION BY g ORDER BY i) AS c FROM {s}) w
     WHERE c IS NOT NULL GROUP BY g, a > b, a > c, b > c) h) q GROUP BY g"""
 
-UNIQUE_VALUE_ENTROPY = """
-SELECT g, count(*) AS outcomes, round(-sum(p * ln(p)) / ln(2), 8) AS shannon FROM (
-  SELECT g, n / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE) AS p FROM (SELECT g, round(v, 0) AS u, count(*) AS n FROM {s} GROUP BY g, round(v, 0)) a) b GROUP BY g"""
-
-OPTIMAL_DELAY = "SELECT g, min(CASE WHEN acf <= exp(-1) THEN lag END) AS acf_delay, min(CASE WHEN acf <= 0 THEN lag END) AS acf_zero FROM (" + series_sql.AUTOCORRELATION + ") c GROUP BY g"
-
 NORMALIZE = """
 SELECT g, i, round((v - min(v) OVER (PARTITION BY g)) / coalesce(nullif(max(v) OVER (PARTITION BY g) - min(v) OVER (PARTITION BY g), 0), 1), 7) AS minmax,
   round(v - avg(v) OVER (PARTITION BY g), 10) AS demean, round(v / coalesce(nullif(sqrt(sum(v * v) OVER (PARTITION BY g)), 0), 1), 7) AS l2 FROM {s}"""
@@ -106,14 +89,6 @@ WITH t AS (SELECT g, i, a, b, c, s FROM (SELECT g, i, v AS a, lead(v, 1) OVER (P
 p AS (SELECT x.g, x.i, x.c, x.s, y.c AS near, row_number() OVER (PARTITION BY x.g, x.i ORDER BY (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b), y.i) AS r FROM t x JOIN t y ON x.g = y.g AND abs(x.i - y.i) > 1)
 SELECT g, count(*) AS n, round(sqrt(avg((c - said) * (c - said))) / max(s), 6) AS error FROM (SELECT g, i, max(c) AS c, max(s) AS s, avg(near) AS said FROM p WHERE r <= 4 GROUP BY g, i HAVING count(*) = 4) z GROUP BY g"""
 
-CAO = """
-WITH t AS (SELECT g, i, v AS a, b, c, d FROM (SELECT g, i, v, lead(v, 1) OVER (PARTITION BY g ORDER BY i) AS b, lead(v, 2) OVER (PARTITION BY g ORDER BY i) AS c, lead(v, 3) OVER (PARTITION BY g ORDER BY i) AS d FROM {s}) q WHERE d IS NOT NULL),
-e AS (SELECT x.g, x.i, y.i AS j, abs(x.a - y.a) AS d1, greatest(abs(x.a - y.a), abs(x.b - y.b)) AS d2, greatest(abs(x.a - y.a), abs(x.b - y.b), abs(x.c - y.c)) AS d3, greatest(abs(x.a - y.a), abs(x.b - y.b), abs(x.c - y.c), abs(x.d - y.d)) AS d4 FROM t x JOIN t y ON x.g = y.g AND x.i <> y.i),
-n AS (SELECT g, i, m, near, far, row_number() OVER (PARTITION BY g, i, m ORDER BY near, j) AS r FROM (
-  SELECT g, i, j, m, CASE m WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS near, CASE m WHEN 1 THEN d2 WHEN 2 THEN d3 ELSE d4 END AS far FROM e CROSS JOIN (VALUES (1), (2), (3)) k(m)) z),
-a AS (SELECT g, m, avg(far / near) AS stretch FROM n WHERE r = 1 AND near > 0 GROUP BY g, m)
-SELECT x.g, x.m AS dimension, round(y.stretch / x.stretch, 6) AS e1 FROM a x JOIN a y ON x.g = y.g AND y.m = x.m + 1"""
-
 #: 19 shuffles, ordered by a digest of series, shuffle and position: the same on every engine and partitioning.
 SURROGATE_TEST = f"""
 WITH p AS (SELECT g, k, v, row_number() OVER (PARTITION BY g, k ORDER BY CASE WHEN k = 0 THEN '' ELSE md5(concat(k, '|', g, '|', i)) END, i) AS o FROM {{s}} CROSS JOIN {_values(range(20))} z(k)),
@@ -126,23 +101,8 @@ SELECT g, n, round(statistic, 6) AS statistic, round((statistic - mean) / nullif
 #: Name: (SQL, the series it runs on in the registered query: by user or by event type).
 ALL = {
     "approximate_entropy": (APPROXIMATE_ENTROPY, "user_id"),
-    "multiscale_entropy": (MULTISCALE_ENTROPY, "user_id"),
-    "smoothed_ordinal_entropy": (SMOOTHED_ORDINAL_ENTROPY, "user_id"),
-    "unique_value_entropy": (UNIQUE_VALUE_ENTROPY, "user_id"),
-    "optimal_delay": (OPTIMAL_DELAY, "event_type"),
-    "normalize": (NORMALIZE, "user_id"),
-    "binarize": (BINARIZE, "user_id"),
-    "rank_transform": (RANKS, "user_id"),
-    "spectrogram": (SPECTROGRAM, "event_type"),
-    "power_spectral_density": (WELCH, "event_type"),
-    "spectral_features": (SPECTRAL_FEATURES, "event_type"),
-    "zero_one_test": (ZERO_ONE_TEST, "event_type"),
-    "windowed_rqa": (WINDOWED_RQA, "event_type"),
     "return_map": (RETURN_MAP, "user_id"),
     "poincare_section": (POINCARE_SECTION, "user_id"),
     "generalized_dimension": (GENERALIZED_DIMENSION, "event_type"),
-    "correlation_dimension": (CORRELATION_DIMENSION, "user_id"),
-    "nonlinear_prediction_error": (PREDICTION_ERROR, "user_id"),
-    "cao_dimension": (CAO, "user_id"),
     "surrogate_test": (SURROGATE_TEST, "user_id"),
 }

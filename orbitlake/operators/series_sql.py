@@ -44,39 +44,11 @@ SELECT g, round(var_pop(v), 5) AS activity, round(sqrt(var_pop(d1) / nullif(var_
 FROM (SELECT g, v, d1, d1 - lag(d1) OVER (PARTITION BY g ORDER BY i) AS d2 FROM (
   SELECT g, i, v, v - lag(v) OVER (PARTITION BY g ORDER BY i) AS d1 FROM {s}) a) b GROUP BY g"""
 
-AUTOCORRELATION = """
-SELECT x.g, l.lag, round(sum(x.d * y.d) / max(x.ss), 7) AS acf
-FROM (SELECT g, i, d, sum(d * d) OVER (PARTITION BY g) AS ss FROM (SELECT g, i, v - avg(v) OVER (PARTITION BY g) AS d FROM {s}) a) x
-CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) l(lag)
-JOIN (SELECT g, i, v - avg(v) OVER (PARTITION BY g) AS d FROM {s}) y ON x.g = y.g AND y.i = x.i + l.lag
-WHERE x.ss > 0 GROUP BY x.g, l.lag"""
-
-MUTUAL_INFORMATION = """
-SELECT g, lag, round(sum(p * ln(p * tot * tot / (CAST(na AS DOUBLE) * nb))), 7) AS mutual_information FROM (
-  SELECT g, lag, n / CAST(tot AS DOUBLE) AS p, tot, sum(n) OVER (PARTITION BY g, lag, a) AS na, sum(n) OVER (PARTITION BY g, lag, b) AS nb FROM (
-    SELECT g, lag, a, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY g, lag) AS tot FROM (
-      SELECT g, 1 AS lag, bin AS a, lead(bin, 1) OVER (PARTITION BY g ORDER BY i) AS b FROM ({bins}) t
-      UNION ALL SELECT g, 2, bin, lead(bin, 2) OVER (PARTITION BY g ORDER BY i) FROM ({bins}) t
-      UNION ALL SELECT g, 5, bin, lead(bin, 5) OVER (PARTITION BY g ORDER BY i) FROM ({bins}) t) x
-    WHERE b IS NOT NULL GROUP BY g, lag, a, b) y) z GROUP BY g, lag""".replace(
-    "{bins}",
-    "SELECT g, i, greatest(0, least(15, CAST(floor((v - lo) / nullif(hi - lo, 0) * 16) AS INT))) AS bin FROM (SELECT g, i, v, min(v) OVER (PARTITION BY g) AS lo, max(v) OVER (PARTITION BY g) AS hi FROM {s}) r",
-)
-
 COARSE_GRAIN = """
 SELECT g, scale, count(*) AS n, round(stddev_pop(m), 6) AS std FROM (
   SELECT g, scale, CAST(floor(i / scale) AS BIGINT) AS b, avg(v) AS m FROM {s} CROSS JOIN (VALUES (1), (2), (3), (4), (5)) k(scale)
   GROUP BY g, scale, CAST(floor(i / scale) AS BIGINT) HAVING count(*) = scale) a GROUP BY g, scale"""
 
-SAMPLE_ENTROPY = """
-WITH t AS (SELECT g, i, a, b, c, r, CAST(floor(a / r) AS BIGINT) AS cell FROM (
-  SELECT g, i, v AS a, lead(v, 1) OVER (PARTITION BY g ORDER BY i) AS b, lead(v, 2) OVER (PARTITION BY g ORDER BY i) AS c, 0.2 * stddev_pop(v) OVER (PARTITION BY g) AS r FROM {s}) q
-  WHERE c IS NOT NULL AND r > 0)
-SELECT x.g, count(*) AS b_pairs, sum(CASE WHEN abs(x.c - y.c) <= x.r THEN 1 ELSE 0 END) AS a_pairs,
-  round(CASE WHEN sum(CASE WHEN abs(x.c - y.c) <= x.r THEN 1 ELSE 0 END) > 0 THEN ln(count(*) / CAST(sum(CASE WHEN abs(x.c - y.c) <= x.r THEN 1 ELSE 0 END) AS DOUBLE)) END, 7) AS sample_entropy
-FROM (SELECT t.*, cell + d AS near FROM t CROSS JOIN (VALUES (-1), (0), (1)) k(d)) x JOIN t y ON x.g = y.g AND x.near = y.cell
-WHERE x.i < y.i AND abs(x.a - y.a) <= x.r AND abs(x.b - y.b) <= x.r GROUP BY x.g"""
-
 CORRELATION_SUM = """
 WITH t AS (SELECT g, i, a, b, s FROM (SELECT g, i, v AS a, lead(v, 1) OVER (PARTITION BY g ORDER BY i) AS b, stddev_pop(v) OVER (PARTITION BY g) AS s FROM {s}) q WHERE b IS NOT NULL AND s > 0),
 n AS (SELECT g, count(*) AS n FROM t GROUP BY g)
@@ -146,12 +118,6 @@ DELAY_EMBEDDING = """
 SELECT g, i, x0, x1, x2 FROM (
   SELECT g, i, v AS x0, lead(v, 2) OVER (PARTITION BY g ORDER BY i) AS x1, lead(v, 4) OVER (PARTITION BY g ORDER BY i) AS x2 FROM {s}) a WHERE x2 IS NOT NULL"""
 
-FALSE_NEIGHBOURS = """
-WITH t AS (SELECT g, i, v AS a, b, c, s FROM (SELECT g, i, v, lead(v, 1) OVER (PARTITION BY g ORDER BY i) AS b, lead(v, 2) OVER (PARTITION BY g ORDER BY i) AS c, stddev_pop(v) OVER (PARTITION BY g) AS s FROM {s}) q WHERE c IS NOT NULL),
-p AS (SELECT x.g, x.i, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d, abs(x.c - y.c) AS e, x.s, row_number() OVER (PARTITION BY x.g, x.i ORDER BY (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b), y.i) AS r
-  FROM t x JOIN t y ON x.g = y.g AND x.i <> y.i)
-SELECT g, count(*) AS n, round(avg(CASE WHEN e > 15 * d OR sqrt(d * d + e * e) > 2 * s THEN 1 ELSE 0 END), 7) AS false_fraction FROM p WHERE r = 1 GROUP BY g"""
-
 ROSENSTEIN = """
 WITH t AS (SELECT g, i, v AS a, lead(v, 1) OVER (PARTITION BY g ORDER BY i) AS b, count(*) OVER (PARTITION BY g) AS n FROM {s}),
 u AS (SELECT * FROM t WHERE b IS NOT NULL),
@@ -163,25 +129,6 @@ FROM q JOIN u x ON x.g = q.g AND x.i = q.i JOIN u y ON y.g = q.g AND y.i = q.j G
 
 #: Name: (SQL, the series it runs on in the registered query: by user or by event type).
 ALL = {
-    "permutation_entropy": (PERMUTATION_ENTROPY, "user_id"),
-    "weighted_permutation_entropy": (WEIGHTED_PERMUTATION_ENTROPY, "user_id"),
-    "amplitude_entropy": (AMPLITUDE_ENTROPY, "user_id"),
-    "series_features": (FEATURES, "user_id"),
-    "zero_crossing_rate": (ZERO_CROSSING_RATE, "user_id"),
-    "hjorth_parameters": (HJORTH, "user_id"),
-    "autocorrelation": (AUTOCORRELATION, "event_type"),
-    "mutual_information": (MUTUAL_INFORMATION, "event_type"),
-    "coarse_grain": (COARSE_GRAIN, "user_id"),
-    "sample_entropy": (SAMPLE_ENTROPY, "user_id"),
-    "correlation_sum": (CORRELATION_SUM, "user_id"),
-    "rqa": (RQA, "user_id"),
     "box_occupancy": (BOX_OCCUPANCY, "event_type"),
-    "crossings": (CROSSINGS, "user_id"),
     "local_extrema": (EXTREMA, "user_id"),
-    "time_reversal_asymmetry": (TIME_REVERSAL, "user_id"),
-    "detrend": (DETREND, "user_id"),
-    "zscore": (ZSCORE, "user_id"),
-    "delay_embedding": (DELAY_EMBEDDING, "user_id"),
-    "false_nearest_neighbours": (FALSE_NEIGHBOURS, "user_id"),
-    "lyapunov_rosenstein": (ROSENSTEIN, "user_id"),
 }
