@@ -146,7 +146,7 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "sample_entropy": (lambda s: fn.sample_entropy(s).select("g", "b_pairs", "a_pairs", _r("sample_entropy", 7)), "user_id", oracles.SAMPLE),
     "multiscale_entropy": (lambda s: fn.multiscale_entropy(s, 5).select("g", "scale", "b_pairs", "a_pairs", _r("sample_entropy", 7)), "user_id", oracles.MULTISCALE),
     "coarse_grain": (_grained, "user_id", series_sql.COARSE_GRAIN),
-    "series_features": (lambda s: fn.extract_features(s).join(s.groupBy("g").agg(F.count("*").alias("n")), "g").select("g", "n", _r("mean", 10), _r("std", 6), _r("var", 5), _r("rms", 6), _r("ptp", 6), _r("skewness", 6), _r("kurtosis", 6)), "user_id", series_sql.FEATURES),
+    "series_features": (lambda s: fn.extract_features(s, ["mean", "std", "var", "rms", "ptp", "skewness", "kurtosis"]).join(s.groupBy("g").agg(F.count("*").alias("n")), "g").select("g", "n", _r("mean", 10), _r("std", 6), _r("var", 5), _r("rms", 6), _r("ptp", 6), _r("skewness", 6), _r("kurtosis", 6)), "user_id", series_sql.FEATURES),
     "zero_crossing_rate": (lambda s: fn.zero_crossing_rate(s).where("zero_crossing_rate is not null").select("g", _r("zero_crossing_rate", 8)), "user_id", series_sql.ZERO_CROSSING_RATE),
     "hjorth_parameters": (lambda s: fn.extract_features(s, ["activity", "mobility", "complexity"]).select("g", _r("activity", 5), _r("mobility", 6), _r("complexity", 6)), "user_id", series_sql.HJORTH),
     "autocorrelation": (lambda s: fn.autocorrelation(s, 50).select("g", "lag", _r("acf", 7)), "event_type", oracles.AUTOCORRELATION),

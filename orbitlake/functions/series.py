@@ -136,13 +136,19 @@ def zero_crossing_rate(s: DataFrame) -> DataFrame:
 
 
 #: Names that extract_features knows.
-FEATURES = ("mean", "std", "var", "rms", "ptp", "skewness", "kurtosis", "zero_crossing_rate", "activity", "mobility", "complexity")
+FEATURES = ("mean", "std", "var", "rms", "ptp", "skewness", "kurtosis", "zero_crossing_rate", "activity", "mobility", "complexity", "spectral_entropy", "spectral_centroid", "dominant_frequency")
 
 
-def extract_features(s: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """One row (g, features) a series. Ratios over a variance of 0 are 0; what a series is too short for is null."""
+def extract_features(s: DataFrame, features: Sequence[str] = FEATURES, fs: float | DataFrame = 1.0) -> DataFrame:
+    """One row (g, features) a series. Ratios over a variance of 0 are 0; what a series is too short for is null. fs: samples a unit of time, for the spectral ones."""
     if unknown := set(features) - set(FEATURES):
         raise ValueError(f"unknown features {sorted(unknown)}")
+    from .spectral import SPECTRAL, spectral_features  # which packs series by other functions of this module
+
+    spectral, plain = [f for f in features if f in SPECTRAL], [f for f in features if f not in SPECTRAL]
+    if spectral:
+        found = spectral_features(s, fs, spectral)
+        return (extract_features(s, plain).join(found, "g", "left") if plain else found).select("g", *features)
     rows = ahead(s.join(stats(s).select("g", "mean"), "g").withColumn("v0", F.col("v")).withColumn("v", F.col("v") - F.col("mean")), [1, 2])
     d1, d2 = F.col("a1") - F.col("v"), F.col("a2") - 2 * F.col("a1") + F.col("v")
     m = {k: F.avg(F.pow("v", F.lit(k))) for k in (2, 3, 4)}

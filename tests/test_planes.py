@@ -118,6 +118,10 @@ def test_spectra_of_whole_series_rates_and_features(spark):
     q, hz = p / p.sum(), np.arange(len(p)) * 4.0 / 700
     assert np.isclose(f["wave"]["spectral_entropy"], -(q[q > 0] * np.log2(q[q > 0])).sum()) and np.isclose(f["wave"]["spectral_centroid"], (q * hz).sum()) and f["wave"]["dominant_frequency"] == hz[1 + p[1:].argmax()]
     assert f["flat"]["spectral_entropy"] == 0 and f["flat"]["spectral_centroid"] == 0 and np.isclose(f["flat"]["dominant_frequency"], 4.0 / 30)
+    every = {r["g"]: r for r in fn.extract_features(s).collect()}
+    alone = {r["g"]: r for r in fn.spectral_features(s).collect()}
+    assert set(every) == set(LONGER) and len(every["short"]) == 15 and all(every[g][f] == alone[g][f] for g in LONGER for f in ("spectral_entropy", "spectral_centroid", "dominant_frequency"))
+    assert abs(every["short"]["std"] - LONGER["short"].std()) < 1e-9
     for wrong in ({"window": "none"}, {"fs": 0}, {"scaling": "x"}, {"nperseg": 8, "noverlap": 8}, {"method": "x"}):
         with pytest.raises(ValueError):
             fn.power_spectral_density(s, **wrong)
