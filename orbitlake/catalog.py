@@ -133,6 +133,21 @@ def _correlation_dimension(s: DataFrame) -> DataFrame:
     return count.join(fit, "g", "left").select("g", "radii", _r("slope", 5, "dimension"))
 
 
+def _kept(s: DataFrame) -> DataFrame:
+    rows = None
+    for method in ("shuffle", "fourier", "aaft", "iaaft"):
+        # copies are numbered from 1
+        one = fn.surrogates(s, method, 2).groupBy("g", "k").agg(F.count("*").alias("n"), F.round(F.avg("v"), 10).alias("mean"), F.round(F.stddev_pop("v"), 7).alias("std")).withColumn("method", F.lit(method))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _slopes(s: DataFrame) -> DataFrame:
+    curve = fn.box_curve(fn.embed(s, 2), (2,)).withColumn("x", F.ln("epsilon"))
+    slopes = fn.local_slopes(curve.select("g", "x", F.col("value").alias("y")))
+    return curve.select("g", "x", "scale").join(slopes, ["g", "x"]).select("g", "scale", _r("slope", 7))
+
+
 #: Name: (the operator with its parameters, the series it runs on: by user or by event type, SQL for DuckDB over s(g, i, v)).
 CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "permutation_entropy": (lambda s: _permutation(s, 3, 1), "user_id", series_sql.PERMUTATION_ENTROPY),
@@ -185,6 +200,9 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "edge_distance": (_edges, "event_type", oracles.EDGES),
     "crossings": (lambda s: fn.crossings(s).select("g", F.ceil("at").alias("i"), _r("at", 6), "direction"), "user_id", series_sql.CROSSINGS),
     "correlation_dimension": (_correlation_dimension, "user_id", series_models.CORRELATION_DIMENSION),
+    "surrogates": (_kept, "user_id", oracles.KEPT),
+    "local_slopes": (_slopes, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + oracles.LOCAL_SLOPES),
+    "wada": (lambda s: fn.wada(_label_grid(s), (1, 2), escaped=True).select(F.col("b").alias("g"), "radius", "basins", _r("fraction", 8)), "event_type", oracles.WADA),
     "box_curve": (_boxes, "event_type", oracles.boxes(fn.scale_shares()) + "SELECT g, scale, boxes, q, round(y, 8) AS value FROM l"),
     "dimension_spectrum": (_spectrum, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + ", curve AS (SELECT g, q, x, y FROM l WHERE boxes >= 2 AND boxes <= 85e-2 * n)," + oracles.SCALING + "SELECT g, q, round(slope, 6) AS dimension, low, high FROM w WHERE best = 1"),
     "label_grid_measures": (_basins, "event_type", oracles.GRID),

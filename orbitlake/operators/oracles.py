@@ -175,3 +175,22 @@ o AS (SELECT o.g, o.x, o.y, o.label, min(sqrt((q.x - o.x) * (q.x - o.x) + (q.y -
 p AS (SELECT g, label, least(coalesce(m, 99), x + 1, 32 - x, y + 1, 32 - y) AS d FROM o)
 SELECT g, label, count(*) AS cells, round(max(d), 8) AS deepest, round(sum(d), 6) AS total FROM p GROUP BY g, label"""
 )
+
+#: What surrogates keep: sizes, means and deviations of the series itself, for each method and copy.
+KEPT = """
+WITH m AS (SELECT g, count(*) AS n, round(avg(v), 10) AS mean, round(stddev_pop(v), 7) AS std FROM {s} GROUP BY g)
+SELECT g, method, k, n, mean, std FROM m, (VALUES ('shuffle'), ('fourier'), ('aaft'), ('iaaft')) a(method), (VALUES (1), (2)) b(k)"""
+
+LOCAL_SLOPES = """,
+d AS (SELECT g, scale, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS da, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS db FROM l WHERE q = 2 WINDOW w AS (PARTITION BY g ORDER BY x))
+SELECT g, scale, round(coalesce((b * da + a * db) / (a + b), da, db), 7) AS slope FROM d"""
+
+WADA = (
+    GRID[: GRID.index(",\nh AS")]
+    + """,
+e AS (SELECT DISTINCT o.g, o.x, o.y FROM l o JOIN l q ON q.g = o.g AND abs(q.x - o.x) + abs(q.y - o.y) = 1 AND q.label <> o.label),
+n AS (SELECT g, count(DISTINCT label) AS basins FROM l WHERE label >= 1 GROUP BY g),
+v AS (SELECT e.g, e.x, e.y, radius, count(DISTINCT q.label) AS met FROM e, (VALUES (1), (2)) r(radius), l q WHERE q.g = e.g AND abs(q.x - e.x) <= radius AND abs(q.y - e.y) <= radius AND q.label >= 1 GROUP BY ALL),
+f AS (SELECT g, radius, basins, CASE WHEN basins >= 3 THEN count(*) FILTER (met = basins) / (SELECT count(*) FROM e WHERE e.g = v.g)::DOUBLE ELSE 0 END AS fraction FROM v JOIN n USING (g) GROUP BY g, radius, basins)
+SELECT g, radius, basins, round(fraction, 8) AS fraction FROM f"""
+)
