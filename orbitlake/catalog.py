@@ -148,6 +148,30 @@ def _slopes(s: DataFrame) -> DataFrame:
     return curve.select("g", "x", "scale").join(slopes, ["g", "x"]).select("g", "scale", _r("slope", 7))
 
 
+def _clouds(s: DataFrame) -> DataFrame:
+    """Four embedded samples after another are a cloud."""
+    return fn.embed(s, 2).select("g", F.floor(F.col("i") / 4).alias("label"), "x")
+
+
+def _pooled(s: DataFrame) -> DataFrame:
+    clouds = _clouds(s)
+    c = fn.centres(fn.apply_merge(clouds, fn.merge_map(clouds, 9.0)))
+    return c.select("g", "label", "points", *[F.round(F.col("x")[k], 7).alias(f"x{k}") for k in range(2)])
+
+
+def _tracked(s: DataFrame) -> DataFrame:
+    """Twelve samples are a parameter value with three sets of four; a set's share is that of its values."""
+    p, label = F.floor(F.col("i") / 12), F.floor(F.col("i") % 12 / 4)
+    sets = s.groupBy("g", p.cast("double").alias("parameter"), label.alias("label")).agg(F.array(F.avg("v")).alias("x"), F.sum("v").alias("w"))
+    total = sets.groupBy("g", "parameter").agg(F.sum("w").alias("t")).where("t <> 0")
+    sets = sets.join(total, ["g", "parameter"]).select("g", "parameter", "label", "x", F.round(F.col("w") / F.col("t"), 9).alias("fraction"))
+    return fn.match_attractors(sets, 20.0, 0.15)
+
+
+def _steps(s: DataFrame) -> DataFrame:
+    return fn.sagitta_step(fn.embed(s, 2), 0.9, 0.5, 75.0, relative=True).select("g", "stride", "delta_t", _r("value", 6), "fits")
+
+
 #: Name: (the operator with its parameters, the series it runs on: by user or by event type, SQL for DuckDB over s(g, i, v)).
 CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "permutation_entropy": (lambda s: _permutation(s, 3, 1), "user_id", series_sql.PERMUTATION_ENTROPY),
@@ -205,6 +229,13 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "wada": (lambda s: fn.wada(_label_grid(s), (1, 2), escaped=True).select(F.col("b").alias("g"), "radius", "basins", _r("fraction", 8)), "event_type", oracles.WADA),
     "box_curve": (_boxes, "event_type", oracles.boxes(fn.scale_shares()) + "SELECT g, scale, boxes, q, round(y, 8) AS value FROM l"),
     "dimension_spectrum": (_spectrum, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + ", curve AS (SELECT g, q, x, y FROM l WHERE boxes >= 2 AND boxes <= 85e-2 * n)," + oracles.SCALING + "SELECT g, q, round(slope, 6) AS dimension, low, high FROM w WHERE best = 1"),
+    "merge_map": (lambda s: fn.merge_map(_clouds(s), 9.0), "user_id", oracles.MERGED),
+    "pooled_clouds": (_pooled, "user_id", oracles.POOLED),
+    "dedup_points": (lambda s: fn.dedup_points(fn.embed(s, 2), 12.0).select("g", "i"), "user_id", oracles.THINNED),
+    "tracked_attractors": (_tracked, "user_id", oracles.TRACKED),
+    "tipping_points": (lambda s: fn.tipping_points(_tracked(s), 0.3), "user_id", oracles.TIPPING),
+    "sagitta_profile": (lambda s: fn.sagitta_profile(fn.embed(s, 2)).select("g", "i", _r("sagitta", 7)), "user_id", oracles.SAGITTA),
+    "sagitta_step": (_steps, "user_id", oracles.SAGITTA_STEP),
     "label_grid_measures": (_basins, "event_type", oracles.GRID),
 }
 

@@ -194,3 +194,69 @@ v AS (SELECT e.g, e.x, e.y, radius, count(DISTINCT q.label) AS met FROM e, (VALU
 f AS (SELECT g, radius, basins, CASE WHEN basins >= 3 THEN count(*) FILTER (met = basins) / (SELECT count(*) FROM e WHERE e.g = v.g)::DOUBLE ELSE 0 END AS fraction FROM v JOIN n USING (g) GROUP BY g, radius, basins)
 SELECT g, radius, basins, round(fraction, 8) AS fraction FROM f"""
 )
+
+_CLOUDS = """c AS (SELECT g, i // 4 AS label, count(*) AS points, avg(a) AS x, avg(b) AS y FROM (
+  SELECT g, i, v AS a, lead(v) OVER (PARTITION BY g ORDER BY i) AS b FROM s) WHERE b IS NOT NULL GROUP BY g, i // 4),
+l AS (SELECT p.g, p.label AS a, q.label AS b FROM c p JOIN c q ON p.g = q.g AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 9),
+r AS (SELECT * FROM l UNION SELECT r.g, r.a, l.b FROM r JOIN l ON r.g = l.g AND r.b = l.a),
+m AS (SELECT g, a AS label, min(b) AS merged FROM r GROUP BY g, a)"""
+
+MERGED = f"WITH RECURSIVE {_CLOUDS} SELECT g, label, merged FROM m"
+
+POOLED = f"WITH RECURSIVE {_CLOUDS} SELECT g, merged AS label, sum(points)::BIGINT AS points, round(sum(x * points) / sum(points), 7) AS x0, round(sum(y * points) / sum(points), 7) AS x1 FROM c JOIN m USING (g, label) GROUP BY g, merged"
+
+THINNED = """
+WITH RECURSIVE e AS (SELECT g, i, a, b FROM (SELECT g, i, v AS a, lead(v) OVER (PARTITION BY g ORDER BY i) AS b FROM s) WHERE b IS NOT NULL),
+k(g, i, kept) AS (
+  SELECT g, i, [{'i': i, 'a': a, 'b': b}] FROM e WHERE i = 0
+  UNION ALL
+  SELECT e.g, e.i, CASE WHEN len(list_filter(k.kept, lambda z: sqrt((z.a - e.a) ** 2 + (z.b - e.b) ** 2) < 12)) > 0 THEN k.kept ELSE list_append(k.kept, {'i': e.i, 'a': e.a, 'b': e.b}) END
+  FROM k JOIN e ON e.g = k.g AND e.i = k.i + 1)
+SELECT g, unnest(arg_max(kept, i)).i AS i FROM k GROUP BY g"""
+
+_TRACKED = """t AS (SELECT g, i // 12 AS k, (i % 12) // 4 AS label, avg(v) AS x, sum(v) AS w FROM s GROUP BY ALL),
+f AS (SELECT g, k, label, x, round(w / t, 9) AS fraction FROM (SELECT *, sum(w) OVER (PARTITION BY g, k) AS t FROM t) WHERE t <> 0),
+h AS (SELECT * FROM f WHERE fraction >= 0.15),
+e AS (SELECT q.g, q.k, list({'d': abs(p.x - q.x), 'p': p.label, 'c': q.label} ORDER BY abs(p.x - q.x), p.label, q.label) AS z FROM h p JOIN h q ON p.g = q.g AND q.k = p.k + 1 WHERE abs(p.x - q.x) <= 20 GROUP BY q.g, q.k),
+greedy(g, k, z, p, c) AS (
+  SELECT g, k, z, NULL::BIGINT, NULL::BIGINT FROM e
+  UNION ALL
+  SELECT g, k, list_filter(z, lambda o: o.p <> z[1].p AND o.c <> z[1].c), z[1].p, z[1].c FROM greedy WHERE len(z) > 0),
+link AS (SELECT g, k, p, c FROM greedy WHERE p IS NOT NULL),
+head AS (SELECT g, k, label, row_number() OVER (PARTITION BY g ORDER BY k, label) AS id FROM h WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.g = h.g AND link.k = h.k AND link.c = h.label)),
+walk(g, k, label, id) AS (
+  SELECT g, k, label, id FROM head
+  UNION ALL
+  SELECT l.g, l.k, l.c, w.id FROM walk w JOIN link l ON l.g = w.g AND l.k = w.k + 1 AND l.p = w.label),
+tracked AS (SELECT v.g, v.k::DOUBLE AS parameter, w.label, w.id, h.fraction FROM (SELECT DISTINCT g, k FROM f) v LEFT JOIN walk w ON w.g = v.g AND w.k = v.k LEFT JOIN h ON h.g = w.g AND h.k = w.k AND h.label = w.label)"""
+
+TRACKED = f"WITH RECURSIVE {_TRACKED} SELECT g, parameter, label, id, fraction FROM tracked"
+
+TIPPING = f"""WITH RECURSIVE {_TRACKED},
+wide AS (SELECT i.g, i.id, v.parameter, coalesce(t.fraction, 0) AS f, lag(coalesce(t.fraction, 0)) OVER (PARTITION BY i.g, i.id ORDER BY v.parameter) AS was
+  FROM (SELECT DISTINCT g, id FROM tracked WHERE id IS NOT NULL) i JOIN (SELECT DISTINCT g, parameter FROM tracked) v ON v.g = i.g LEFT JOIN tracked t ON t.g = i.g AND t.id = i.id AND t.parameter = v.parameter)
+SELECT g, parameter AS value, id, CASE WHEN f > was THEN 'appear' ELSE 'disappear' END AS kind, was AS before, f AS after FROM wide WHERE was IS NOT NULL AND (was > 0.3) <> (f > 0.3)"""
+
+_SCALED = """e AS (SELECT g, i, a / coalesce(nullif(stddev_samp(a) OVER (PARTITION BY g), 0), 1) AS a, b / coalesce(nullif(stddev_samp(b) OVER (PARTITION BY g), 0), 1) AS b, count(*) OVER (PARTITION BY g) AS n FROM (
+  SELECT g, i, v AS a, lead(v) OVER (PARTITION BY g ORDER BY i) AS b FROM s) WHERE b IS NOT NULL)"""
+
+# the bow is twice the triangle's area over its base
+_BOW = "abs((r.a - p.a) * (q.b - p.b) - (r.b - p.b) * (q.a - p.a)) / nullif(sqrt((r.a - p.a) ** 2 + (r.b - p.b) ** 2), 0)"
+
+SAGITTA = f"""WITH {_SCALED}
+SELECT q.g, q.i, round(coalesce({_BOW} / sqrt((r.a - p.a) ** 2 + (r.b - p.b) ** 2), 0), 7) AS sagitta FROM e q LEFT JOIN e p ON p.g = q.g AND p.i = q.i - 1 LEFT JOIN e r ON r.g = q.g AND r.i = q.i + 1"""
+
+SAGITTA_STEP = f"""WITH RECURSIVE {_SCALED},
+size AS (SELECT g, n, greatest(least((n - 1) // 2, (n - 1) // 4), 1) AS top FROM e GROUP BY g, n),
+b AS (SELECT q.g, z.k, {_BOW} AS bow, sqrt((r.a - p.a) ** 2 + (r.b - p.b) ** 2) AS chord FROM size JOIN e q ON q.g = size.g, LATERAL (SELECT unnest(range(1, top + 1)) AS k) z
+  JOIN e p ON p.g = q.g AND p.i = q.i - z.k JOIN e r ON r.g = q.g AND r.i = q.i + z.k WHERE q.i % z.k = 0 AND size.n >= 5),
+m AS MATERIALIZED (SELECT g, k, coalesce(quantile_cont(bow, 0.75) / CASE WHEN quantile_cont(chord, 0.5) > 1e-12 THEN quantile_cont(chord, 0.5) ELSE 1 END, 0) AS value FROM b GROUP BY g, k),
+grow(k) AS (SELECT 1::BIGINT UNION ALL SELECT greatest(floor(k * 1.5)::BIGINT, k + 1) FROM grow WHERE k < (SELECT max(top) FROM size)),
+fails AS (SELECT size.g, min(grow.k) AS fail FROM size JOIN m USING (g) JOIN grow ON grow.k = m.k WHERE m.value > 0.9 GROUP BY size.g),
+start AS (SELECT size.g, max(grow.k) AS ok, any_value(coalesce(fail, top + 1)) AS fail FROM size LEFT JOIN fails USING (g) JOIN grow ON grow.k <= top AND (fail IS NULL OR grow.k < fail) WHERE size.n >= 5 GROUP BY size.g),
+halve(g, ok, fail) AS (
+  SELECT g, ok, fail FROM start
+  UNION ALL
+  SELECT h.g, CASE WHEN m.value <= 0.9 THEN m.k ELSE h.ok END, CASE WHEN m.value <= 0.9 THEN h.fail ELSE m.k END FROM halve h JOIN m ON m.g = h.g AND m.k = (h.ok + h.fail) // 2 WHERE h.fail - h.ok > 1),
+found AS (SELECT g, max(ok) AS ok FROM halve GROUP BY g)
+SELECT size.g, coalesce(ok, 1) AS stride, 0.5 * coalesce(ok, 1) AS delta_t, round(m.value, 6) AS value, ok IS NOT NULL AS fits FROM size LEFT JOIN found USING (g) LEFT JOIN m ON m.g = size.g AND m.k = coalesce(ok, 1)"""
