@@ -37,8 +37,10 @@ def _cells(side: float, shift: tuple[float, ...] = (0.0,) * CELLED, x: str = "x"
 def _around(points: DataFrame, side: float) -> DataFrame:
     """Each point once for each cell that it may reach over one side."""
     own = F.struct(*_cells(side))
-    near = F.explode(F.array(*[F.struct(*[(own[f"c{k}"] + d[k]).alias(f"c{k}") for k in range(CELLED)]) for d in product((-1.0, 0.0, 1.0), repeat=CELLED)]))
-    return points.withColumn("cell", near).select("*", *[f"cell.c{k}" for k in range(CELLED)]).drop("cell")
+    to = lambda d: F.struct(*[(own[f"c{k}"] + d[k]).alias(f"c{k}") for k in range(CELLED)])
+    # no step along a coordinate that the point lacks
+    steps = [F.when(F.size("x") > max((k for k in range(CELLED) if d[k]), default=-1), to(d)) for d in product((-1.0, 0.0, 1.0), repeat=CELLED)]
+    return points.withColumn("cell", F.explode(F.array_compact(F.array(*steps)))).select("*", *[f"cell.c{k}" for k in range(CELLED)]).drop("cell")
 
 
 def close_pairs(points: DataFrame, tol: float) -> DataFrame:
@@ -122,7 +124,8 @@ def dedup_points(points: DataFrame, tol: float, wide: int = 8, shown: int = 64)
         for c, p, m in zip(cell, place, more, strict=True):
             if m:
                 end[c] = max(end.get(c, p), p)
-        reach, held, stay = list(product(range(-2, 3), repeat=CELLED)), {}, []  # cells have under 0.58 tol to a side
+        used = min(CELLED, max(map(len, x)))
+        reach, held, stay = [d + (0,) * (CELLED - used) for d in product(range(-2, 3), repeat=used)], {}, []  # cells have under 0.58 tol to a side
         for n, (c, v) in enumerate(zip(cell, x, strict=True)):
             near = [tuple(a + b for a, b in zip(c, d, strict=True)) for d in reach]
             ways = [sure for k in near for sure, w in held.get(k, ()) if len(w) == len(v) and np.sqrt(((w - v) ** 2).sum()) < tol]
@@ -137,7 +140,7 @@ def dedup_points(points: DataFrame, tol: float, wide: int = 8, shown: int = 64)
     while not rest.isEmpty():
         order = Window.partitionBy(*keys).orderBy("i", "x")
         ranked = rest.select("*", *_cells(side)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= shown).withColumn("more", F.col("n") == shown).drop(*keys[1:], "n")
-        at = [F.coalesce(F.get("x", F.lit(k)), F.lit(0.0)) for k in range(CELLED)]
+        at = [F.coalesce(F.get("x", F.lit(k)), F.lit(0.0)) + box / 2 for k in range(CELLED)]  # a lacking coordinate is in the middle of its box
         spots = F.array(*[F.struct(*[F.floor((at[k] + d[k] * 1.001 * tol) / box).cast("double").alias(f"b{k}") for k in range(CELLED)]) for d in product((-1.0, 0.0, 1.0), repeat=CELLED)])
         mine = F.struct(*[F.floor(at[k] / box).cast("double").alias(f"b{k}") for k in range(CELLED)])
         boxed = ranked.withColumn("mine", mine).withColumn("spot", F.explode(F.array_distinct(spots))).withColumn("own", F.col("spot") == F.col("mine")).select("g", "i", "x", "more", "own", *[f"spot.{c}" for c in cols])

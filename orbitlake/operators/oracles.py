@@ -259,4 +259,4 @@ halve(g, ok, fail) AS (
   UNION ALL
   SELECT h.g, CASE WHEN m.value <= 0.9 THEN m.k ELSE h.ok END, CASE WHEN m.value <= 0.9 THEN h.fail ELSE m.k END FROM halve h JOIN m ON m.g = h.g AND m.k = (h.ok + h.fail) // 2 WHERE h.fail - h.ok > 1),
 found AS (SELECT g, max(ok) AS ok FROM halve GROUP BY g)
-SELECT size.g, coalesce(ok, 1) AS stride, 0.5 * coalesce(ok, 1) AS delta_t, round(m.value, 6) AS value, ok IS NOT NULL AS fits FROM size LEFT JOIN found USING (g) LEFT JOIN m ON m.g = size.g AND m.k = coalesce(ok, 1)"""
+SELECT size.g, coalesce(ok, 1) AS stride, 5e-1 * coalesce(ok, 1) AS delta_t, round(m.value, 6) AS value, ok IS NOT NULL AS fits FROM size LEFT JOIN found USING (g) LEFT JOIN m ON m.g = size.g AND m.k = coalesce(ok, 1)"""
