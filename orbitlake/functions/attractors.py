@@ -7,10 +7,12 @@ choices) is settled in rounds whose result equals that of one pass in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,10 +100,45 @@ def apply_merge(table: DataFrame, merged: DataFrame, g: str = "g") -> DataFrame:
     return table.join(new, [g, "label"], "left").withColumn("label", F.coalesce("__merged", "label")).drop("__merged").select(*table.columns)
 
 
-def dedup_points(points: DataFrame, tol: float, wide: int = 8, shown: int = 64) -> DataFrame:
+def _thinned(rows: DataFrame, tol: float, kinds: str) -> DataFrame:
+    """dedup_points() of series that are one row each, (g, held) with held the sorted (i, x): one pass, in which each kept point drops what follows near it."""
+
+    def kept(x: list[np.ndarray]) -> np.ndarray:
+        sizes, stay = np.array([len(v) for v in x]), np.zeros(len(x), bool)
+        for size in np.unique(sizes):  # points of another length do not meet
+            at = np.flatnonzero(sizes == size)
+            p = np.stack([x[n] for n in at]).astype(float)
+            while len(at):
+                stay[at[0]] = True
+                off = np.zeros(len(at))
+                for k in range(size):
+                    off += (p[:, k] - p[0, k]) ** 2
+                far = np.sqrt(off) >= tol
+                at, p = at[far], p[far]
+        return np.flatnonzero(stay)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, held = batch.column(0), batch.column(1)
+            ends, points, xs = held.offsets.to_numpy(), held.values, held.values.field("x")
+            coordinates, starts = xs.values.to_numpy(zero_copy_only=False), xs.offsets.to_numpy()
+            of, use = [], []
+            for r in range(len(batch)):
+                a, b = ends[r], ends[r + 1]
+                stay = kept([coordinates[starts[n] : starts[n + 1]] for n in range(a, b)]) + a
+                use.append(stay)
+                of.append(np.full(len(stay), r))
+            if use:
+                left = points.take(pa.array(np.concatenate(use)))
+                yield pa.RecordBatch.from_arrays([g.take(pa.array(np.concatenate(of))), left.field("i"), left.field("x")], names=["g", "i", "x"])
+
+    return rows.mapInArrow(run, kinds)
+
+
+def dedup_points(points: DataFrame, tol: float, wide: int = 8, shown: int = 64, whole: int = 2048) -> DataFrame:
     """(g, i, x): points kept by one pass in the order of i that drops each one closer than tol to one kept before; equal i are ordered by x.
 
-    A round gives each box, `wide` tol to a side, the first `shown` undecided points of each of its cells and those of its rim. What follows from
+    Series of up to `whole` points take that pass as it is, each in one row, many to a task, without rounds. For longer ones a round gives each box, `wide` tol to a side, the first `shown` undecided points of each of its cells and those of its rim. What follows from
     them is kept; then everything near a kept point goes, wherever it stands. The first undecided point is always settled, and a
     cell's points mostly by one that is kept, so dense cells take few rounds and a task holds a bounded number of points. Runs jobs when
     called. Points without finite coordinates are left out; a tol of 0 keeps every other point.
@@ -110,8 +147,11 @@ def dedup_points(points: DataFrame, tol: float, wide: int = 8, shown: int = 64)
     if tol <= 0:
         return rest
     keys, side = ["g", *[f"c{k}" for k in range(CELLED)]], tol / CELLED**0.5 * (1 - 1e-9)
-    rest, kept, box = save(rest.groupBy("g", "x").agg(F.min("i").alias("i"))), [], wide * tol
     kinds = ", ".join(f"{c} {kind_of(rest, c)}" for c in ("g", "i", "x"))
+    sizes = rest.groupBy("g").agg(F.count("*").alias("size"))
+    few = rest.join(sizes.where(F.col("size") <= whole).select("g"), "g")
+    short = _thinned(few.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("held")), tol, kinds)
+    rest, kept, box = save(rest.join(sizes.where(F.col("size") > whole).select("g"), "g").groupBy("g", "x").agg(F.min("i").alias("i"))), [short], wide * tol
     cols = [f"b{k}" for k in range(CELLED)]
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +190,7 @@ def dedup_points(points: DataFrame, tol: float, wide: int = 8, shown: int = 64)
         gone = _around(new.select("g", F.col("x").alias("y"), "x"), wider).select("g", "y", *keys[1:])
         left = rest.select("*", *_cells(wider)).join(gone, keys, "left").withColumn("off", F.coalesce((F.size("x") == F.size("y")) & (_distance("x", "y") < tol), F.lit(False)))
         rest = save(left.groupBy("g", "i", "x").agg(F.max("off").alias("off")).where("NOT off").select("g", "i", "x"))
-    out = kept[0] if kept else rest.select("g", "i", "x")
+    out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
     return out

@@ -63,6 +63,20 @@ def test_dedup_keeps_the_first(spark, wide, shown):
     assert {(r["g"], r["i"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("whole", [0, 50, 2048])
+def test_dedup_of_short_series_takes_no_rounds(spark, whole):
+    data = rows_of(**{f"s{k}": RNG.normal(size=(20 + k, 2)) for k in range(40)}, mixed=[[0.0], [0.1], [0.0, 0.1], [0.0, 0.0], [1.0]])
+    want = set()
+    for g in {r[0] for r in data}:
+        kept = []
+        for h, i, x in data:
+            if h == g and not any(len(x) == len(y) and np.linalg.norm(np.subtract(x, y)) < 0.3 for y in kept):
+                kept.append(x)
+                want.add((g, i))
+    got = fn.dedup_points(spark.createDataFrame(data, POINTS).repartition(3), 0.3, whole=whole)
+    assert {(r["g"], r["i"]) for r in got.collect()} == want
+
+
 def test_dedup_of_nothing(spark):
     assert fn.dedup_points(spark.createDataFrame([], POINTS), 0.3).collect() == []
     assert fn.dedup_points(spark.createDataFrame(rows_of(a=[[1.0], [1.0]]), POINTS), 0).count() == 2
