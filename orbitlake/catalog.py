@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as fn
@@ -23,8 +23,16 @@ def series(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     return fn.as_series(table(spark, sf_dir, "events"), key, ["ts", "event_id"], "value", F.to_date("ts") if key == "event_type" else None)
 
 
-def _r(column: str, digits: int, name: str | None = None):
-    return F.round(column, digits).alias(name or column)
+def _round(column: str | Column, digits: int) -> Column:
+    """Rounded as DuckDB does it, by the double times a power of ten; Spark's own round goes by the decimal digits, which tell another side of a half."""
+    c = F.col(column) if isinstance(column, str) else column
+    at = F.abs(c) * 10.0**digits
+    # beyond 2^52 and for NaN there is nothing to round; + 0.0: no negative zeros
+    return F.when(at < 2.0**52, F.signum(c) * (F.floor(at) + F.when(at - F.floor(at) >= 0.5, 1).otherwise(0)) / 10.0**digits + 0.0).otherwise(c)
+
+
+def _r(column: str | Column, digits: int, name: str | None = None) -> Column:
+    return _round(column, digits).alias(name or column)
 
 
 def _permutation(s: DataFrame, order: int, delay: int) -> DataFrame:
@@ -62,7 +70,7 @@ def _normalized(s: DataFrame) -> DataFrame:
 def _grained(s: DataFrame) -> DataFrame:
     rows = None
     for k in range(1, 6):
-        one = fn.coarse_grain(s, k).groupBy("g").agg(F.count("*").alias("n"), F.round(F.stddev_pop("v"), 6).alias("std")).withColumn("scale", F.lit(k))
+        one = fn.coarse_grain(s, k).groupBy("g").agg(F.count("*").alias("n"), _round(F.stddev_pop("v"), 6).alias("std")).withColumn("scale", F.lit(k))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -93,7 +101,7 @@ def _rate(s: DataFrame) -> DataFrame:
 
 
 def _lines(found: DataFrame, g: str = "g") -> DataFrame:
-    return found.selectExpr(f"{g} AS g", *[f"round({c}, {d}) AS {c}" for c, d in (("recurrence_rate", 8), ("determinism", 8), ("laminarity", 8))], "l_max", "v_max", *[f"round({c}, 7) AS {c}" for c in ("mean_diagonal", "trapping_time", "diagonal_entropy")])
+    return found.select(F.expr(g).alias("g"), *[_r(c, 8) for c in ("recurrence_rate", "determinism", "laminarity")], "l_max", "v_max", *[_r(c, 7) for c in ("mean_diagonal", "trapping_time", "diagonal_entropy")])
 
 
 def _windowed(s: DataFrame) -> DataFrame:
@@ -123,11 +131,11 @@ def _sweep(s: DataFrame) -> DataFrame:
 
 def _edges(s: DataFrame) -> DataFrame:
     d = fn.edge_distance(_label_grid(s))
-    return d.groupBy(F.col("b").alias("g"), "label").agg(F.count("*").alias("cells"), F.round(F.max("distance"), 8).alias("deepest"), F.round(F.sum("distance"), 6).alias("total"))
+    return d.groupBy(F.col("b").alias("g"), "label").agg(F.count("*").alias("cells"), _round(F.max("distance"), 8).alias("deepest"), _round(F.sum("distance"), 6).alias("total"))
 
 
 def _correlation_dimension(s: DataFrame) -> DataFrame:
-    sums = fn.correlation_sum(fn.embed(fn.scaler(s), 2), [0.1, 0.2, 0.4, 0.8, 1.6]).withColumn("correlation_sum", F.round("correlation_sum", 8)).where("correlation_sum > 0 AND correlation_sum < 1")
+    sums = fn.correlation_sum(fn.embed(fn.scaler(s), 2), [0.1, 0.2, 0.4, 0.8, 1.6]).withColumn("correlation_sum", _round("correlation_sum", 8)).where("correlation_sum > 0 AND correlation_sum < 1")
     fit = fn.line_fit(sums.select("g", F.ln("radius").alias("x"), F.ln("correlation_sum").alias("y")))
     count = sums.groupBy("g").agg(F.count("*").alias("radii"))
     return count.join(fit, "g", "left").select("g", "radii", _r("slope", 5, "dimension"))
@@ -137,7 +145,7 @@ def _kept(s: DataFrame) -> DataFrame:
     rows = None
     for method in ("shuffle", "fourier", "aaft", "iaaft"):
         # copies are numbered from 1
-        one = fn.surrogates(s, method, 2).groupBy("g", "k").agg(F.count("*").alias("n"), F.round(F.avg("v"), 10).alias("mean"), F.round(F.stddev_pop("v"), 7).alias("std")).withColumn("method", F.lit(method))
+        one = fn.surrogates(s, method, 2).groupBy("g", "k").agg(F.count("*").alias("n"), _round(F.avg("v"), 10).alias("mean"), _round(F.stddev_pop("v"), 7).alias("std")).withColumn("method", F.lit(method))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -156,7 +164,7 @@ def _clouds(s: DataFrame) -> DataFrame:
 def _pooled(s: DataFrame) -> DataFrame:
     clouds = _clouds(s)
     c = fn.centres(fn.apply_merge(clouds, fn.merge_map(clouds, 9.0)))
-    return c.select("g", "label", "points", *[F.round(F.col("x")[k], 7).alias(f"x{k}") for k in range(2)])
+    return c.select("g", "label", "points", *[_round(F.col("x")[k], 7).alias(f"x{k}") for k in range(2)])
 
 
 def _tracked(s: DataFrame) -> DataFrame:
@@ -164,7 +172,7 @@ def _tracked(s: DataFrame) -> DataFrame:
     p, label = F.floor(F.col("i") / 12), F.floor(F.col("i") % 12 / 4)
     sets = s.groupBy("g", p.cast("double").alias("parameter"), label.alias("label")).agg(F.array(F.avg("v")).alias("x"), F.sum("v").alias("w"))
     total = sets.groupBy("g", "parameter").agg(F.sum("w").alias("t")).where("t <> 0")
-    sets = sets.join(total, ["g", "parameter"]).select("g", "parameter", "label", "x", F.round(F.col("w") / F.col("t"), 9).alias("fraction"))
+    sets = sets.join(total, ["g", "parameter"]).select("g", "parameter", "label", "x", _round(F.col("w") / F.col("t"), 9).alias("fraction"))
     return fn.match_attractors(sets, 20.0, 0.15)
 
 
@@ -222,7 +230,7 @@ CALLED: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
     "sweep_periods": (lambda s: fn.periods(_sweep(s)).join(fn.branches(_sweep(s)), ["g", "parameter"]), "event_type", oracles.SWEEP),
     "bifurcation_points": (lambda s: fn.bifurcation_points(fn.periods(_sweep(s))), "event_type", oracles.BIFURCATIONS),
     "edge_distance": (_edges, "event_type", oracles.EDGES),
-    "crossings": (lambda s: fn.crossings(s).select("g", F.ceil("at").alias("i"), _r("at", 6), "direction"), "user_id", series_sql.CROSSINGS),
+    "crossings": (lambda s: fn.crossings(s).select("g", "i", _r("at", 6), "direction"), "user_id", series_sql.CROSSINGS),
     "correlation_dimension": (_correlation_dimension, "user_id", series_models.CORRELATION_DIMENSION),
     "surrogates": (_kept, "user_id", oracles.KEPT),
     "local_slopes": (_slopes, "event_type", oracles.boxes(fn.scale_shares()).rstrip() + oracles.LOCAL_SLOPES),

@@ -122,11 +122,15 @@ def embed(s: DataFrame, dimension: int, delay: int = 1) -> DataFrame:
 
 
 def crossings(s: DataFrame, level: float | None = None) -> DataFrame:
-    """Where a series passes a level (by default its mean): (g, at, direction), `at` by linear interpolation."""
-    x = s.withColumn("x", F.col("v") - level) if level is not None else normalize(s, "demean").withColumn("x", F.col("v"))
+    """Where a series passes a level (by default its mean): (g, i, at, direction), i the sample behind it, `at` by linear interpolation."""
+    if level is not None:
+        x = s.withColumn("x", F.col("v") - level)
+    else:  # a sample that equals the mean is told by its last bit: with `i` in use the values are added in their order, not as the files lie
+        means = s.groupBy("g").agg(F.avg("v").alias("mean"), F.max("i").alias("last"))
+        x = s.join(means, "g").where("i <= last").select("g", "i", (F.col("v") - F.col("mean")).alias("x"))
     rows = ahead(x, [1], "x")
     up, down = (F.col("x") < 0) & (F.col("a1") >= 0), (F.col("x") > 0) & (F.col("a1") <= 0)
-    return rows.where(up | down).select("g", (F.col("i") + F.col("x") / (F.col("x") - F.col("a1"))).alias("at"), F.when(up, "up").otherwise("down").alias("direction"))
+    return rows.where(up | down).select("g", (F.col("i") + 1).alias("i"), (F.col("i") + F.col("x") / (F.col("x") - F.col("a1"))).alias("at"), F.when(up, "up").otherwise("down").alias("direction"))
 
 
 def zero_crossing_rate(s: DataFrame) -> DataFrame:

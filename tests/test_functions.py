@@ -5,10 +5,12 @@ import math
 from collections import Counter
 from statistics import NormalDist
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orbitlake import catalog
 from orbitlake import functions as fn
 from orbitlake.functions import blocks
 from orbitlake.functions import series as series_module
@@ -314,6 +316,19 @@ def test_transforms(s):
     assert [d for _, d in cross] == [d for _, d in want] and np.allclose([a for a, _ in cross], [a for a, _ in want])
 
 
+def test_crossings_right_at_the_level(spark):
+    x = [1.0] * 29 + [-7e-15, 79.02]
+    s = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "g string, i long, v double")
+    # the crossing lies on sample 29 in double precision, and is one between 29 and 30
+    assert [(r["i"], r["at"], r["direction"]) for r in fn.crossings(s, 0.0).orderBy("i").collect()] == [(29, 29.0 - 7e-15, "down"), (30, 29.0, "up")]
+
+
+def test_rounding_goes_by_doubles_as_in_duckdb(spark):
+    values = [32.2453125, 64.6090625, 0.8353125, -0.8353125, 2.5e-7, 0.5e-6, 1e300, -1e-9, 0.0]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", catalog._round("v", 6).alias("r")).orderBy("k").collect()
+    assert [r["r"] for r in got] == [r[0] for r in duckdb.sql(f"SELECT round(unnest({values}::DOUBLE[]), 6)").fetchall()]
+
+
 def test_features(s):
     got = by(fn.extract_features(s), "g")
     for g, x in SERIES.items():
