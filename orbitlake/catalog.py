@@ -97,7 +97,7 @@ def _rosenstein(s: DataFrame) -> DataFrame:
 
 
 def _rate(s: DataFrame) -> DataFrame:
-    return fn.line_fit(fn.divergence(s, 2, 1, 1, 5, "rosenstein").select("g", F.col("k").alias("x"), F.col("divergence").alias("y"))).select("g", _r("slope", 5, "rate"))
+    return fn.line_fit(fn.divergence(s, 2, 1, 1, 5, "rosenstein", squared=False).select("g", F.col("k").alias("x"), F.col("divergence").alias("y"))).select("g", _r("slope", 5, "rate"))
 
 
 def _lines(found: DataFrame, g: str = "g") -> DataFrame:

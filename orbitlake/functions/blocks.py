@@ -14,13 +14,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fits import scaling_region
 from .series import stats
 
 BLOCK = 2048
+#: Rows that a task gives on at once: what a batch of series gives may be many times its size.
+GIVEN = 1 << 16
 #: Rows of one series that stand for its pairs where percentiles of distances are wanted.
 SAMPLE = 90
 
@@ -32,14 +34,17 @@ def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def packed(rows: DataFrame, value: str, reach: int = 0, extra: DataFrame | None = None, block: int | None = None) -> DataFrame:
-    """(g, block, rows, parts, extra columns): each block's (i, value), with the `reach` samples after its end; parts is the number of blocks."""
+def packed(rows: DataFrame, value: str, reach: int = 0, extra: DataFrame | None = None, block: int | None = None, own: Sequence[Column] = ()) -> DataFrame:
+    """(g, block, rows, parts, extra columns): each block's (i, value), with the `reach` samples after its end; parts is the number of blocks.
+
+    Only the series of several blocks are listed and broadcast, at most one row for each `block` samples; all others are packed as they stand. own: aggregates of the rows of
+    a block, which are those of its series where that is one block."""
     size = block or BLOCK
-    own = F.floor(F.col("i") / size)
-    at = F.explode(F.sequence(F.greatest(F.floor((F.col("i") - reach) / size), F.lit(0).cast("long")), own)) if reach else own
-    cut = rows.select("g", "i", value, at.alias("block"))
-    sizes = rows.groupBy("g").agg((F.floor(F.max("i") / size) + 1).alias("parts"))
-    out = cut.groupBy("g", "block").agg(F.collect_list(F.struct("i", F.col(value).alias("x"))).alias("rows")).join(sizes, "g")
+    at = F.floor(F.col("i") / size)
+    spread = F.explode(F.sequence(F.greatest(F.floor((F.col("i") - reach) / size), F.lit(0).cast("long")), at)) if reach else at
+    long = rows.groupBy("g").agg((F.floor(F.max("i") / size) + 1).alias("parts")).where("parts > 1")
+    cut = rows.where("g IS NOT NULL").select("g", "i", value, spread.alias("block")).join(F.broadcast(long), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    out = cut.groupBy("g", "block", "parts").agg(F.collect_list(F.struct("i", F.col(value).alias("x"))).alias("rows"), *own)
     return out if extra is None else out.join(extra, "g")
 
 
@@ -49,8 +54,8 @@ def each_block(table: DataFrame, schema: str, see: Callable[[np.ndarray, np.ndar
     return by_blocks(own, schema, lambda i, x, j, y, p: see(i, x, p | {"parts": p["parts_"], "block": p["block_"]}), block=block, pairs=False)
 
 
-def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0, block: int | None = None, pairs: bool = True) -> DataFrame:
-    """Rows g and what `compare` makes of each pair of blocks (each block with itself alone, unless `pairs`). window: points are windows of that many samples of a series, else what stands in x."""
+def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0, block: int | None = None, pairs: bool = True, alone: bool = True) -> DataFrame:
+    """Rows g and what `compare` makes of each pair of blocks (each block with itself alone, unless `pairs`; not those that are a whole series, unless `alone`). window: points are windows of that many samples of a series, else what stands in x."""
     size = block or BLOCK
     extra = [c for c in table.columns if c not in ("g", "block", "rows", "parts")]
     one = table.where("parts = 1").select("g", *extra, F.array(F.struct("block", "rows")).alias("both"))
@@ -78,8 +83,13 @@ def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, taken, out = batch.column(batch.schema.get_field_index("both")), [], []
+            both, taken, out, held = batch.column(batch.schema.get_field_index("both")), [], [], 0
             params = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in extra]
+
+            def made(batch=batch):
+                g = batch.column(0).take(pa.array(np.concatenate(taken)))  # noqa: B023
+                return pa.RecordBatch.from_arrays([g, *(pa.array(np.concatenate([o[n] for o in out])) for n in names)], names=["g", *names])  # noqa: B023
+
             for r in range(len(batch)):
                 a, b = both.offsets[r].as_py(), both.offsets[r + 1].as_py()
                 parts = sorted((points(both.values, k) for k in range(a, b)), key=lambda p: p[0])
@@ -88,11 +98,24 @@ def by_blocks(table: DataFrame, schema: str, compare: Compare, window: int = 0,
                     found = compare(i, x, j, y, dict(zip(extra, (p[r] for p in params), strict=True)))
                     taken.append(np.full(len(found[names[0]]), r))
                     out.append(found)
+                    held += len(taken[-1])
+                if held >= GIVEN:
+                    yield made()
+                    taken, out, held = [], [], 0
             if out:
-                g = batch.column(0).take(pa.array(np.concatenate(taken)))
-                yield pa.RecordBatch.from_arrays([g, *(pa.array(np.concatenate([o[n] for o in out])) for n in names)], names=["g", *names])
+                yield made()
 
-    return (one.unionByName(two) if pairs else one).mapInArrow(run, f"g {kind_of(table, 'g')}, {schema}")
+    return (one.unionByName(two) if pairs and alone else two if pairs else one).mapInArrow(run, f"g {kind_of(table, 'g')}, {schema}")
+
+
+def by_series(table: DataFrame, schema: str, compare: Compare, short: str, finish: Callable[[dict[str, np.ndarray], dict[str, float]], dict[str, np.ndarray]], merge: Callable[[DataFrame], DataFrame], window: int = 0, stats: DataFrame | None = None) -> DataFrame:
+    """Rows (g, those of `short`). A series of one block is reduced where it is compared, by `finish` (what compare gave, parameters), so no row a point leaves the task; for longer ones `merge`
+    makes the same rows of what all pairs of blocks give. stats: the parameters of the longer ones, in place of the block's own."""
+    one = by_blocks(table, short, lambda i, x, j, y, own: finish(compare(i, x, j, y, own), own), window, pairs=False)
+    long = table.where("parts > 1")
+    if stats is not None:
+        long = long.drop(*[c for c in stats.columns if c != "g"]).join(stats, "g")
+    return one.unionByName(merge(by_blocks(long, schema, compare, window, alone=False)))
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
@@ -103,6 +126,15 @@ def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return d if p in (1, math.inf) else np.sqrt(d) if p == 2 else d ** (1 / p)
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances. What is nearest is told by these: a root makes equal what differs by the last bit."""
+    return sum((a[:, k, None] - b[None, :, k]) ** 2 for k in range(a.shape[1]))
+
+
+def _std() -> Column:
+    return F.stddev_pop("v").alias("std")
+
+
 def _both_ways(i: np.ndarray, j: np.ndarray, same: bool, d: np.ndarray, find: Callable[[np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """find(own indices, other indices, distances, turned) for the points of a block, and for those of the other one."""
     own = find(i, j, d, False)
@@ -142,17 +174,27 @@ def prediction_error(s: DataFrame, dimension: int = 3, delay: int = 1, horizon:
             rows = np.repeat(np.arange(len(own)), order.shape[1])[use]
             return own[rows], far[use], other[order.ravel()][use], there[order.ravel()[use], span], of[rows, span]
 
-        return dict(zip(("i", "distance", "j", "told", "y"), _both_ways(i, j, y is x, distances(x[:, at], y[:, at], 2.0), find), strict=True))
+        return dict(zip(("i", "distance", "j", "told", "y"), _both_ways(i, j, y is x, squares(x[:, at], y[:, at]), find), strict=True))
 
-    found = by_blocks(packed(s, "v", span), "i long, distance double, j long, told double, y double", compare, span + 1)
-    rank = F.row_number().over(Window.partitionBy("g", "i").orderBy("distance", "j"))
-    told = found.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("g", "i").agg(F.avg("told").alias("said"), F.first("y").alias("y"), F.count("*").alias("m")).where(F.col("m") == k)
-    error = told.groupBy("g").agg(F.sqrt(F.avg(F.pow(F.col("said") - F.col("y"), F.lit(2)))).alias("e"), F.count("*").alias("n"))
-    return error.join(stats(s).select("g", "std"), "g").select("g", F.when(F.col("std") > 0, F.col("e") / F.col("std")).otherwise(0.0).alias("error"), "n")
+    def finish(found, _):
+        start, m = np.unique(found["i"], return_index=True, return_counts=True)[1:]
+        start = start[m == k]
+        off = sum(found["told"][start + r] for r in range(k)) / k - found["y"][start] if len(start) else start
+        return {"squares": np.array([(off**2).sum()], float)[: len(off)], "n": np.array([len(off)])[: len(off)]}
+
+    def merge(found):
+        rank = F.row_number().over(Window.partitionBy("g", "i").orderBy("distance", "j"))
+        told = found.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("g", "i").agg(F.avg("told").alias("said"), F.first("y").alias("y"), F.count("*").alias("m")).where(F.col("m") == k)
+        return told.groupBy("g").agg(F.sum(F.pow(F.col("said") - F.col("y"), F.lit(2))).alias("squares"), F.count("*").alias("n")).join(spread, "g")
 
+    spread = stats(s).select("g", "std")
+    own = lambda found, p: (got := finish(found, p)) | {"std": np.full(len(got["n"]), p["std"], float)}
+    error = by_series(packed(s, "v", span, own=[_std()]), "i long, distance double, j long, told double, y double", compare, "squares double, n long, std double", own, merge, span + 1)
+    return error.select("g", F.when(F.col("std") > 0, F.sqrt(F.col("squares") / F.col("n")) / F.col("std")).otherwise(0.0).alias("error"), "n")
 
-def _all_dimensions(s: DataFrame, columns: int, delay: int, theiler: int, p: float, positive: bool) -> DataFrame:
-    """(g, d, i, distance, extra) for d from 1 to columns - 1: the nearest point in the first d coordinates, and how far the next one is off."""
+
+def _all_dimensions(s: DataFrame, columns: int, delay: int, theiler: int, p: float, short: str, finish: Callable, merge: Callable) -> DataFrame:
+    """What finish and merge make of (d, distance, extra) of each point, for d from 1 to columns - 1: the nearest point in the first d coordinates, and how far the next one is off."""
     span = (columns - 1) * delay
 
     def compare(i, x, j, y, _):
@@ -161,7 +203,7 @@ def _all_dimensions(s: DataFrame, columns: int, delay: int, theiler: int, p: flo
         for k in range(columns - 1):
             e = np.abs(x[:, k * delay, None] - y[None, :, k * delay])
             d = np.maximum(d, e) if p == math.inf else d + e * e
-            masked = np.where(near, np.inf, d)
+            masked = np.where(near, np.inf, d if p == math.inf else np.sqrt(d))  # distances that are equal as such go to the smaller j, in a block as between blocks
 
             def find(own, other, m, turned, k=k):
                 of, there = (x, y) if not turned else (y, x)
@@ -169,21 +211,31 @@ def _all_dimensions(s: DataFrame, columns: int, delay: int, theiler: int, p: flo
                 far = m[np.arange(len(own)), best]
                 use = np.isfinite(far)
                 extra = np.abs(of[:, (k + 1) * delay] - there[best, (k + 1) * delay])
-                return np.full(use.sum(), k + 1), own[use], other[best][use], (far if p == math.inf else np.sqrt(far))[use], extra[use]
+                return np.full(use.sum(), k + 1), own[use], other[best][use], far[use], extra[use]
 
             out.append(_both_ways(i, j, y is x, masked, find))
         return dict(zip(("d", "i", "j", "distance", "extra"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
-    found = by_blocks(packed(s, "v", span), "d long, i long, j long, distance double, extra double", compare, span + 1)
-    best = found.groupBy("g", "d", "i").agg(F.min(F.struct("distance", "j", "extra")).alias("b")).select("g", "d", "i", "b.distance", "b.extra")
-    return best.where("distance > 0") if positive else best
+    def best(found):
+        return merge(found.groupBy("g", "d", "i").agg(F.min(F.struct("distance", "j", "extra")).alias("b")).select("g", "d", "i", "b.distance", "b.extra"))
+
+    return by_series(packed(s, "v", span, own=[_std()]), "d long, i long, j long, distance double, extra double", compare, short, finish, best, span + 1)
 
 
 def false_nearest_neighbours(s: DataFrame, delay: int = 1, max_dim: int = 10, rtol: float = 15.0, atol: float = 2.0, threshold: float = 0.01, theiler: int = 0) -> DataFrame:
     """(g, d, fraction, dimension): the share of false neighbours in each dimension, and the first dimension with `threshold` of them at most (else that with fewest). Constant and too short series have no rows."""
-    rows = _all_dimensions(s, max_dim + 1, delay, theiler, 2.0, False).join(stats(s).where("std > 0").select("g", "std"), "g")
-    false = (F.col("extra") > rtol * F.col("distance")) | (F.sqrt(F.pow("distance", F.lit(2)) + F.pow("extra", F.lit(2))) > atol * F.col("std"))
-    curve = rows.groupBy("g", "d").agg(F.avg(false.cast("double")).alias("fraction"))
+
+    def finish(found, own):
+        false = (found["extra"] > rtol * found["distance"]) | (np.sqrt(found["distance"] ** 2 + found["extra"] ** 2) > atol * own["std"])
+        n = np.bincount(found["d"] if own["std"] > 0 else [], minlength=1)
+        d = np.flatnonzero(n)
+        return {"d": d, "fraction": np.bincount(found["d"], false)[d] / n[d]}
+
+    def merge(rows):
+        false = (F.col("extra") > rtol * F.col("distance")) | (F.sqrt(F.pow("distance", F.lit(2)) + F.pow("extra", F.lit(2))) > atol * F.col("std"))
+        return rows.join(stats(s).where("std > 0").select("g", "std"), "g").groupBy("g", "d").agg(F.avg(false.cast("double")).alias("fraction"))
+
+    curve = _all_dimensions(s, max_dim + 1, delay, theiler, 2.0, "d long, fraction double", finish, merge)
     own = Window.partitionBy("g")
     least = F.min(F.when(F.col("fraction") <= threshold, F.col("d"))).over(own)
     return curve.select("g", "d", "fraction", F.coalesce(least, F.min_by("d", F.struct("fraction", "d")).over(own)).alias("dimension"))
@@ -191,8 +243,18 @@ def false_nearest_neighbours(s: DataFrame, delay: int = 1, max_dim: int = 10, rt
 
 def cao_dimension(s: DataFrame, delay: int = 1, max_dim: int = 10, threshold: float = 0.9, theiler: int = 0) -> DataFrame:
     """(g, d, e1, e2, dimension): Cao's ratios, and the first dimension whose e1 reaches `threshold` (else that with the largest). Pairs without distance are left out."""
-    rows = _all_dimensions(s, max_dim + 2, delay, theiler, math.inf, True)
-    e = rows.groupBy("g", "d").agg(F.avg(F.greatest("distance", "extra") / F.col("distance")).alias("e"), F.avg("extra").alias("s"))
+
+    def finish(found, _):
+        use = found["distance"] > 0
+        at, far, extra = found["d"][use], found["distance"][use], found["extra"][use]
+        n = np.bincount(at)
+        d = np.flatnonzero(n)
+        return {"d": d, "e": np.bincount(at, np.maximum(far, extra) / far)[d] / n[d], "s": np.bincount(at, extra)[d] / n[d]}
+
+    def merge(rows):
+        return rows.where("distance > 0").groupBy("g", "d").agg(F.avg(F.greatest("distance", "extra") / F.col("distance")).alias("e"), F.avg("extra").alias("s"))
+
+    e = _all_dimensions(s, max_dim + 2, delay, theiler, math.inf, "d long, e double, s double", finish, merge)
     own, next_ = Window.partitionBy("g"), Window.partitionBy("g").orderBy("d")
     ratio = e.select("g", "d", (F.lead("e").over(next_) / F.col("e")).alias("e1"), F.when(F.col("s") > 0, F.lead("s").over(next_) / F.col("s")).alias("e2")).where(F.col("d") <= max_dim)
     first = F.min(F.when(F.col("e1") >= threshold, F.col("d"))).over(own)
@@ -231,8 +293,8 @@ def correlation_sum(points: DataFrame, radii: Sequence[float] | None = None, the
         within = np.cumsum(np.bincount(np.searchsorted(r, d, side="left"), minlength=len(r) + 1))[: len(r)]
         return {"radius": r, "pairs": within, "valid": np.full(len(r), len(d))}
 
-    found = by_blocks(packed(points, "x", extra=extra), "radius double, pairs long, valid long", compare)
-    total = found.groupBy("g", "radius").agg(F.sum("pairs").alias("pairs"), F.sum("valid").alias("valid"))
+    schema = "radius double, pairs long, valid long"
+    total = by_series(packed(points, "x", extra=extra), schema, compare, schema, lambda found, _: found, lambda found: found.groupBy("g", "radius").agg(F.sum("pairs").alias("pairs"), F.sum("valid").alias("valid")))
     return total.select("g", "radius", "pairs", "valid", F.when(F.col("valid") > 0, F.col("pairs") / F.col("valid")).alias("correlation_sum"))
 
 
@@ -242,9 +304,9 @@ def correlation_dimension(points: DataFrame, min_window: int = 5, tol: float = 1
     return scaling_region(sums.select("g", F.ln("radius").alias("x"), F.ln("correlation_sum").alias("y")), min_window, tol)
 
 
-def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int | None = None, k_max: int = 20, method: str = "kantz", eps: float | None = None, neighbours: int = 1) -> DataFrame:
+def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int | None = None, k_max: int = 20, method: str = "kantz", eps: float | None = None, neighbours: int = 1, squared: bool = True) -> DataFrame:
     """(g, k, divergence, points): mean log distance k steps after two points were near, and the number of points it is of. `rosenstein`: of each point and its nearest; `kantz`: the log of the mean
-    distance to the points within eps (by default 0.1 standard deviations), of points with `neighbours` of these at least. divergence_rate() gives the exponent."""
+    distance to the points within eps (by default 0.1 standard deviations), of points with `neighbours` of these at least. squared: the nearest is told by squared distances, else by their roots, of which more are equal (ties to the smaller index). divergence_rate() gives the exponent."""
     if method not in ("kantz", "rosenstein"):
         raise ValueError(f"unknown method {method!r}")
     apart = (dimension - 1) * delay if theiler is None else theiler
@@ -253,7 +315,6 @@ def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int |
     steps = np.arange(k_max + 1)
     follow = at[None] + steps[:, None]  # columns of the point k steps on
     rosenstein = method == "rosenstein"
-    extra = None if rosenstein else stats(s).where("std > 0").select("g", (F.lit(float(eps)) if eps else 0.1 * F.col("std")).alias("eps"))
     log = lambda d: np.log(np.maximum(d, 1e-12))
 
     def later(of: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -262,7 +323,10 @@ def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int |
         return np.sqrt(sum(off[:, follow[:, m]] for m in range(dimension)))
 
     def compare(i, x, j, y, own):
-        d = distances(x[:, at], y[:, at], 2.0)
+        d = squares(x[:, at], y[:, at])
+        if not (rosenstein and squared):
+            d = np.sqrt(d)
+        near = -1.0 if not own["std"] > 0 else eps if eps else 0.1 * own["std"]
 
         def find(mine, other, d, turned):
             of, there = (x, y) if not turned else (y, x)
@@ -274,7 +338,7 @@ def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int |
                 best = best[use]
                 curve = log(later(of[use], there[best]))
                 return mine[use], m[use, best], other[best], np.ones(len(use), np.int64), curve
-            a, b = np.nonzero(valid & (d <= own["eps"]))
+            a, b = np.nonzero(valid & (d <= near))
             sums = np.zeros((len(mine), k_max + 1))
             for start in range(0, len(a), 1 << 16):
                 part = slice(start, start + (1 << 16))
@@ -287,10 +351,21 @@ def divergence(s: DataFrame, dimension: int = 3, delay: int = 1, theiler: int |
         k = np.tile(steps, len(index))
         return {"i": np.repeat(index, k_max + 1), "k": k, "distance": np.repeat(far, k_max + 1), "j": np.repeat(partner, k_max + 1), "n": np.repeat(n, k_max + 1), "value": curve.ravel()}
 
-    found = by_blocks(packed(s, "v", span, extra), "i long, k long, distance double, j long, n long, value double", compare, span + 1)
-    if rosenstein:
-        each = found.groupBy("g", "k", "i").agg(F.min(F.struct("distance", "j", "value")).alias("b")).select("g", "k", F.col("b.value").alias("value"))
-    else:
-        each = found.groupBy("g", "k", "i").agg(F.sum("value").alias("sum"), F.sum("n").alias("n")).where(F.col("n") >= neighbours)
-        each = each.select("g", "k", F.ln(F.greatest(F.col("sum") / F.col("n"), F.lit(1e-12))).alias("value"))
-    return each.groupBy("g", F.col("k").cast("int").alias("k")).agg(F.avg("value").alias("divergence"), F.count("*").alias("points"))
+    def finish(found, _):
+        curve, n = found["value"].reshape(-1, k_max + 1), found["n"][:: k_max + 1]
+        if not rosenstein:
+            use = n >= neighbours
+            curve, n = log(curve[use] / n[use, None]), n[use]
+        some = slice(None if len(n) else 0)
+        return {"k": steps[some].astype(np.int32), "divergence": (curve.sum(axis=0) / max(len(n), 1))[some], "points": np.full(k_max + 1, len(n))[some]}
+
+    def merge(found):
+        if rosenstein:
+            each = found.groupBy("g", "k", "i").agg(F.min(F.struct("distance", "j", "value")).alias("b")).select("g", "k", F.col("b.value").alias("value"))
+        else:
+            each = found.groupBy("g", "k", "i").agg(F.sum("value").alias("sum"), F.sum("n").alias("n")).where(F.col("n") >= neighbours)
+            each = each.select("g", "k", F.ln(F.greatest(F.col("sum") / F.col("n"), F.lit(1e-12))).alias("value"))
+        return each.groupBy("g", F.col("k").cast("int").alias("k")).agg(F.avg("value").alias("divergence"), F.count("*").alias("points"))
+
+    schema = "i long, k long, distance double, j long, n long, value double"
+    return by_series(packed(s, "v", span, own=[_std()]), schema, compare, "k int, divergence double, points long", finish, merge, span + 1, None if rosenstein else stats(s).select("g", "std"))

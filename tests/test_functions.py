@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,24 @@ def test_pairs_of_points(s, monkeypatch, block):
     assert near(error["noise"]["error"], np.sqrt(np.mean((said - y) ** 2)) / x.std()) and error["flat"]["error"] == 0
 
 
+@pytest.mark.parametrize("block", [16, 2048])
+@pytest.mark.parametrize("name", ["lyapunov_rosenstein", "nonlinear_prediction_error", "lyapunov_rate", "false_nearest_neighbours"])
+def test_nearly_equal_distances_go_as_in_sql(spark, monkeypatch, name, block):
+    # on hundredths many squares differ by their last bit only, and have one root
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(v)) for g in range(200) for i, v in enumerate(np.round(rng.integers(0, 20, 30) / 100, 2))]
+    operator, _, text = catalog.CALLED[name]
+    got = operator(spark.createDataFrame(rows, "g long, i long, v double"))
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["g", "i", "v"])
+    con.register("s", frame)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({text.replace('{s}', 's')}) z").fetchall()
+    assert len(want) >= 200
+    for a, b in zip(sorted(map(tuple, got.collect())), sorted(want), strict=True):
+        assert a == pytest.approx(b, abs=1e-6)
+
+
 def test_scaling_fits(spark):
     rng = np.random.default_rng(4)
     curves = {"line": 2 * np.linspace(0, 1, 20) + 0.5, "bent": np.minimum(np.linspace(0, 3, 24), 2) + 0.01 * rng.normal(size=24), "noisy": rng.normal(size=12)}
