@@ -68,11 +68,14 @@ def _normalized(s: DataFrame) -> DataFrame:
 
 
 def _grained(s: DataFrame) -> DataFrame:
-    rows = None
-    for k in range(1, 6):
-        one = fn.coarse_grain(s, k).groupBy("g").agg(F.count("*").alias("n"), _round(F.stddev_pop("v"), 6).alias("std")).withColumn("scale", F.lit(k))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """All scales in one pass over windows of five samples, with one row a series in the aggregate."""
+    rows, scales = fn.ahead(s, range(1, 5)), range(1, 6)
+    samples = [F.col("v"), *[F.col(f"a{k}") for k in range(1, 5)]]
+    # the mean of the `k` samples that begin here; null where fewer are left
+    means = {k: F.when(F.col("i") % k == 0, sum(samples[1:k], samples[0]) / k) for k in scales}
+    sums = rows.groupBy("g").agg(*[f.alias(f"{name}{k}") for k, m in means.items() for name, f in (("n", F.count(m)), ("std", F.stddev_pop(m)))])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.col(f"n{k}").alias("n"), F.col(f"std{k}").alias("std")) for k in scales]))
+    return sums.select("g", each.alias("e")).where("e.n > 0").select("g", "e.n", _r("e.std", 6, "std"), "e.scale")
 
 
 def _label_grid(s: DataFrame) -> DataFrame:
