@@ -34,6 +34,11 @@ def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def long_series(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """(g, parts) of the series of more than one block: at most one row for each `block` samples of the table, so that it can be broadcast."""
+    return rows.groupBy("g").agg((F.floor(F.max("i") / (block or BLOCK)) + 1).alias("parts")).where("parts > 1")
+
+
 def packed(rows: DataFrame, value: str, reach: int = 0, extra: DataFrame | None = None, block: int | None = None, own: Sequence[Column] = ()) -> DataFrame:
     """(g, block, rows, parts, extra columns): each block's (i, value), with the `reach` samples after its end; parts is the number of blocks.
 
@@ -42,8 +47,7 @@ def packed(rows: DataFrame, value: str, reach: int = 0, extra: DataFrame | None
     size = block or BLOCK
     at = F.floor(F.col("i") / size)
     spread = F.explode(F.sequence(F.greatest(F.floor((F.col("i") - reach) / size), F.lit(0).cast("long")), at)) if reach else at
-    long = rows.groupBy("g").agg((F.floor(F.max("i") / size) + 1).alias("parts")).where("parts > 1")
-    cut = rows.where("g IS NOT NULL").select("g", "i", value, spread.alias("block")).join(F.broadcast(long), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = rows.where("g IS NOT NULL").select("g", "i", value, spread.alias("block")).join(F.broadcast(long_series(rows, size)), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     out = cut.groupBy("g", "block", "parts").agg(F.collect_list(F.struct("i", F.col(value).alias("x"))).alias("rows"), *own)
     return out if extra is None else out.join(extra, "g")
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import by_blocks, long_series, packed
 from .series import ahead, binarize, coarse_grain, stats
 
 
@@ -167,12 +168,57 @@ def permutation_entropy(s: DataFrame, order: int = 3, delay: int = 1, base: floa
 
 
 def sample_entropy(s: DataFrame, m: int = 2, r: float | None = None, delay: int = 1, factor: float = 0.2, scale: DataFrame | None = None) -> DataFrame:
-    """(g, b_pairs, a_pairs, sample_entropy) by a join of templates in cells of r in their first two coordinates.
+    """(g, b_pairs, a_pairs, sample_entropy) of templates within r in all of their m coordinates, and in the next one too.
 
     r: by default `factor` standard deviations of the series (or of rows (g, std) in `scale`). No longer match: infinity;
-    no match, a constant or too short series: null.
+    no match, a constant or too short series: null. Series of one block are compared in one row, longer ones by cells.
     """
-    own = (stats(s) if scale is None else scale).select("g", (F.lit(float(r)) if r is not None else factor * F.col("std")).alias("r"))
+    if scale is not None:
+        pairs = s.select("g").distinct().join(_by_cells(s, m, r, delay, factor, scale), "g", "left").select("g", F.lit(1).alias("scale"), "b", "a")
+    else:
+        pairs = _matches(s, [1], m, r, delay, factor)
+    return _sample_value(pairs).drop("scale")
+
+
+def _sample_value(pairs: DataFrame) -> DataFrame:
+    b, a = F.coalesce("b", F.lit(0)).alias("b_pairs"), F.coalesce("a", F.lit(0)).alias("a_pairs")
+    value = F.when(F.col("a") > 0, F.ln(F.col("b") / F.col("a"))).when(F.col("b") > 0, float("inf"))
+    return pairs.select("g", "scale", b, a, value.alias("sample_entropy"))
+
+
+def _matches(s: DataFrame, scales: Sequence[int], m: int, r: float | None, delay: int, factor: float) -> DataFrame:
+    """(g, scale, b, a): matches of m and of m + 1 samples of each series, coarse-grained to each scale; the radius is of the series itself. All scales of a series of one block in one row."""
+
+    def count(x: np.ndarray, radius: float) -> tuple[int, int]:
+        n = len(x) - m * delay
+        if n < 2 or not radius > 0:
+            return 0, 0
+        near = np.ones((n, n), bool)
+        for k in range(m):
+            y = x[k * delay : k * delay + n]
+            near &= np.abs(y[:, None] - y[None]) <= radius
+        y = x[m * delay :]
+        both = near & (np.abs(y[:, None] - y[None]) <= radius)
+        return (int(near.sum()) - n) // 2, (int(both.sum()) - n) // 2  # each pair twice, each template with itself
+
+    def compare(i, x, j, y, own):
+        radius = r if r is not None else factor * own["std"]
+        found = [(k, *count(sum(x[c : len(x) // k * k : k] for c in range(k)) / k, radius)) for k in scales if len(x) >= k]
+        return dict(zip(("scale", "b", "a"), np.array(found, np.int64).reshape(-1, 3).T, strict=True))
+
+    short = by_blocks(packed(s, "v", own=[F.stddev_pop("v").alias("std")]), "scale long, b long, a long", compare, pairs=False)
+    out = short.select("g", F.col("scale").cast("int").alias("scale"), "b", "a")
+    long = s.join(F.broadcast(long_series(s).select("g")), "g", "left_semi")
+    spread = stats(long).select("g", "std")
+    for k in scales:
+        pairs = _by_cells(long if k == 1 else coarse_grain(long, k), m, r, delay, factor, spread)
+        out = out.unionByName(long.select("g").distinct().join(pairs, "g", "left").select("g", F.lit(k).alias("scale"), "b", "a"))
+    return out
+
+
+def _by_cells(s: DataFrame, m: int, r: float | None, delay: int, factor: float, scale: DataFrame) -> DataFrame:
+    """(g, b, a): matches by a join of templates in cells of r in their first two coordinates."""
+    own = scale.select("g", (F.lit(float(r)) if r is not None else factor * F.col("std")).alias("r"))
     rows = ahead(s, [k * delay for k in range(1, m + 1)])
     names = ["v", *[f"a{k * delay}" for k in range(1, m + 1)]]
     t = rows.where(F.col(names[-1]).isNotNull()).join(own, "g").where("r > 0").select("g", "i", "r", F.array(*names).alias("x"))
@@ -188,10 +234,7 @@ def sample_entropy(s: DataFrame, m: int = 2, r: float | None = None, delay: int
     far = [F.abs(F.col("x.x")[k] - F.col("y.x")[k]) for k in range(m + 1)]
     for k in range(m):
         on &= far[k] <= F.col("x.r")
-    pairs = x.join(y, on).groupBy(F.col("x.g").alias("g")).agg(F.count("*").alias("b"), F.sum((far[m] <= F.col("x.r")).cast("long")).alias("a"))
-    b, a = F.coalesce("b", F.lit(0)).alias("b_pairs"), F.coalesce("a", F.lit(0)).alias("a_pairs")
-    value = F.when(F.col("a") > 0, F.ln(F.col("b") / F.col("a"))).when(F.col("b") > 0, float("inf"))
-    return s.select("g").distinct().join(pairs, "g", "left").select("g", b, a, value.alias("sample_entropy"))
+    return x.join(y, on).groupBy(F.col("x.g").alias("g")).agg(F.count("*").alias("b"), F.sum((far[m] <= F.col("x.r")).cast("long")).alias("a"))
 
 
 def multiscale_entropy(s: DataFrame, scales: int | Sequence[int] = 20, factor: float = 0.15, entropy_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -199,10 +242,12 @@ def multiscale_entropy(s: DataFrame, scales: int | Sequence[int] = 20, factor: f
 
     entropy_fn: any function from a series to rows (g, ...).
     """
-    out, scale = None, stats(s).select("g", "std")
-    for k in range(1, scales + 1) if isinstance(scales, int) else scales:
-        grained = coarse_grain(s, k)
-        one = (entropy_fn(grained) if entropy_fn else sample_entropy(grained, factor=factor, scale=scale)).withColumn("scale", F.lit(k))
+    every = range(1, scales + 1) if isinstance(scales, int) else scales
+    if entropy_fn is None:
+        return _sample_value(_matches(s, every, 2, None, 1, factor)).select("g", "b_pairs", "a_pairs", "sample_entropy", "scale")
+    out = None
+    for k in every:
+        one = entropy_fn(coarse_grain(s, k)).withColumn("scale", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out
 
