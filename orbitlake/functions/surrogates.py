@@ -1,69 +1,94 @@
 """Surrogate series, tests against them, and zero-phase filters.
 
-Every (series, surrogate) is a group of its own. Random numbers come from seeds made of the
+A series is one row, whose surrogates are made together with those of other series of its length. Random numbers come from seeds made of the
 seed, the series and the surrogate's number, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import GIVEN
 from .series import ahead
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), np.int64)
-    out[np.argsort(x, kind="stable")] = np.arange(len(x))
+    out = np.empty(x.shape, np.int64)
+    np.put_along_axis(out, np.argsort(x, axis=1, kind="stable"), np.arange(x.shape[1])[None], axis=1)
     return out
 
 
-def _phases(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def _phases(x: np.ndarray, rngs: list[np.random.Generator]) -> np.ndarray:
     """The same magnitudes with drawn phases; the mean and, for even lengths, the last frequency stay real."""
     turned = np.fft.rfft(x)
-    angle = rng.uniform(0, 2 * np.pi, len(turned))
-    angle[0] = 0
-    if len(x) % 2 == 0:
-        angle[-1] = 0
-    return np.fft.irfft(turned * np.exp(1j * angle), n=len(x))
+    angle = np.stack([rng.uniform(0, 2 * np.pi, turned.shape[1]) for rng in rngs])
+    angle[:, 0] = 0
+    if x.shape[1] % 2 == 0:
+        angle[:, -1] = 0
+    return np.fft.irfft(turned * np.exp(1j * angle), n=x.shape[1])
 
 
-def _surrogate(x: np.ndarray, method: str, rng: np.random.Generator, most: int) -> np.ndarray:
-    order = np.sort(x)
+def _surrogate(x: np.ndarray, method: str, rngs: list[np.random.Generator], most: int) -> np.ndarray:
+    """A surrogate of each row; rows are series of one length, and each comes out as it would alone."""
     if method == "fourier":
-        return _phases(x, rng)
+        return _phases(x, rngs)
+    order = np.sort(x, axis=1)
     if method == "aaft":
-        return order[_ranks(_phases(np.sort(rng.standard_normal(len(x)))[_ranks(x)], rng))]
-    size, y, before = np.abs(np.fft.rfft(x)), rng.permutation(x), None
+        normal = np.sort(np.stack([rng.standard_normal(x.shape[1]) for rng in rngs]), axis=1)
+        return np.take_along_axis(order, _ranks(_phases(np.take_along_axis(normal, _ranks(x), axis=1), rngs)), axis=1)
+    size, out = np.abs(np.fft.rfft(x)), np.stack([rng.permutation(v) for rng, v in zip(rngs, x, strict=True)])
+    going, before = np.arange(len(x)), None  # the rows that still change
     for _ in range(most):
-        place = _ranks(np.fft.irfft(size * np.exp(1j * np.angle(np.fft.rfft(y))), n=len(x)))
-        y = order[place]
-        if before is not None and (place == before).all():
-            break
+        place = _ranks(np.fft.irfft(size[going] * np.exp(1j * np.angle(np.fft.rfft(out[going]))), n=x.shape[1]))
+        out[going] = np.take_along_axis(order[going], place, axis=1)
+        if before is not None:
+            moved = (place != before).any(axis=1)
+            going, place = going[moved], place[moved]
+            if not len(going):
+                break
         before = place
-    return y
+    return out
 
 
 def surrogates(s: DataFrame, method: str = "iaaft", n: int = 1, seed: int = 0, max_iter: int = 1000) -> DataFrame:
     """(g, k, i, v) for k from 1 to n: `shuffle`, `fourier` (random phases), `aaft` or `iaaft` (same values, about the same spectrum)."""
     if method not in ("shuffle", "fourier", "aaft", "iaaft"):
         raise ValueError(f"unknown method {method!r}")
-    rows = s.select("g", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k"), "i", "v")
     if method == "shuffle":
+        rows = s.select("g", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k"), "i", "v")
         w = Window.partitionBy("g", "k").orderBy(F.xxhash64(F.lit(seed), "g", "k", "i"), "i")
         return rows.select("g", "k", (F.row_number().over(w) - 1).cast("long").alias("i"), "v")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        rng = np.random.default_rng([seed, int(pdf["k"].iloc[0]), zlib.crc32(str(pdf["g"].iloc[0]).encode())])
-        return pdf.assign(v=_surrogate(pdf["v"].to_numpy(float), method, rng, max_iter))[["g", "k", "i", "v"]]
-
-    return rows.groupBy("g", "k").applyInPandas(run, f"g {s.schema['g'].dataType.simpleString()}, k int, i long, v double")
+    def made(g: pa.Array, rows: list[int], index: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+        """The k-th surrogates of some rows of a batch, series of one length."""
+        rngs = [np.random.default_rng([seed, k, zlib.crc32(str(g[r].as_py()).encode())]) for r in rows]
+        y = _surrogate(x, method, rngs, max_iter)
+        of = g.take(pa.array(np.repeat(rows, x.shape[1])))
+        return pa.RecordBatch.from_arrays([of, pa.array(np.full(y.size, k, np.int32)), pa.array(index.ravel()), pa.array(y.ravel())], names=["g", "k", "i", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, held = batch.column(0), batch.column(1)
+            ends, every = held.offsets.to_numpy(), held.values
+            index, values = every.field("i").to_numpy(), every.field("v").to_numpy()
+            size = np.diff(ends)
+            for length in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == length)
+                many = max(1, GIVEN // int(length))
+                for start in range(0, len(rows), many):
+                    part = rows[start : start + many]
+                    at = ends[part][:, None] + np.arange(length)
+                    for k in range(1, n + 1):
+                        yield made(g, part.tolist(), index[at], values[at], k)
+
+    whole = s.select("g", "i", F.col("v").cast("double").alias("v")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("held"))
+    return whole.mapInArrow(run, f"g {s.schema['g'].dataType.simpleString()}, k int, i long, v double")
 
 
 def time_reversal(s: DataFrame, delay: int = 1) -> DataFrame:

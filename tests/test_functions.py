@@ -15,6 +15,7 @@ from orbitlake import catalog
 from orbitlake import functions as fn
 from orbitlake.functions import blocks
 from orbitlake.functions import series as series_module
+from orbitlake.functions.surrogates import _surrogate
 
 RNG = np.random.default_rng(21)
 SERIES = {
@@ -161,6 +162,41 @@ def test_multiscale_and_coarse_grain(s):
     assert near(other["noise", 1]["entropy"], by(fn.permutation_entropy(s, 3), "g")["noise"]["entropy"])
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_scales_of_coarse_graining_take_one_pass(s):
+    got = catalog._grained(s)
+    assert "Union" not in plan(got)
+    got = by(got, "g", "scale")
+    for g, x in SERIES.items():
+        for k in range(1, 6):
+            y = x[: len(x) // k * k].reshape(-1, k).mean(axis=1)
+            assert ((g, k) in got) == (len(y) > 0)
+            assert not len(y) or (got[g, k]["n"] == len(y) and abs(got[g, k]["std"] - y.std()) < 1e-6)
+
+
+def test_multiscale_entropy_in_rows_and_by_cells(s, monkeypatch):
+    want = {k: tuple(r) for k, r in by(fn.multiscale_entropy(s, 3), "g", "scale").items()}
+    assert "MapInArrow" in plan(fn.multiscale_entropy(s, 3))
+    monkeypatch.setattr(blocks, "BLOCK", 220)  # some series are longer than this, others not
+    got = {k: tuple(r) for k, r in by(fn.multiscale_entropy(s, 3), "g", "scale").items()}
+    assert got.keys() == want.keys() == {(g, k) for g in SERIES for k in (1, 2, 3)}
+    for k, r in want.items():
+        assert got[k][:3] == r[:3] and near(got[k][3], r[3])
+
+
+@pytest.mark.parametrize("method", ["fourier", "aaft", "iaaft"])
+def test_surrogates_of_many_rows_are_those_of_each(s, method):
+    x = RNG.normal(size=(7, 45)).round(1)
+    rngs = lambda: [np.random.default_rng(k) for k in range(len(x))]
+    many = _surrogate(x, method, rngs(), 200)
+    for k, (v, rng) in enumerate(zip(x, rngs(), strict=True)):
+        assert (_surrogate(v[None], method, [rng], 200)[0] == many[k]).all()
+    assert "InPandas" not in plan(fn.surrogates(s, method, 2))
+
+
 def test_lz76(spark, s):
     # the worked example of the 1976 paper: 0|001|10|100|1000|101
     bits = spark.createDataFrame([("a", i, float(c)) for i, c in enumerate("0001101001000101")], "g string, i long, v double")
