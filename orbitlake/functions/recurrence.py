@@ -41,24 +41,27 @@ def rate_threshold(points: DataFrame, rate: float, theiler: int = 0, p: float =
     m = _valid_pairs(n, theiler)
     place = F.least(F.lit(1.0), rate * n * n / (2 * m)) * (m - 1)
     ranks = _sizes(points).withColumn("m", m).where("m > 0").select("g", "size", F.floor(place).alias("low"), (place - F.floor(place)).alias("part"))
-    table = packed(points, "x", extra=ranks, block=block)
+    table = packed(points, "x", block=block, own=[F.count("*").alias("size")])
 
     def of(x, y, i, j):
         d = distances(x, y, p)
         return d[j[None] - i[:, None] > theiler]
 
     def at_once(i, x, j, y, own):
-        d = of(x, y, i, j)
-        low = int(own["low"])
+        d, size = of(x, y, i, j), float(own["size"])
+        if not len(d):
+            return {"epsilon": np.empty(0)}
+        place = min(1.0, rate * size * size / (2 * float(len(d)))) * (len(d) - 1)
+        low = int(place)
         high = min(low + 1, len(d) - 1)
         d = np.partition(d, [low, high])
-        return {"epsilon": np.array([d[low] + own["part"] * (d[high] - d[low])])}
+        return {"epsilon": np.array([d[low] + (place - low) * (d[high] - d[low])])}
 
-    short = by_blocks(table.where("parts = 1"), "epsilon double", at_once, block=block)
+    short = by_blocks(table, "epsilon double", at_once, block=block, pairs=False)
     largest = ranks.agg(F.max("size")).first()[0] or 0
     if largest <= (block or blocks.BLOCK):
         return save(short)
-    long = table.where("parts > 1")
+    long = table.where("parts > 1").drop("size").join(ranks, "g")
     known = None  # (g, prefix, rank): the bits settled so far, and the rank among distances that begin with them
     for shift, width in _ROUNDS:
 
@@ -74,7 +77,7 @@ def rate_threshold(points: DataFrame, rate: float, theiler: int = 0, p: float =
             return {"value": value.astype(np.int64), "n": n.astype(np.int64)}
 
         source = long if known is None else long.join(known, "g")
-        bins = by_blocks(source, "value long, n long", counted, block=block).groupBy("g", (F.col("n") == 0).alias("beyond"), "value").agg(F.sum("n").alias("n"))
+        bins = by_blocks(source, "value long, n long", counted, block=block, alone=False).groupBy("g", (F.col("n") == 0).alias("beyond"), "value").agg(F.sum("n").alias("n"))
         inside = bins.where("NOT beyond").join(ranks.withColumn("rank", F.col("low")) if known is None else known, "g")
         w = Window.partitionBy("g").orderBy("value")
         upto = inside.withColumn("upto", F.sum("n").over(w)).withColumn("next", F.lead("value").over(w)).where(F.col("upto") > F.col("rank"))
@@ -107,8 +110,8 @@ def _lines(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def line_lengths(points: DataFrame, threshold: float | DataFrame, theiler: int = 0, p: float = 2.0, block: int | None = None) -> DataFrame:
     """(g, kind, length, n): how many lines of each length there are, kind `diagonal` or `vertical`. threshold: a number, or rows (g, epsilon)."""
-    eps = points.select("g").distinct().withColumn("epsilon", F.lit(float(threshold))) if not isinstance(threshold, DataFrame) else threshold.select("g", "epsilon")
-    table = packed(points, "x", extra=eps.join(_sizes(points), "g"), block=block)
+    table = packed(points, "x", block=block, own=[F.count("*").alias("size")])
+    table = table.join(threshold.select("g", "epsilon"), "g") if isinstance(threshold, DataFrame) else table.withColumn("epsilon", F.lit(float(threshold)))
 
     def compare(i, x, j, y, own):
         close = distances(x, y, p) <= (own["epsilon"] if own["epsilon"] is not None else -1.0)
@@ -142,8 +145,10 @@ def line_lengths(points: DataFrame, threshold: float | DataFrame, theiler: int =
             add(1, line, start, length, ((start == rows[0]) & (start > 0) | (stop == rows[-1]) & (stop < last)) & (not whole))
         return dict(zip(("kind", "line", "start", "length", "n"), (np.concatenate(z).astype(np.int64) for z in zip(*out, strict=True)), strict=True))
 
-    found = by_blocks(table, "kind long, line long, start long, length long, n long", compare, block=block)
-    counted = found.where("line < 0").select("g", "kind", "length", "n")
+    schema = "kind long, line long, start long, length long, n long"
+    short = by_blocks(table, schema, compare, block=block, pairs=False)  # a whole plot has no cut lines
+    found = by_blocks(table.where("parts > 1").drop("size").join(_sizes(points), "g"), schema, compare, block=block, alone=False)
+    counted = short.unionByName(found.where("line < 0")).select("g", "kind", "length", "n")
     w = Window.partitionBy("g", "kind", "line").orderBy("start")
     opens = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("length")).over(w), F.lit(True))
     part = F.sum(F.col("opens").cast("long")).over(w)
