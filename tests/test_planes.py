@@ -247,3 +247,12 @@ def test_outside_points_and_fixed_mass(spark, monkeypatch):
     assert fn.default_masses(50)[0] == 1 and fn.default_masses(50)[-1] == 6
     with pytest.raises(ValueError):
         fn.neighbours(points, ())
+
+
+def test_series_shorter_than_the_theiler_window_have_no_threshold(spark):
+    rows = [("two", i, [float(i)]) for i in range(2)] + [("long", i, [float(i * i % 17)]) for i in range(40)]
+    points = spark.createDataFrame(rows, "g string, i long, x array<double>")
+    x = np.array([i * i % 17 for i in range(40)], float)
+    d = np.sort([abs(x[i] - x[j]) for i in range(40) for j in range(i + 4, 40)])
+    got = {r["g"]: r["epsilon"] for r in fn.rate_threshold(points, 0.1, theiler=3).collect()}
+    assert got.keys() == {"long"} and abs(got["long"] - np.quantile(d, 0.1 * 1600 / (2 * len(d)))) < 1e-9
