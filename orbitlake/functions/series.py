@@ -34,6 +34,17 @@ def stats(s: DataFrame) -> DataFrame:
     return s.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
+def means(s: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(g, mean), the values added one by one in the order of `i`, then the sums of segments in theirs.
+
+    Whether a sample lies below the mean can hang on the mean's last bit; it must not change with the order in which the rows lie.
+    """
+    upto = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = s.select("g", F.floor(F.col("i") / segment).alias("seg"), "i", "v").withColumn("sum", F.sum("v").over(upto("i", "g", "seg")))
+    parts = rows.groupBy("g", "seg").agg(F.max_by("sum", "i").alias("sum"), F.count("v").alias("n"))
+    return parts.withColumn("sum", F.sum("sum").over(upto("seg", "g"))).groupBy("g").agg((F.max_by("sum", "seg") / F.sum("n")).alias("mean"))
+
+
 def ahead(s: DataFrame, offsets: Iterable[int], column: str = "v", segment: int = SEGMENT) -> DataFrame:
     """s with columns a<k>: the value k steps later, or null after the end. One shuffle by (series, segment)."""
     offsets = sorted({*offsets} - {0})
@@ -81,9 +92,11 @@ def normalize(s: DataFrame, method: str = "zscore") -> DataFrame:
     """zscore, minmax, demean or l2; a constant series gives zeros (l2: itself over its norm)."""
     if method == "zscore":
         return scaler(s)
-    f = s.groupBy("g").agg(F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    if method == "demean":
+        return s.join(means(s), "g").select("g", "i", (F.col("v") - F.col("mean")).alias("v"))
+    f = s.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     one = lambda c: F.when(c > 0, c).otherwise(1.0)
-    ways = {"minmax": (F.col("v") - F.col("low")) / one(F.col("high") - F.col("low")), "demean": F.col("v") - F.col("mean"), "l2": F.col("v") / one(F.col("norm"))}
+    ways = {"minmax": (F.col("v") - F.col("low")) / one(F.col("high") - F.col("low")), "l2": F.col("v") / one(F.col("norm"))}
     return s.join(f, "g").select("g", "i", ways[method].alias("v"))
 
 
@@ -100,7 +113,7 @@ def binarize(s: DataFrame, threshold: str | float = "median") -> DataFrame:
     """(g, i, v): 1 above the median, the mean or a number, else 0."""
     if not isinstance(threshold, str):
         return s.select("g", "i", (F.col("v") > threshold).cast("int").alias("v"))
-    level = s.groupBy("g").agg((F.median("v") if threshold == "median" else F.avg("v")).alias("level"))
+    level = s.groupBy("g").agg(F.median("v").alias("level")) if threshold == "median" else means(s).withColumnRenamed("mean", "level")
     return s.join(level, "g").select("g", "i", (F.col("v") > F.col("level")).cast("int").alias("v"))
 
 
@@ -123,11 +136,7 @@ def embed(s: DataFrame, dimension: int, delay: int = 1) -> DataFrame:
 
 def crossings(s: DataFrame, level: float | None = None) -> DataFrame:
     """Where a series passes a level (by default its mean): (g, i, at, direction), i the sample behind it, `at` by linear interpolation."""
-    if level is not None:
-        x = s.withColumn("x", F.col("v") - level)
-    else:  # a sample that equals the mean is told by its last bit: with `i` in use the values are added in their order, not as the files lie
-        means = s.groupBy("g").agg(F.avg("v").alias("mean"), F.max("i").alias("last"))
-        x = s.join(means, "g").where("i <= last").select("g", "i", (F.col("v") - F.col("mean")).alias("x"))
+    x = s.withColumn("x", F.col("v") - level) if level is not None else normalize(s, "demean").withColumnRenamed("v", "x")
     rows = ahead(x, [1], "x")
     up, down = (F.col("x") < 0) & (F.col("a1") >= 0), (F.col("x") > 0) & (F.col("a1") <= 0)
     return rows.where(up | down).select("g", (F.col("i") + 1).alias("i"), (F.col("i") + F.col("x") / (F.col("x") - F.col("a1"))).alias("at"), F.when(up, "up").otherwise("down").alias("direction"))
@@ -153,7 +162,8 @@ def extract_features(s: DataFrame, features: Sequence[str] = FEATURES, fs: float
     if spectral:
         found = spectral_features(s, fs, spectral)
         return (extract_features(s, plain).join(found, "g", "left") if plain else found).select("g", *features)
-    rows = ahead(s.join(stats(s).select("g", "mean"), "g").withColumn("v0", F.col("v")).withColumn("v", F.col("v") - F.col("mean")), [1, 2])
+    centre = means(s) if "zero_crossing_rate" in plain else stats(s).select("g", "mean")  # only a sample's side of the mean hangs on its last bit
+    rows = ahead(s.join(centre, "g").withColumn("v0", F.col("v")).withColumn("v", F.col("v") - F.col("mean")), [1, 2])
     d1, d2 = F.col("a1") - F.col("v"), F.col("a2") - 2 * F.col("a1") + F.col("v")
     m = {k: F.avg(F.pow("v", F.lit(k))) for k in (2, 3, 4)}
     agg = rows.groupBy("g").agg(

@@ -378,6 +378,28 @@ def test_crossings_right_at_the_level(spark):
     assert [(r["i"], r["at"], r["direction"]) for r in fn.crossings(s, 0.0).orderBy("i").collect()] == [(29, 29.0 - 7e-15, "down"), (30, 29.0, "up")]
 
 
+def test_a_sample_at_the_mean_is_told_by_the_order_of_the_series(spark):
+    rng, held = np.random.default_rng(4), {}
+    for g in range(200):  # cents, one sample of which is their mean
+        c = rng.integers(1, 20_000, 30)
+        c[-1] = 30 * c[7] - c[:-1].sum()
+        held[g] = c / 100
+    # the rows lie backwards in three parts, and every part has some of each series
+    rows = [(g, t, float(v)) for g, x in held.items() for t, v in enumerate(x)]
+    table = spark.createDataFrame(rows[::-1], "name int, at int, value double").repartition(3, "at").sortWithinPartitions(F.desc("at"))
+    s = fn.as_series(table, "name", ["at"], "value")
+    rate, features = by(fn.zero_crossing_rate(s), "g"), by(fn.extract_features(s, ["zero_crossing_rate"]), "g")
+    above, passed = ordered(fn.binarize(s, "mean")), by(fn.crossings(s).groupBy("g").agg(F.count("*").alias("n")), "g")
+    for g, x in held.items():
+        d = x - np.cumsum(x)[-1] / 30  # added one by one
+        want = int(((d[1:] < 0) != (d[:-1] < 0)).sum())
+        assert rate[g]["zero_crossing_rate"] == want / 29 == features[g]["zero_crossing_rate"]
+        assert (above[g] == (d > 0)).all()
+        assert (passed[g]["n"] if g in passed else 0) == (((d[:-1] < 0) & (d[1:] >= 0)) | ((d[:-1] > 0) & (d[1:] <= 0))).sum()
+    parts = {r["g"]: r["mean"] for r in series_module.means(s, 8).collect()}
+    assert parts == {g: float(np.cumsum([np.cumsum(x[k : k + 8])[-1] for k in range(0, 30, 8)])[-1] / 30) for g, x in held.items()}
+
+
 def test_rounding_goes_by_doubles_as_in_duckdb(spark):
     values = [32.2453125, 64.6090625, 0.8353125, -0.8353125, 2.5e-7, 0.5e-6, 1e300, -1e-9, 0.0]
     got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", catalog._round("v", 6).alias("r")).orderBy("k").collect()
